@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from quillet.llm.best_fit_packing import pack_documents
 from quillet.llm.byte_bpe import bpe_digest
+from quillet.llm.kd_sharding import kd_shards
 from quillet.llm.quality_rules import quality_rules
 from quillet.llm.toxicity import toxicity
 
@@ -35,6 +37,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = kd_shards(_table(spark, sf_dir, "documents"), shards=16)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_kd_sharding": op4_kd_sharding,
         "op10_toxicity": op10_toxicity,
     }
 
