@@ -12,6 +12,7 @@ import public_tokenizers
 from quillet.llm.best_fit_packing import pack_documents
 from quillet.llm.byte_bpe import bpe_digest
 from quillet.llm.kd_sharding import kd_shards
+from quillet.llm.minhash_dedup import Sketch, near_duplicates
 from quillet.llm.quality_rules import quality_rules
 from quillet.llm.toxicity import toxicity
 
@@ -42,6 +43,10 @@ def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), Sketch(shingle=2, percent=80))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_kd_sharding": op4_kd_sharding,
+        "op5_minhash_dedup": op5_minhash_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
