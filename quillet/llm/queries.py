@@ -12,6 +12,8 @@ import public_tokenizers
 from quillet.llm.best_fit_packing import pack_documents
 from quillet.llm.byte_bpe import bpe_digest
 from quillet.llm.kd_sharding import kd_shards
+from quillet.llm.katz_lm import katz_scores
+from quillet.llm.line_dedup import line_dedup
 from quillet.llm.minhash_dedup import Sketch, near_duplicates
 from quillet.llm.quality_rules import quality_rules
 from quillet.llm.toxicity import toxicity
@@ -47,6 +49,14 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Sketch(shingle=2, percent=80))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_kd_sharding": op4_kd_sharding,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op7_line_dedup": op7_line_dedup,
+        "op9_katz_lm": op9_katz_lm,
         "op10_toxicity": op10_toxicity,
     }
 
