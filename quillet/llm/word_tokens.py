@@ -8,16 +8,18 @@ are kept in a bounded table in each Python worker.
 from __future__ import annotations
 
 import os
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 
-#: Words kept by a worker, and the longest word kept.
+#: Words kept by a worker, cores kept by it, and the longest of them.
 KEPT_WORDS = 250_000
+KEPT_CORES = 500_000
 KEPT_LENGTH = 48
 
-_other_spaces = re.compile(r"[\x09-\x0D]")
+#: Marks that end a word without being part of a contraction.
+_MARKS = ".,!?;:|*#$%&)"
 _loaded: dict[str, WordTokenizer] = {}
 
 
@@ -29,6 +31,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> WordTokenizer:
@@ -37,18 +40,59 @@ class WordTokenizer:
             _loaded[path] = WordTokenizer(path)
         return _loaded[path]
 
+    def _ids(self, word: str) -> bytes:
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def encode_word(self, word: str) -> bytes:
+        """Ids of a word; those of its lower-cased core and of the marks after it, where these don't depend on each other.
+
+        They don't where the core ends with a letter or digit (the marks are then
+        pieces of their own) and all characters are below U+0300 (lower case then
+        depends on single characters, and nothing composes).
+        """
+        core = word.rstrip(_MARKS)
+        if not core or not core[-1].isalnum() or max(core) >= "\u0300":
+            return self._ids(word)
+        key = core.lower()
+        if (ids := self.cores.get(key)) is None:
+            ids = self._ids(key)
+            if len(key) <= KEPT_LENGTH:
+                self.cores[key] = ids
+        marks = word[len(core) :]
+        if not marks:
+            return ids
+        if (end := self.cores.get(marks)) is None:
+            end = self._ids(marks)
+            if len(marks) <= KEPT_LENGTH:
+                self.cores[marks] = end
+        return ids + end
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
-        split = [_other_spaces.sub(" ", t).split(" ") for t in texts]
+        split = [_spaced(t).split(" ") for t in texts]
         used = set().union(*split)
         if len(self.known) > KEPT_WORDS:  # keep what is in use
             self.known = {w: ids for w in used if (ids := self.known.get(w)) is not None}
-        known, encode = self.known, self.tokenizer.encode
+        if len(self.cores) > KEPT_CORES:
+            cores = {w.rstrip(_MARKS).lower() for w in used}
+            self.cores = {c: ids for c in cores if (ids := self.cores.get(c)) is not None}
+        known = self.known
         new = used.difference(known)
         for word in new:
-            known[word] = np.array(encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            known[word] = self.encode_word(word)
         for words in split:
             yield b"".join(map(known.__getitem__, words))
         for word in new:
             if len(word) > KEPT_LENGTH:
                 del known[word]
+
+
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+def _spaced(text: str) -> str:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ")
