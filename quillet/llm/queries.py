@@ -13,8 +13,10 @@ from quillet.llm.best_fit_packing import pack_documents
 from quillet.llm.byte_bpe import bpe_digest
 from quillet.llm.kd_sharding import kd_shards
 from quillet.llm.katz_lm import katz_scores
+from quillet.llm.license_scan import license_scan
 from quillet.llm.line_dedup import line_dedup
 from quillet.llm.minhash_dedup import Sketch, near_duplicates
+from quillet.llm.projected_ann import nearest
 from quillet.llm.quality_rules import quality_rules
 from quillet.llm.toxicity import toxicity
 
@@ -49,10 +51,18 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Sketch(shingle=2, percent=80))
 
 
+def op6_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_kd_sharding": op4_kd_sharding,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_projected_ann": op6_projected_ann,
         "op7_line_dedup": op7_line_dedup,
+        "op8_license_scan": op8_license_scan,
         "op9_katz_lm": op9_katz_lm,
         "op10_toxicity": op10_toxicity,
     }
