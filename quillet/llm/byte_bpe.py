@@ -18,7 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +31,31 @@ from quillet.llm.batches import text_groups
 
 #: Entries kept by a worker: units are white space plus what follows it.
 KEPT_UNITS = 250_000
+KEPT_PIECES = 500_000
 KEPT_LENGTH = 48
 
 #: The replay takes so many new pieces at a time, at most (bytes).
 CORPUS_BYTES = 2_000_000
 
-_units = regex.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_odd_space = regex.compile(r"[^\S \n]|[\x1c-\x1f]")
+_units = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_odd_space = re.compile(r"[^\S \n]")  # of any kind, the separators U+001C to U+001F included
+
+#: Marks that end a unit as one piece where letters precede them; none is part of a contraction.
+_MARKS = ".,!?;:|*#$%&)"
 _loaded: dict[tuple[str, str], ByteBpe] = {}
 
 
 class ByteBpe:
+    """The pattern must take an optional space with letters, and other marks, as pieces of their own."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.pattern = regex.compile(pattern)
         self.ranks = ranks
-        self.bytes_of: dict[int, bytes] = {v: k for k, v in ranks.items()}
-        self.byte_id = [ranks[bytes([b])] for b in range(256)]
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+        self.two_bytes = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.pair_rank = {(ranks[t[:i]] << 32) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.known_units: dict[str, bytes] = {}
         self.known_pieces: dict[str, bytes] = {}
@@ -61,75 +71,83 @@ class ByteBpe:
 
     def replay(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of each piece after all merges."""
-        byte_id, pair_rank = self.byte_id, self.pair_rank
-        token = [-1]  # a mark between pieces: no pair crosses it
-        for piece in pieces:
-            token += [byte_id[b] for b in piece]
-            token.append(-1)
-        n = len(token)
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        n = len(data)
+        ranks = np.full(n, -1, np.int64)  # of the pair that starts at each position; none crosses the end of a piece
+        ranks[:-1] = self.two_bytes[data[:-1].astype(np.int64) * 256 + data[1:]]
+        ranks[ends - 1] = -1
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        first = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+        index = {r: places.tolist() for r, places in zip(ranks[order[first]].tolist(), np.split(order, first[1:]), strict=True)} if len(order) else {}
+        first_token, last_token = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        first_token[0] = True
+        first_token[ends[:-1]] = True
+        last_token[ends - 1] = True
+        starts, stops = first_token.tolist(), last_token.tolist()  # a token keeps the position of its first byte, `stops` follows its end
+        pair, token = ranks.tolist(), self.byte_ids[data].tolist()
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = token[i], token[i + 1]
-            if a >= 0 and b >= 0 and (r := pair_rank.get((a << 32) | b)) is not None:
-                if r in index:
-                    index[r].append(i)
-                else:
-                    index[r] = [i]
-        order = list(index)
-        heapq.heapify(order)
-        gone = bytearray(n)
-        while order:
-            rank = heapq.heappop(order)
+        pair_rank = self.pair_rank
+        heap = list(index)
+        heapq.heapify(heap)
+        while heap:
+            rank = heapq.heappop(heap)
             places = index.pop(rank)
             places.sort()
             for k, i in enumerate(places):
-                if gone[i]:
+                if pair[i] != rank:
                     continue
                 j = right[i]
-                b = token[j]
-                if b < 0 or pair_rank.get((token[i] << 32) | b) != rank:
-                    continue
                 token[i] = rank
-                gone[j] = 1
-                after = right[j]
-                right[i] = after
-                left[after] = i
+                token[j] = pair[j] = -1
+                pair[i] = -1
                 lower = False
-                if (c := token[after]) >= 0 and (r := pair_rank.get((rank << 32) | c)) is not None:
-                    lower = r < rank
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-                        heapq.heappush(order, r)
-                before = left[i]
-                if (c := token[before]) >= 0 and (r := pair_rank.get((c << 32) | rank)) is not None:
-                    lower = lower or r < rank
-                    if r in index:
-                        index[r].append(before)
+                if stops[j]:
+                    stops[i] = True
+                else:
+                    after = right[j]
+                    right[i] = after
+                    left[after] = i
+                    if (r := pair_rank.get((rank << 32) | token[after])) is not None:
+                        pair[i] = r
+                        lower = r < rank
+                        if r in index:
+                            index[r].append(i)
+                        else:
+                            index[r] = [i]
+                            heapq.heappush(heap, r)
+                if not starts[i]:
+                    before = left[i]
+                    if (r := pair_rank.get((token[before] << 32) | rank)) is not None:
+                        pair[before] = r
+                        lower = lower or r < rank
+                        if r in index:
+                            index[r].append(before)
+                        else:
+                            index[r] = [before]
+                            heapq.heappush(heap, r)
                     else:
-                        index[r] = [before]
-                        heapq.heappush(order, r)
+                        pair[before] = -1
                 if lower and k + 1 < len(places):
-                    index.setdefault(rank, []).extend(places[k + 1 :])
-                    heapq.heappush(order, rank)
+                    if rank in index:
+                        index[rank].extend(places[k + 1 :])
+                    else:
+                        index[rank] = places[k + 1 :]
+                        heapq.heappush(heap, rank)
                     break
-        out, i = [], 1
-        for piece in pieces:
-            ids, end = [], i + len(piece)
-            while i < end:
-                ids.append(token[i])
-                i = right[i]
-            i = end + 1
-            out.append(np.array(ids, dtype="<u4").tobytes())
-        return out
-
-    def learn(self, pieces: Iterable[str]) -> None:
+        merged = np.array(token, np.int64)
+        alive = merged >= 0
+        packed, at = merged[alive].astype("<u4").tobytes(), (4 * np.cumsum(alive)[ends - 1]).tolist()
+        return [packed[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+
+    def learn(self, pieces: set[str]) -> None:
         """Replay the merges over the pieces that aren't known yet."""
         corpus: list[str] = []
         size = 0
-        for piece in set(pieces).difference(self.known_pieces):
+        for piece in pieces.difference(self.known_pieces):
             corpus.append(piece)
             size += len(piece)
             if size > CORPUS_BYTES:
@@ -137,17 +155,26 @@ class ByteBpe:
                 corpus, size = [], 0
         self.known_pieces.update(zip(corpus, self.replay([p.encode() for p in corpus]), strict=True))
 
+    def pieces(self, unit: str) -> list[str]:
+        """The pattern's pieces of a unit; a space, letters and marks need no search."""
+        core = unit.rstrip(_MARKS)
+        if core.isalpha() or core[:1] == " " and core[1:].isalpha():
+            return [core, unit[len(core) :]] if len(core) < len(unit) else [core]
+        return self.pattern.findall(unit)
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Packed ids of each text, the new pieces of all texts being one corpus."""
         split = [None if _odd_space.search(t) else _units.findall(t) for t in texts]
         used = set().union(*(units for units in split if units is not None))
         if len(self.known_units) > KEPT_UNITS:  # keep what is in use
             self.known_units = {u: ids for u in used if (ids := self.known_units.get(u)) is not None}
-            self.known_pieces = {}
         new = used.difference(self.known_units)
-        pieces_of = {u: self.pattern.findall(u) for u in new}
+        pieces_of = {u: self.pieces(u) for u in new}
         whole = [self.pattern.findall(t) if units is None else None for t, units in zip(texts, split, strict=True)]
-        self.learn(p for ps in [*pieces_of.values(), *(w for w in whole if w)] for p in ps)
+        needed = {p for ps in [*pieces_of.values(), *(w for w in whole if w)] for p in ps}
+        if len(self.known_pieces) > KEPT_PIECES:
+            self.known_pieces = {p: ids for p in needed if (ids := self.known_pieces.get(p)) is not None}
+        self.learn(needed)
         known, known_pieces = self.known_units, self.known_pieces
         for u, ps in pieces_of.items():
             known[u] = known_pieces[ps[0]] if len(ps) == 1 else b"".join(map(known_pieces.__getitem__, ps))
@@ -156,8 +183,9 @@ class ByteBpe:
         for u in new:
             if len(u) > KEPT_LENGTH:
                 del known[u]
-        for p in {p for ps in [*pieces_of.values(), *(w for w in whole if w)] for p in ps if len(p) > KEPT_LENGTH}:
-            del known_pieces[p]
+        for p in needed:
+            if len(p) > KEPT_LENGTH:
+                del known_pieces[p]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
