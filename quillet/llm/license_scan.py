@@ -73,7 +73,7 @@ class Scanner:
             found = bigrams(words)
             if len(found) >= self.smallest and not self.all.isdisjoint(found) and (hit := self.best(found)):
                 hits.append((number, number, hit[1], hit[0]))
-            if words and (not found or len(found & self.all) >= RUN_SHARE * len(found)):
+            if found and len(found & self.all) >= RUN_SHARE * len(found) or words and not found and run:
                 run.append((number, words))
             elif words:
                 hits = self._close(run, hits)
@@ -81,6 +81,8 @@ class Scanner:
         return self._close(run, hits)
 
     def _close(self, run: list[tuple[int, list[str]]], hits: list) -> list:
+        while run and len(run[-1][1]) < 2:  # single words only count between other lines
+            run = run[:-1]
         if len(run) < 2 or not (hit := self.best(bigrams([w for _, words in run for w in words]))):
             return hits
         first, last = run[0][0], run[-1][0]

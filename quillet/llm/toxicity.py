@@ -44,9 +44,11 @@ _edges = re.compile(r"^[\W_]+|[\W_]+$")
 class Settings:
     per_class: int = 6000  # labelled rows of a class to fit on, at most
     least_docs: int = 4  # sampled rows that a term must occur in
+    least_chi: float = 12.0  # chi-square (one degree) of a term with the label, at least
     most_terms: int = 2000  # terms of largest chi-square that get parameters
     rank: int = 4
-    epochs: int = 25
+    steps: int = 1000  # batches to learn from, at least
+    epochs: int = 25  # passes over the sample, at least
     batch: int = 256
     rate: float = 0.1
     l2: float = 1e-5
@@ -109,7 +111,7 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, s: Settings = S
     chi = (df1 - expected) ** 2 / np.maximum(expected * (1 - n1 / len(docs)) * (1 - df / len(docs)), 1e-9)
     chi[df < s.least_docs] = -1.0
     best = np.argsort(-chi, kind="stable")[: s.most_terms]
-    chosen = np.sort(best[chi[best] > 0])
+    chosen = np.sort(best[chi[best] >= s.least_chi])
     place = np.full(len(terms), -1)
     place[chosen] = np.arange(len(chosen))
     inverse = place[inverse]
@@ -120,7 +122,7 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, s: Settings = S
     w, v, bias = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), s.rank)), float(np.log(share / (1 - share)))
     gw, gv, gb = np.full(len(chosen), 1e-6), np.full((len(chosen), s.rank), 1e-6), 1e-6
     weight = np.where(toxic > 0, share * len(docs) / n1, (1 - share) * len(docs) / n0)
-    for _ in range(s.epochs):
+    for _ in range(max(s.epochs, -(-s.steps * s.batch // len(docs)))):
         order = rng.permutation(len(docs))
         for at in range(0, len(docs), s.batch):
             rows = order[at : at + s.batch]
