@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], most: int = GROUP_CHARS) -> Iterator[tuple[list, list[str]]]:

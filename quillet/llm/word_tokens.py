@@ -8,18 +8,24 @@ are kept in a bounded table in each Python worker.
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
 from collections.abc import Iterator
 
 
 #: Words kept by a worker, cores kept by it, and the longest of them.
-KEPT_WORDS = 250_000
-KEPT_CORES = 500_000
+KEPT_WORDS = 150_000
+KEPT_CORES = 300_000
 KEPT_LENGTH = 48
 
 #: Marks that end a word without being part of a contraction.
 _MARKS = ".,!?;:|*#$%&)"
+#: The sign for each byte in byte-level vocabularies: itself if it prints, else the next one from U+0100 on.
+_PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_SIGNS = [chr(b) if b in _PRINTS else chr(0x100 + b - len([p for p in _PRINTS if p < b])) for b in range(256)]
+
+_marks_meet = re.compile(r"(?:[^\w ]|_)[.,] ")
 _loaded: dict[str, WordTokenizer] = {}
 
 
@@ -30,6 +36,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -41,6 +48,8 @@ class WordTokenizer:
         return _loaded[path]
 
     def _ids(self, word: str) -> bytes:
+        if word.isalpha() and max(word) < "\u0300" and word == word.lower():  # one piece, as it stands
+            return _packed([t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(_BYTE_SIGNS.__getitem__, word.encode())))])
         return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode_word(self, word: str) -> bytes:
@@ -51,9 +60,9 @@ class WordTokenizer:
         depends on single characters, and nothing composes).
         """
         core = word.rstrip(_MARKS)
-        if not core or not core[-1].isalnum() or max(core) >= "\u0300":
-            return self._ids(word)
         key = core.lower()
+        if not key or not key[-1].isalnum() or max(key) >= "\u0300":
+            return self._ids(word)
         if (ids := self.cores.get(key)) is None:
             ids = self._ids(key)
             if len(key) <= KEPT_LENGTH:
@@ -69,7 +78,7 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
-        split = [_spaced(t).split(" ") for t in texts]
+        split = [_split(t) for t in texts]
         used = set().union(*split)
         if len(self.known) > KEPT_WORDS:  # keep what is in use
             self.known = {w: ids for w in used if (ids := self.known.get(w)) is not None}
@@ -94,5 +103,14 @@ def _packed(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-def _spaced(text: str) -> str:
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ")
+def _split(text: str) -> list[str]:
+    """Words of a text; where that can't change an id, in lower case and with full stops and commas apart."""
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ")
+    try:
+        text.encode("latin-1")  # then lower case depends on single characters, and nothing composes
+    except UnicodeEncodeError:
+        return text.split(" ")
+    text = f"{text.lower()} "
+    if not _marks_meet.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
