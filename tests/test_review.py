@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quillet.cli import main
@@ -17,6 +19,8 @@ from quillet.plans.review import review_changes
 from quillet.sources.files import read_files, read_results
 from quillet.sources.git import GitDiffSource
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers can't import the tests
+
 FILES = "review_id long, path string, lines array<string>, is_readable boolean"
 ROW = "review_id long, origin int, chunk_ord long, finding_ord long, file string, line_start long, line_end long, severity string, category string, message string, suggested_fix string, code_snippet string, confidence double"
 
