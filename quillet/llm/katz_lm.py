@@ -42,8 +42,8 @@ from quillet.runtime import materialize
 FOLDS, HELD_OUT = 7, 2
 
 #: Tokens of a block, and keys that a range of the exchange takes, about.
-BLOCK_TOKENS = 4_000_000
-RANGE_KEYS = 3_000_000
+BLOCK_TOKENS = 1_500_000
+RANGE_KEYS = 2_000_000
 
 #: Good-Turing holds for counts up to this; larger ones lose a constant share of one.
 LARGEST_DISCOUNTED = 5
@@ -270,11 +270,11 @@ def _score(blocks: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
             pa.concat_arrays([pa.array(b.held.astype(bool)), nulls(pa.bool_())]),
             pa.concat_arrays([pa.array(b.lengths), nulls(pa.int64())]),
             pa.concat_arrays([pa.array(known), nulls(pa.int64())]),
-            pa.concat_arrays([pa.array(base), nulls(pa.float64())]),
-            pa.concat_arrays([pa.array(score), nulls(pa.float64())]),
+            pa.concat_arrays([pa.array(base, pa.float64()), nulls(pa.float64())]),
+            pa.concat_arrays([pa.array(score, pa.float64()), nulls(pa.float64())]),
             pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(names[h]), pa.array(names[pair_history])]),
-            pa.concat_arrays([pa.nulls(docs, pa.float64()), pa.array(taken), pa.array(times.astype(np.float64))]),
-            pa.concat_arrays([pa.nulls(docs, pa.float64()), pa.array(mass), pa.nulls(n[2], pa.float64())]),
+            pa.concat_arrays([pa.nulls(docs, pa.float64()), pa.array(taken, pa.float64()), pa.array(times.astype(np.float64))]),
+            pa.concat_arrays([pa.nulls(docs, pa.float64()), pa.array(mass, pa.float64()), pa.nulls(n[2], pa.float64())]),
         ],
         names=[c.split()[0] for c in _SCORED.split(", ")],
     )
