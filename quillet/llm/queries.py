@@ -16,6 +16,7 @@ from quillet.llm.katz_lm import katz_scores
 from quillet.llm.license_scan import license_scan
 from quillet.llm.line_dedup import line_dedup
 from quillet.llm.minhash_dedup import Sketch, near_duplicates
+from quillet.llm.oracle import ORACLE_SQL
 from quillet.llm.projected_ann import nearest
 from quillet.llm.quality_rules import quality_rules
 from quillet.llm.toxicity import toxicity
@@ -87,4 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for op1; models, tokenizers, sketches and packings can't be expressed in it and are tested against brute force."""
+    return dict(ORACLE_SQL)
