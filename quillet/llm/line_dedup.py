@@ -6,7 +6,8 @@ line number) stays. Equal lines are one class. A line of length l is split into
 edits + 1 segments; a line within the threshold has one of them as a substring
 near its place, so each line probes an index keyed by (length, segment number,
 segment) with the few substrings that can match (multi-match-aware selection).
-Candidates are verified with a banded bit-parallel edit distance.
+An edit changes the parity of at most two character classes, which bounds what the
+join returns. Candidates are verified with a banded bit-parallel edit distance.
 
 A class of lines is dropped where an earlier class is linked to it, and all
 occurrences but the first are dropped where it isn't.
@@ -91,6 +92,11 @@ def _plan(length: int, s: Lines) -> tuple[list, list]:
     return _plans[length, s.edits]
 
 
+def parities(line: str) -> int:
+    """Whether each of 32 classes of characters occurs an odd number of times; an edit changes two of them at most."""
+    return int(np.bitwise_xor.reduce(np.uint32(1) << (np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & np.uint32(31))))
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``: equal ends are cut off, then a band of 2 * edits + 1 diagonals is kept as bits."""
     if abs(len(a) - len(b)) > edits:
@@ -162,7 +168,7 @@ def _entries(batches: Iterator[pa.RecordBatch], s: Lines, probing: bool) -> Iter
     seen: set[int] = set()  # spares repeats within the task; nothing depends on it
     digest = xxhash.xxh64_intdigest
     for _, texts in text_groups(batches):
-        keys, lines, counts = [], [], []
+        keys, lines, marks, counts = [], [], [], []
         for text in texts:
             for _, t in checked_lines(text, s):
                 if len(t) < s.least_chars:
@@ -178,11 +184,13 @@ def _entries(batches: Iterator[pa.RecordBatch], s: Lines, probing: bool) -> Iter
                 else:
                     keys += [digest(t[a:b].encode(), seed) for seed, a, b in cuts]
                 lines.append(line)
+                marks.append(parities(t))
                 counts.append(len(cuts))
         if len(seen) > 500_000:
             seen.clear()
-        owner = np.repeat(np.array(lines, np.uint64), counts) if lines else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(owner.view(np.int64))], names=["key", "line"])
+        counts = np.array(counts, np.int64)
+        owner, odd = np.repeat(np.array(lines, np.uint64), counts), np.repeat(np.array(marks, np.uint32), counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(owner.view(np.int64)), pa.array(odd.view(np.int32))], names=["key", "line", "odd"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
@@ -194,9 +202,10 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
 def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
     """Pairs of different line classes (a, m_a, b, m_b) within the threshold, both ways round not repeated."""
     texts = docs.select("doc_id", "text")
-    index = texts.mapInArrow(lambda it: _entries(it, s, False), "key long, line long")
-    probe = texts.mapInArrow(lambda it: _entries(it, s, True), "key long, line long")
-    met = index.withColumnRenamed("line", "x").join(probe.withColumnRenamed("line", "y"), "key").filter("x <> y")
+    index = texts.mapInArrow(lambda it: _entries(it, s, False), "key long, line long, odd int")
+    probe = texts.mapInArrow(lambda it: _entries(it, s, True), "key long, line long, odd int")
+    met = index.toDF("key", "x", "odd_x").join(probe.toDF("key", "y", "odd_y"), "key")
+    met = met.filter((F.col("x") != F.col("y")) & (F.bit_count(F.col("odd_x").bitwiseXOR(F.col("odd_y"))) <= 2 * s.edits))
     pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
