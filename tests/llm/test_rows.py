@@ -126,14 +126,14 @@ def test_plan_rejects_what_does_not_fit():
     assert packing.plan_best_fit({}, 64).bins == 0
 
 
-def reference_encoding():
+def library_encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def test_byte_bpe_is_tiktoken(docs, prose):
     texts = [*ODD, *prose(20, 60, seed=5), "it's  we'll\t\n x  ", "日本語 123,456!! (naïve)", "\n\n  \n", "don't. 'S O'Neil...", "a b \r\n c"]
-    encoding = reference_encoding()
+    encoding = library_encoding()
     got = {r.doc_id: r for r in byte_bpe.bpe_digest(docs(texts), RANKS, public_tokenizers.PATTERN).collect()}
     for i, t in enumerate(texts):
         ids = encoding.encode_ordinary(t or "")
