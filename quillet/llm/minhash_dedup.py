@@ -10,9 +10,10 @@ below the threshold is confirmed on the full sets.
 Documents of equal sets are one class and only its smallest id is compared. A
 band's bucket is not expanded into pairs: first every member meets the bucket's
 smallest member, then a random one, and members that are by then in one component
-need not meet. Only buckets that still hold several components are finished pair
-by pair, between the members outside the pivot's component and all others, with
-size and bit-distance bounds in the join.
+need not meet. In a bucket that still holds several components, each member outside the
+largest one is compared with all members of that, block by block, where only found
+links leave the task; those that are then still in different components meet each
+other, with size and bit-distance bounds in the join.
 
 Defined cases: a null text, or one without words, has no shingles and links with
 nothing; a text of fewer words than a shingle is one shingle; a row with a null id
@@ -141,32 +142,38 @@ def _stack(column: pa.Array, s: Sketch) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, s.registers)
 
 
+def _band_keys(batch: pa.RecordBatch, s: Sketch) -> np.ndarray:
+    """A row of band keys for each row of registers; equal keys of different bands don't occur."""
+    regs = _stack(batch.column("registers"), s).astype(np.uint64).reshape(-1, s.bands, s.rows)
+    acc = np.broadcast_to(np.arange(1, s.bands + 1, dtype=np.uint64) * _M1, regs.shape[:2]).copy()
+    for j in range(s.rows):
+        acc = (acc ^ (acc >> np.uint64(29))) * _M1 + regs[:, :, j]
+    acc = (acc ^ (acc >> np.uint64(32))) * _M2
+    return acc ^ (acc >> np.uint64(29))
+
+
 def _bands(batches: Iterator[pa.RecordBatch], s: Sketch) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        regs = _stack(batch.column("registers"), s).astype(np.uint64).reshape(-1, s.bands, s.rows)
-        acc = np.broadcast_to(np.arange(1, s.bands + 1, dtype=np.uint64) * _M1, regs.shape[:2]).copy()
-        for j in range(s.rows):
-            acc = (acc ^ (acc >> np.uint64(29))) * _M1 + regs[:, :, j]
-        acc = (acc ^ (acc >> np.uint64(32))) * _M2
         node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), s.bands)
-        yield pa.RecordBatch.from_arrays([pa.array(acc.view(np.int64).ravel()), pa.array(node, pa.int64())], names=["band", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(_band_keys(batch, s).view(np.int64).ravel()), pa.array(node, pa.int64())], names=["band", "node"])
 
 
 def _bits(batches: Iterator[pa.RecordBatch], s: Sketch) -> Iterator[pa.RecordBatch]:
-    """One bit of each register's hash, in longs: their distance bounds the similarity."""
+    """One bit of each register's hash, in longs: their distance bounds the similarity. And the keys of all bands."""
     for batch in batches:
         if not batch.num_rows:
             continue
         regs = _stack(batch.column("registers"), s).astype(np.uint64)
         bit = ((regs * _M1) >> np.uint64(63)).astype(np.uint8)
         packed = np.packbits(np.pad(bit, ((0, 0), (0, -s.registers % 64))), axis=1).view("<i8")
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(list(packed), pa.list_(pa.int64()))], names=["node", "n", "bits"])
+        keys = _band_keys(batch, s).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(list(packed), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "n", "bits", "keys"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], s: Sketch) -> Iterator[pa.RecordBatch]:
-    least = s.percent / 100 - 5 * math.sqrt(0.25 / s.registers)
+    least = s.percent / 100 - 4.5 * math.sqrt(s.percent * (100 - s.percent) / 1e4 / s.registers)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -191,15 +198,20 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, s: Sketch) -> Da
     b = reps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
     sized = pairs.join(a, "a").join(b, "b").filter(_size_bound("n_a", "n_b", s))
     likely = materialize(sized.mapInArrow(lambda it: _likely(it, s), "a long, b long"), "likely")
-    ids = materialize(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "to-confirm")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    full = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
-    sets = materialize(full.mapInArrow(lambda it: _sets(it, s.shingle), "node long, items array<long>"), "sets")
+    sets = _read_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), s)
     both = likely.join(sets.withColumnsRenamed({"node": "a", "items": "i_a"}), "a").join(sets.withColumnsRenamed({"node": "b", "items": "i_b"}), "b")
     shared, total = F.size(F.array_intersect("i_a", "i_b")), F.size("i_a") + F.size("i_b")
     return both.filter(100 * shared >= s.percent * (total - shared)).select("a", "b")
 
 
+def _read_sets(docs: DataFrame, nodes: DataFrame, s: Sketch) -> DataFrame:
+    """``node, items``: the full shingle sets of some documents, from their texts."""
+    ids = materialize(nodes, "to-read")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    full = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
+    return materialize(full.mapInArrow(lambda it: _sets(it, s.shingle), "node long, items array<long>"), "sets")
+
+
 def near_duplicates(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -218,8 +230,9 @@ def near_duplicates(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
     stars = open_members.filter("component <> pivot_component").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     links = materialize(links.unionByName(confirm(stars.join(links, ["a", "b"], "left_anti"), reps, docs, s)), "links")
 
-    rest = _remaining_pairs(_unsettled(members, links), reps, s)
-    links = links.unionByName(confirm(rest, reps, docs, s))
+    open_members = _unsettled(members, links)
+    links = materialize(links.unionByName(_links_to_components(open_members, components(links), docs, s)), "links")
+    links = links.unionByName(confirm(_remaining_pairs(open_members, components(links), reps, s), reps, docs, s))
 
     found = components(links)
     of_set = reps.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("_component"))
@@ -229,31 +242,77 @@ def near_duplicates(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components, with a random pivot of the bucket."""
+    """Members of buckets that still hold several components, with a random pivot and the largest component of the bucket."""
     labelled = members.select("band", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("band", "node"), "node", "component")).alias("p")).filter("low <> high")
-    mixed = mixed.select("band", F.col("p.node").alias("pivot"), F.col("p.component").alias("pivot_component"))
+    held = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node")).alias("p"))
+    mixed = held.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("n", "component", F.col("p.node").alias("node"))).alias("m")).filter("held > 1")
+    mixed = mixed.select("band", F.col("m.node").alias("pivot"), F.col("m.component").alias("pivot_component"))
     return materialize(labelled.join(mixed, "band"), "unsettled")
 
 
-def _remaining_pairs(unsettled: DataFrame, reps: DataFrame, s: Sketch) -> DataFrame:
-    """Pairs of different components in a bucket, at least one outside the pivot's, that may still reach the threshold."""
-    bits = reps.join(unsettled.select("node").distinct(), "node").select("node", "n", "registers").mapInArrow(lambda it: _bits(it, s), "node long, n long, bits array<long>")
-    known = materialize(unsettled.join(bits, "node"), "remaining")
+def _links_to_components(unsettled: DataFrame, found: DataFrame, docs: DataFrame, s: Sketch) -> DataFrame:
+    """Links (a, b) between members outside a bucket's largest component and that component: one for each member and block that has any."""
+    asking = materialize(unsettled.filter("component <> pivot_component").select("node", F.col("pivot_component").alias("component")).distinct(), "asking")
+    groups = asking.groupBy("component").agg(F.count(F.lit(1)).alias("asking"))
+    core = unsettled.filter("component = pivot_component").select("node", "component").distinct().unionByName(found).distinct().join(groups, "component")
+    sizes = core.groupBy("component").agg(F.count(F.lit(1)).alias("held"), F.first("asking").alias("asking"))
+    parts = lambda n, most: F.ceil(F.col(n) / F.lit(most)).cast("int")
+    sizes = materialize(sizes.select("component", parts("asking", 256).alias("x_parts"), parts("held", 512).alias("y_parts")), "component-parts")
+    deal = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = asking.join(sizes, "component").select("node", "component", F.lit(True).alias("asks"), deal("x_parts").alias("x"), every("y_parts").alias("y"))
+    y = core.select("node", "component").join(sizes, "component").select("node", "component", F.lit(False).alias("asks"), deal("y_parts").alias("y"), every("x_parts").alias("x"))
+    both = materialize(x.unionByName(y), "to-compare")
+    sets = _read_sets(docs, both.select("node").distinct(), s)
+    met = both.join(sets, "node").groupBy("component", "x", "y").applyInArrow(lambda t: _compare(t, s.percent), "a long, b long")
+    return materialize(met, "component-links")
+
+
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    asks, node = table["asks"].to_numpy(zero_copy_only=False).astype(bool), table["node"].to_numpy()
+    items = [np.array(x.as_py(), np.int64) for x in table["items"]]
+    held = np.flatnonzero(~asks)
+    a, b = [], []
+    if len(held):
+        sizes = np.array([len(items[i]) for i in held])
+        flat, owner = np.concatenate([items[i] for i in held]), np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for i in np.flatnonzero(asks):
+            low, high = np.searchsorted(flat, items[i], "left"), np.searchsorted(flat, items[i], "right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(held))
+            near = np.flatnonzero((100 * shared >= percent * (sizes + len(items[i]) - shared)) & (node[held] != node[i]))
+            if len(near):
+                a.append(node[i])
+                b.append(node[held[near[0]]])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _remaining_pairs(unsettled: DataFrame, found: DataFrame, reps: DataFrame, s: Sketch) -> DataFrame:
+    """Pairs in a bucket, both outside its largest component, that are by now (``found``) in different ones and may still reach the threshold."""
+    outside = unsettled.filter("component <> pivot_component").select("band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    bits = reps.join(outside.select("node").distinct(), "node").select("node", "n", "registers").mapInArrow(lambda it: _bits(it, s), "node long, n long, bits array<long>, keys array<long>")
+    known = materialize(outside.join(bits, "node"), "remaining")
     words = -(-s.registers // 64)
-    side = lambda x: known.select("band", F.col("node").alias(f"{x}"), F.col("component").alias(f"c_{x}"), "pivot_component", F.col("n").alias(f"n_{x}"), *[F.col("bits")[i].alias(f"{x}{i}") for i in range(words)])
-    outside, everyone = side("x").filter("c_x <> pivot_component").drop("pivot_component"), side("y")
+    side = lambda x: known.select("band", F.col("node").alias(f"{x}"), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"k_{x}"), *[F.col("bits")[i].alias(f"{x}{i}") for i in range(words)])
     distance = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, words)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
     differ = (1 - s.percent / 100) / 2 * s.registers
-    near = distance <= int(differ + 6 * math.sqrt(differ))
-    once = (F.col("c_y") == F.col("pivot_component")) | (F.col("x") < F.col("y"))
-    met = outside.join(everyone, "band").filter((F.col("c_x") != F.col("c_y")) & once & _size_bound("n_x", "n_y", s) & near)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = distance <= int(differ + 4.5 * math.sqrt(differ))
+    earlier = lambda x: F.slice(f"k_{x}", 1, F.array_position(f"k_{x}", F.col("band")).cast("int") - 1)
+    first = ~F.arrays_overlap(earlier("x"), earlier("y"))  # a pair meets in the first band that it shares
+    met = side("x").join(side("y"), "band").filter((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & _size_bound("n_x", "n_y", s) & near & first)
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def keep_one_each(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
-    """The documents that are the smallest id of their group; repeated rows of one id stay once."""
-    groups = near_duplicates(docs, s)
+    """The document of smallest id of each group; of rows that share an id one stays, rows with a null id all do."""
+    groups = materialize(near_duplicates(docs, s).filter("doc_id IS NOT NULL"), "groups")
     gone = groups.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if groups.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
