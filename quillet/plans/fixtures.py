@@ -6,10 +6,13 @@ the checks against another engine.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.functions.findings import CATEGORIES, SEVERITIES
+from quillet.operators.review import RateLimited
 
 BUDGET = 100
 DOCS_PER_REVIEW = 50
@@ -203,3 +206,17 @@ enclosed AS (
   QUALIFY row_number() OVER (PARTITION BY c.doc_id, c.line_no ORDER BY u.end_line - u.start_line, u.start_line DESC, u.node_id DESC) = 1
 )
 """
+
+
+class ScriptedTransport:
+    """A reviewer without a model: one finding per chunk, except for chunks it always refuses."""
+
+    def complete(self, system: str, prompt: str, max_tokens: int, schema: dict | None, timeout: float) -> str:
+        file, lines = (x.split(": ", 1)[-1].removeprefix("Lines ") for x in prompt.split("\n")[:2])
+        start = int(lines.split("-")[0])
+        if schema is None:
+            return json.dumps({"is_valid": start % 3 != 0})
+        if start % 5 == 0:
+            raise RateLimited
+        found = {"file": file, "line_start": str(start), "line_end": float(start), "severity": "warning", "category": "bug", "message": f"line {start}", "code_snippet": "", "confidence": "0.5", "extra": 1}
+        return json.dumps({"chunk_id": "", "findings": [found] * (start % 2 + 1)})

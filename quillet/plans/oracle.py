@@ -115,4 +115,8 @@ FROM all_found a JOIN reviews r ON r.review_id = a.review_id WHERE a.review_id %
     "first_summary_comment": sql(f"SELECT review_id, CAST(2 AS BIGINT) AS ord, 'text ' || {_q(MARKER)} || ' no 2' AS body FROM reviews WHERE review_id % 4 <> 3"),
     "upsert_plan": _with(_COUNTED + _SECTIONS + _RENDERED, "SELECT review_id, CASE WHEN review_id % 4 <> 3 THEN 'edit' ELSE 'create' END AS action, CASE WHEN review_id % 4 <> 3 THEN CAST(2 AS BIGINT) END AS ord, length(text) AS n_chars FROM rendered"),
     "review_end_to_end": _with("", f"{_END_TO_END.strip()}").replace("\n\n,", "\n,"),
+    "live_review": sql("""SELECT review_id, chunk_id, start_line % 5 = 0 AS is_failed, n AS n_findings, CASE WHEN ok AND start_line % 3 <> 0 THEN n ELSE 0 END AS n_grounded, CASE WHEN ok AND start_line % 3 = 0 THEN n ELSE 0 END AS n_rejected
+FROM (SELECT chunks.*, CASE WHEN start_line % 5 = 0 THEN 0 ELSE start_line % 2 + 1 END AS n, doc_id % 29 <> 7 AS ok FROM chunks JOIN d ON d.review_id = chunks.review_id AND d.path = chunks.path)"""),
+    "lax_decode": sql("""SELECT review_id, conv_id, turn, ok AS readable, CAST(CASE WHEN ok THEN 2 ELSE 0 END AS BIGINT) AS n, CASE WHEN ok AND k = 3 THEN 1 WHEN ok THEN line_start END AS line_start, CASE WHEN ok AND k = 5 THEN CAST(0.25 AS DOUBLE) WHEN ok THEN CAST(0.5 AS DOUBLE) END AS confidence
+FROM (SELECT *, (conv_id * 13 + turn * 7) % 11 AS k, (conv_id * 13 + turn * 7) % 11 NOT IN (2, 4, 6, 8, 9) AS ok FROM f)"""),
 }

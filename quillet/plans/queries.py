@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.functions.findings import FIELDS, at_least, violations
+from quillet.functions.findings import FIELDS, at_least, decode_findings, violations
 from quillet.functions.text import split_lines, token_estimate
 from quillet.operators import boundaries, carry, chunk, diff, ground, review, summary
 from quillet.plans import fixtures as fx
@@ -238,6 +238,36 @@ def python_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.PythonSyntax().nodes(docs.filter("path LIKE '%.py'").select("review_id", "path", code.alias("lines"))).filter("node_type LIKE '%definition'")
 
 
+def live_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live reviewer and verifier over a scripted transport that refuses some chunks."""
+    results = materialize(review.live_review(_for_review(spark, sf_dir), fx.ScriptedTransport, sleep=_no_wait), "live-results")
+    found = ground.ground(review.flatten(results), fx.files(spark, sf_dir), lambda df: review.live_verify(df, fx.ScriptedTransport, sleep=_no_wait))
+    n = found.groupBy("review_id", "chunk_ord").agg(F.count_if(F.col("outcome") == "grounded").alias("n_grounded"), F.count_if(F.col("reason") == "verifier_rejected").alias("n_rejected"))
+    joined = results.join(n, ["review_id", "chunk_ord"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select("review_id", "chunk_id", "is_failed", F.size("findings").cast("long").alias("n_findings"), zero("n_grounded"), zero("n_rejected"))
+
+
+def _no_wait(seconds: float) -> None:
+    """The scripted transport needs no delay between attempts."""
+
+
+def lax_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as JSON arrays of two, with values that are read leniently and values that aren't."""
+    found = fx.findings(spark, sf_dir)
+    k = (F.col("chunk_ord") * 13 + F.col("finding_ord") * 7) % 11
+    start = F.when(k == 0, F.concat(F.lit('"'), "line_start", F.lit('"'))).when(k == 1, F.concat("line_start", F.lit(".0"))).when(k == 2, F.concat("line_start", F.lit(".5"))).when(k == 3, "true").otherwise(F.col("line_start").cast("string"))
+    file = F.when(k == 4, "7").otherwise(F.to_json(F.struct("file")).substr(F.lit(9), F.length(F.to_json(F.struct("file"))) - 9))
+    confidence = F.when(k == 5, '"0.25"').when(k == 6, '"much"').otherwise("0.5")
+    fix = F.when(k == 7, ', "suggested_fix": null').when(k == 8, ', "suggested_fix": 3').otherwise("")
+    one = F.concat(F.lit('{"file": '), file, F.lit(', "line_start": '), start, F.lit(', "line_end": 99, "severity": "info", "category": "bug", "message": "m", "code_snippet": "", "confidence": '), confidence, fix, F.lit("}"))
+    text = F.when(k == 9, F.concat(F.lit("["), one)).otherwise(F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]")))
+    keys = ["review_id", "chunk_ord", "finding_ord"]
+    back = decode_findings(found.select(*keys, text.alias("j")), "j", keys)
+    first = F.get("findings", F.lit(0))
+    return _named(back).select(*_KEYS, "readable", F.size("findings").cast("long").alias("n"), first["line_start"].alias("line_start"), first["confidence"].alias("confidence"))
+
+
 QUERIES: dict[str, Query] = {
     "split_lines": split_lines_query,
     "diff_changed_lines": diff_changed_lines,
@@ -266,5 +296,7 @@ QUERIES: dict[str, Query] = {
     "first_summary_comment": first_summary_comment,
     "upsert_plan": upsert_plan,
     "review_end_to_end": review_end_to_end,
+    "live_review": live_review,
+    "lax_decode": lax_decode,
     "python_boundaries": python_boundaries,
 }
