@@ -5,6 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Bytes of an Arrow batch, about, where the session sets no bound: rows of long texts must not add up.
+BATCH_BYTES = 8 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 GROUP_CHARS = 2_000_000
 
@@ -22,3 +27,11 @@ def text_groups(batches: Iterator[pa.RecordBatch], most: int = GROUP_CHARS) -> I
                 ids, texts, size = [], [], 0
         if ids:
             yield ids, texts
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on bounds its Arrow batches by bytes."""
+    conf = df.sparkSession.conf
+    if _BOUND not in conf.getAll:
+        conf.set(_BOUND, str(BATCH_BYTES))
+    return df

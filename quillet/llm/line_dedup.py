@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.batches import text_groups
+from quillet.llm.batches import bounded, text_groups
+from quillet.llm.worker_tables import claim
 from quillet.runtime import materialize
 
 _ENDS = "\t\n\x0b\x0c\r "
@@ -152,6 +153,7 @@ _LINE = "doc_id long, line_no int, line long, mark long"
 
 
 def _lines(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
+    claim("lines")
     for ids, texts in text_groups(batches):
         doc, number, line, mark = [], [], [], []
         for doc_id, text in zip(ids, texts, strict=True):
@@ -202,7 +204,7 @@ def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Record
 def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
     """Pairs of different line classes (a, m_a, b, m_b) within the threshold, both ways round not repeated."""
     texts = docs.select("doc_id", "text")
-    index = texts.mapInArrow(lambda it: _entries(it, s, False), "key long, line long, odd int")
+    index = texts.mapInArrow(lambda it: _entries(it, s, False), "key long, line long, odd int").distinct()  # else a line of every task would meet itself as often as there are pairs of tasks
     probe = texts.mapInArrow(lambda it: _entries(it, s, True), "key long, line long, odd int")
     met = index.toDF("key", "x", "odd_x").join(probe.toDF("key", "y", "odd_y"), "key")
     met = met.filter((F.col("x") != F.col("y")) & (F.bit_count(F.col("odd_x").bitwiseXOR(F.col("odd_y"))) <= 2 * s.edits))
@@ -221,7 +223,7 @@ def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, s: Lines = Lines()) -> DataFrame:
     """``doc_id, line_no, first_doc_id`` of every line to drop, and the document that keeps it."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     lines = materialize(docs.mapInArrow(lambda it: _lines(it, s), _LINE), "lines")
     classes = materialize(lines.groupBy("line", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")), "line-classes")
     links = materialize(line_links(docs, classes, s), "line-links") if s.edits else None
