@@ -36,14 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.batches import text_groups
+from quillet.llm.batches import bounded, text_groups
+from quillet.llm.worker_tables import claim, register
 from quillet.runtime import materialize
 
 FOLDS, HELD_OUT = 7, 2
 
 #: Tokens of a block, and keys that a range of the exchange takes, about.
-BLOCK_TOKENS = 1_500_000
-RANGE_KEYS = 2_000_000
+BLOCK_TOKENS = 800_000
+RANGE_KEYS = 1_000_000
 
 #: Good-Turing holds for counts up to this; larger ones lose a constant share of one.
 LARGEST_DISCOUNTED = 5
@@ -71,6 +72,7 @@ class _Words:
 
 
 _words = _Words()
+register("katz", lambda: setattr(_words, "known", {}))
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -104,6 +106,7 @@ _BLOCK = "block long, doc_ids binary, known_id binary, held binary, lengths bina
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
+    claim("katz")
     number = TaskContext.get().partitionId() << 24
     ids: list = []
     hashes: list[np.ndarray] = []
@@ -282,7 +285,7 @@ def _score(blocks: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
 
 def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = materialize(plain.mapInArrow(lambda it: _blocks(it, block_tokens), _BLOCK), "lm-blocks")
     size = blocks.agg(F.sum("n_tokens").alias("t"), F.sum("n_words").alias("w")).first()
     word_ranges, bigram_ranges = (max(4, math.ceil((n or 0) / range_keys)) for n in (size["w"], size["t"]))
