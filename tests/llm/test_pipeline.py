@@ -13,7 +13,7 @@ def test_stages_and_run_agree(spark):
         docs = materialize(stage(spark, docs, SF), "stage")
         assert docs.columns == names, name
         n.append(docs.count())
-    assert n[0] > n[1] > n[2] >= n[3] >= n[4] > n[0] / 2
+    assert n[0] > n[1] >= n[2] >= n[3] >= n[4] > n[0] / 2  # so few labels may teach nothing
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     key = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
