@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillet.llm.batches import text_groups
+from quillet.llm.batches import bounded, text_groups
 from quillet.llm.word_tokens import WordTokenizer
 from quillet.runtime import materialize
 
@@ -147,7 +147,7 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, with_
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Token pieces of at most ``capacity`` ids of every whole text; only longer texts are cut."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return plain.mapInArrow(lambda it: _cut(it, tokenizer, capacity, with_ids), PIECES + (", ids array<long>" if with_ids else ""))
 
 

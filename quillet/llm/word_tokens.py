@@ -13,20 +13,23 @@ import sys
 from array import array
 from collections.abc import Iterator
 
+from quillet.llm.worker_tables import claim, register
 
-#: Words kept by a worker, cores kept by it, and the longest of them.
-KEPT_WORDS = 150_000
-KEPT_CORES = 300_000
+#: Words kept by a worker, cores and marks kept by it, and the longest of them.
+KEPT_WORDS = 250_000
+KEPT_PARTS = 50_000
 KEPT_LENGTH = 48
 
 #: Marks that end a word without being part of a contraction.
 _MARKS = ".,!?;:|*#$%&)"
+
 #: The sign for each byte in byte-level vocabularies: itself if it prints, else the next one from U+0100 on.
 _PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_SIGNS = [chr(b) if b in _PRINTS else chr(0x100 + b - len([p for p in _PRINTS if p < b])) for b in range(256)]
 
 _marks_meet = re.compile(r"(?:[^\w ]|_)[.,] ")
 _loaded: dict[str, WordTokenizer] = {}
+register("word tokens", _loaded.clear)
 
 
 class WordTokenizer:
@@ -38,11 +41,12 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> WordTokenizer:
         """The tokenizer of this worker for ``path``."""
+        claim("word tokens")
         if path not in _loaded:
             _loaded[path] = WordTokenizer(path)
         return _loaded[path]
@@ -59,22 +63,21 @@ class WordTokenizer:
         pieces of their own) and all characters are below U+0300 (lower case then
         depends on single characters, and nothing composes).
         """
+        if word.isalpha():
+            return self._ids(word)
         core = word.rstrip(_MARKS)
         key = core.lower()
-        if not key or not key[-1].isalnum() or max(key) >= "\u0300":
+        if len(core) == len(word) or not key or not key[-1].isalnum() or max(key) >= "\u0300":
             return self._ids(word)
-        if (ids := self.cores.get(key)) is None:
-            ids = self._ids(key)
-            if len(key) <= KEPT_LENGTH:
-                self.cores[key] = ids
-        marks = word[len(core) :]
-        if not marks:
-            return ids
-        if (end := self.cores.get(marks)) is None:
-            end = self._ids(marks)
-            if len(marks) <= KEPT_LENGTH:
-                self.cores[marks] = end
-        return ids + end
+        return self._part(key) + self._part(word[len(core) :])
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.known.get(part) or self._ids(part)
+            if len(part) <= KEPT_LENGTH:
+                self.parts[part] = ids
+        return ids
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
@@ -82,9 +85,8 @@ class WordTokenizer:
         used = set().union(*split)
         if len(self.known) > KEPT_WORDS:  # keep what is in use
             self.known = {w: ids for w in used if (ids := self.known.get(w)) is not None}
-        if len(self.cores) > KEPT_CORES:
-            cores = {w.rstrip(_MARKS).lower() for w in used}
-            self.cores = {c: ids for c in cores if (ids := self.cores.get(c)) is not None}
+        if len(self.parts) > KEPT_PARTS:
+            self.parts = {}
         known = self.known
         new = used.difference(known)
         for word in new:
