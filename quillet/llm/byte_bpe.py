@@ -27,7 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.batches import text_groups
+from quillet.llm.batches import bounded, text_groups
+from quillet.llm.worker_tables import claim, register
 
 #: Entries kept by a worker: units are white space plus what follows it.
 KEPT_UNITS = 250_000
@@ -43,6 +44,7 @@ _odd_space = re.compile(r"[^\S \n]")  # of any kind, the separators U+001C to U+
 #: Marks that end a unit as one piece where letters precede them; none is part of a contraction.
 _MARKS = ".,!?;:|*#$%&)"
 _loaded: dict[tuple[str, str], ByteBpe] = {}
+register("byte bpe", _loaded.clear)
 
 
 class ByteBpe:
@@ -63,6 +65,7 @@ class ByteBpe:
     @staticmethod
     def of(path: str, pattern: str) -> ByteBpe:
         """The encoder of this worker for a file of ranks."""
+        claim("byte bpe")
         if (path, pattern) not in _loaded:
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
@@ -215,7 +218,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` of every whole text."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return plain.mapInArrow(lambda it: _encode(it, path, pattern), "doc_id long, ids array<long>")
 
 
@@ -226,5 +229,5 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token counts and digests of ids and decoded bytes, without shipping either."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return plain.mapInArrow(lambda it: _digest(it, path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
