@@ -30,19 +30,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.batches import text_groups
+from quillet.llm.batches import bounded, text_groups
+from quillet.llm.worker_tables import claim, register
 
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 PREFIXES = (4, 5)
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 @dataclass(frozen=True)
 class Settings:
-    per_class: int = 6000  # labelled rows of a class to fit on, at most
+    per_class: int = 4000  # labelled rows of a class to fit on, at most
     least_docs: int = 4  # sampled rows that a term must occur in
     least_chi: float = 12.0  # chi-square (one degree) of a term with the label, at least
     most_terms: int = 2000  # terms of largest chi-square that get parameters
@@ -74,6 +75,7 @@ class Terms:
 
 
 _terms = Terms()
+register("toxicity", lambda: setattr(_terms, "known", {}))
 
 
 class Machine:
@@ -103,20 +105,19 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, s: Settings = S
         p = min(max(share, 0.0), 1.0)
         bias = -30.0 if p <= 0 else 30.0 if p >= 1 else float(np.log(p / (1 - p)))
         return Machine(bias, np.empty(0, np.uint32), np.empty(0), np.empty((0, s.rank)))
-    sizes = np.array([len(d) for d in docs])
-    owner, flat = np.repeat(np.arange(len(docs)), sizes), np.concatenate(docs)
-    terms, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    df1 = np.bincount(inverse, weights=toxic[owner], minlength=len(terms))
+    terms, df = np.unique(np.concatenate(docs), return_counts=True)
+    among_toxic, count = np.unique(np.concatenate([d for d, t in zip(docs, toxic, strict=True) if t]), return_counts=True)
+    df1 = np.zeros(len(terms))
+    df1[np.searchsorted(terms, among_toxic)] = count
     expected = df * n1 / len(docs)
     chi = (df1 - expected) ** 2 / np.maximum(expected * (1 - n1 / len(docs)) * (1 - df / len(docs)), 1e-9)
     chi[df < s.least_docs] = -1.0
     best = np.argsort(-chi, kind="stable")[: s.most_terms]
     chosen = np.sort(best[chi[best] >= s.least_chi])
-    place = np.full(len(terms), -1)
-    place[chosen] = np.arange(len(chosen))
-    inverse = place[inverse]
-    owner, flat = owner[inverse >= 0], inverse[inverse >= 0]
-    starts = np.searchsorted(owner, np.arange(len(docs) + 1))
+    chosen_terms = terms[chosen]
+    index = Machine(0.0, chosen_terms, np.empty(0), np.empty(0)).index
+    known = [index(d) for d in docs]
+    flat, starts = np.concatenate(known), np.concatenate([[0], np.cumsum([len(k) for k in known])])
 
     rng = np.random.default_rng(s.seed)
     w, v, bias = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), s.rank)), float(np.log(share / (1 - share)))
@@ -145,15 +146,17 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, s: Settings = S
             w[touched] -= s.rate * dw / np.sqrt(gw[touched])
             v[touched] -= 0.5 * s.rate * dv / np.sqrt(gv[touched])
             bias -= s.rate * db / np.sqrt(gb)
-    return Machine(bias, terms[chosen], w, v)
+    return Machine(bias, chosen_terms, w, v)
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("toxicity")
     for toxic, texts in text_groups(batches):
         yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([_terms.of(t).tobytes() for t in texts], pa.binary())], names=["toxic", "terms"])
 
 
 def _score_rows(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
+    claim("toxicity")
     for batch in batches:
         at = batch.schema.names.index("_text")
         scores = [machine.score(_terms.of(t.as_py() or "")) for t in batch.column(at)]
@@ -172,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     few = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.per_class) for c in (0, 1)]
     sample = few[0].unionByName(few[1])  # at most 2 * per_class rows of 12 bytes
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("toxic", "text")
+    texts = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("toxic", "text")
     rows = texts.mapInArrow(_term_rows, "toxic int, terms binary").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (rows["toxic"][i].as_py(), rows["terms"][i].as_py()))  # the fit doesn't depend on the order of partitions
     rows = rows.take(pa.array(order, pa.int64()))
@@ -182,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 def score_with(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """``docs`` as it is plus ``_score``."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", F.col(text_col)).mapInArrow(lambda it: _score_rows(it, machine), f"{kinds}, _score double")
+    return bounded(docs).withColumn("_text", F.col(text_col)).mapInArrow(lambda it: _score_rows(it, machine), f"{kinds}, _score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = THRESHOLD) -> DataFrame:
