@@ -33,13 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.batches import text_groups
+from quillet.llm.batches import bounded, text_groups
 from quillet.llm.components import components
+from quillet.llm.worker_tables import claim, register
 from quillet.runtime import materialize
 
 #: Up to so many ids (about 16 MB) a list of documents to read again is broadcast.
 BROADCAST_IDS = 500_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -76,6 +77,7 @@ class _Words:
 
 
 _words = _Words()
+register("shingles", lambda: setattr(_words, "known", {}))
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -127,6 +129,7 @@ _SKETCH = "doc_id long, n_shingles long, set_id binary, registers binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], s: Sketch) -> Iterator[pa.RecordBatch]:
+    claim("shingles")
     factors = multipliers(s)
     for ids, texts in text_groups(batches):
         n, sets, regs = [], [], []
@@ -161,13 +164,13 @@ def _bands(batches: Iterator[pa.RecordBatch], s: Sketch) -> Iterator[pa.RecordBa
 
 
 def _bits(batches: Iterator[pa.RecordBatch], s: Sketch) -> Iterator[pa.RecordBatch]:
-    """One bit of each register's hash, in longs: their distance bounds the similarity. And the keys of all bands."""
+    """Four bits of each register's hash, sixteen to a long: how many differ bounds the similarity. And the keys of all bands."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        regs = _stack(batch.column("registers"), s).astype(np.uint64)
-        bit = ((regs * _M1) >> np.uint64(63)).astype(np.uint8)
-        packed = np.packbits(np.pad(bit, ((0, 0), (0, -s.registers % 64))), axis=1).view("<i8")
+        four = (_stack(batch.column("registers"), s).astype(np.uint64) * _M1) >> np.uint64(60)
+        four = np.pad(four, ((0, 0), (0, -s.registers % 16))).reshape(len(four), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+        packed = np.bitwise_or.reduce(four, axis=2).view(np.int64)
         keys = _band_keys(batch, s).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(list(packed), pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "n", "bits", "keys"])
 
@@ -183,6 +186,7 @@ def _likely(batches: Iterator[pa.RecordBatch], s: Sketch) -> Iterator[pa.RecordB
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    claim("shingles")
     for ids, texts in text_groups(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingle_set(t, size).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["node", "items"])
 
@@ -214,7 +218,7 @@ def _read_sets(docs: DataFrame, nodes: DataFrame, s: Sketch) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(plain.mapInArrow(lambda it: _sketch(it, s), _SKETCH), "sketches")
     classes = rows.filter("doc_id IS NOT NULL AND set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     reps = materialize(classes, "classes")
@@ -296,11 +300,16 @@ def _remaining_pairs(unsettled: DataFrame, found: DataFrame, reps: DataFrame, s:
     outside = unsettled.filter("component <> pivot_component").select("band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     bits = reps.join(outside.select("node").distinct(), "node").select("node", "n", "registers").mapInArrow(lambda it: _bits(it, s), "node long, n long, bits array<long>, keys array<long>")
     known = materialize(outside.join(bits, "node"), "remaining")
-    words = -(-s.registers // 64)
+    words = -(-s.registers // 16)
     side = lambda x: known.select("band", F.col("node").alias(f"{x}"), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"k_{x}"), *[F.col("bits")[i].alias(f"{x}{i}") for i in range(words)])
-    distance = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, words)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-    differ = (1 - s.percent / 100) / 2 * s.registers
-    near = distance <= int(differ + 4.5 * math.sqrt(differ))
+    lowest = F.lit(0x1111111111111111)  # of each four bits
+
+    def differing(i: int) -> Column:
+        z = F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseOR(F.shiftrightunsigned(z, 3)).bitwiseAND(lowest))
+
+    q = (1 - s.percent / 100) * 15 / 16  # of registers that differ, at the threshold
+    near = sum((differing(i) for i in range(1, words)), differing(0)) <= int(s.registers * q + 4.5 * math.sqrt(s.registers * q * (1 - q)))
     earlier = lambda x: F.slice(f"k_{x}", 1, F.array_position(f"k_{x}", F.col("band")).cast("int") - 1)
     first = ~F.arrays_overlap(earlier("x"), earlier("y"))  # a pair meets in the first band that it shares
     met = side("x").join(side("y"), "band").filter((F.col("x") < F.col("y")) & (F.col("c_x") != F.col("c_y")) & _size_bound("n_x", "n_y", s) & near & first)
