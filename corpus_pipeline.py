@@ -30,7 +30,7 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line repeats up to two edits; emptied ones go."""
+    """Documents without lines that an earlier line repeats up to the threshold; emptied ones go."""
     return drop_repeated_lines(docs)
 
 

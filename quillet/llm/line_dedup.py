@@ -1,14 +1,21 @@
 """Line deduplication by a segment-partition edit join.
 
 Lines of at least ``least_words`` words are compared across all documents; of
-lines within ``edits`` edits of each other the earliest (by document id, then
-line number) stays. Equal lines are one class. A line of length l is split into
+lines within the threshold of each other the earliest (by document id, then
+line number) stays. The threshold is ``edits`` edits of characters or, as it grows
+with the line, one edit of a word for every ``words_per_edit`` words of the shorter
+line: a changed word is one edit, however long it is. Equal lines are one class. A line of length l is split into
 edits + 1 segments; a line within the threshold has one of them as a substring
 near its place, so each line probes an index keyed by (length, segment number,
 segment) with the few substrings that can match (multi-match-aware selection).
 An edit changes the parity of at most two character classes, which bounds what the
 join returns. Candidates are verified with a banded bit-parallel edit distance.
 
+Word edits may be many, so their segments aren't numbered: e edits leave one of
+e + 1 runs of at least (n - e) / (e + 1) words untouched. Of every window of that
+many words the shingle of least hash is indexed (winnowing), so lines within the
+threshold share one, at places and with word counts that differ by at most e.
+
 A class of lines is dropped where an earlier class is linked to it, and all
 occurrences but the first are dropped where it isn't.
 
@@ -21,6 +28,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,6 +53,8 @@ BROADCAST_IDS = 500_000
 class Lines:
     edits: int = 2
     least_words: int = 5
+    words_per_edit: int = 20
+    shingle: int = 6  # words, at most words_per_edit / 2
 
     @property
     def least_chars(self) -> int:
@@ -58,6 +68,18 @@ def checked_lines(text: str, s: Lines) -> Iterator[tuple[int, str]]:
             yield number, line.strip(_ENDS)
 
 
+def word_edits(words: int, s: Lines) -> int:
+    """Edits of words allowed where the shorter line has so many."""
+    return words // s.words_per_edit
+
+
+def run_classes(s: Lines) -> list[tuple[int, float, int]]:
+    """Least and largest word count of lines that share a run of so many words if the shorter has one, two or more edits."""
+    n, last = s.words_per_edit, 3
+    runs = [-(-(e * n - e) // (e + 1)) for e in range(1, last + 1)]
+    return [(e * n, (e + 1) * n - 1 + e if e < last else math.inf, run) for e, run in enumerate(runs, 1)]
+
+
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """Start and length of the edits + 1 segments of a line; the last ones are the longer."""
     base, longer = divmod(length, edits + 1)
@@ -98,7 +120,7 @@ def parities(line: str) -> int:
     return int(np.bitwise_xor.reduce(np.uint32(1) << (np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & np.uint32(31))))
 
 
-def within(a: str, b: str, edits: int) -> bool:
+def within(a: str | list[bytes], b: str | list[bytes], edits: int) -> bool:
     """Whether the edit distance is at most ``edits``: equal ends are cut off, then a band of 2 * edits + 1 diagonals is kept as bits."""
     if abs(len(a) - len(b)) > edits:
         return False
@@ -120,7 +142,7 @@ def within(a: str, b: str, edits: int) -> bool:
     return banded(a, b, edits) <= edits
 
 
-def banded(a: str, b: str, edits: int) -> int:
+def banded(a: str | list[bytes], b: str | list[bytes], edits: int) -> int:
     """Edit distance if at most ``edits``, else edits + 1.
 
     Bit d of ``reach[e]`` tells that with e edits the diagonal d (b's place minus
@@ -129,7 +151,7 @@ def banded(a: str, b: str, edits: int) -> int:
     """
     width, m = 2 * edits + 1, len(b)
     full = (1 << width) - 1
-    where: dict[str, int] = {}
+    where: dict[str | bytes, int] = {}
     for j, c in enumerate(b):
         where[c] = where.get(c, 0) | 1 << (j + edits)
     reach = [0] * (edits + 1)
@@ -169,11 +191,12 @@ def _lines(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBat
 def _entries(batches: Iterator[pa.RecordBatch], s: Lines, probing: bool) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # spares repeats within the task; nothing depends on it
     digest = xxhash.xxh64_intdigest
+    subsumed = 2 * s.edits * (s.words_per_edit + 1)  # an edit of a character is two of words at most: longer lines meet as words
     for _, texts in text_groups(batches):
         keys, lines, marks, counts = [], [], [], []
         for text in texts:
             for _, t in checked_lines(text, s):
-                if len(t) < s.least_chars:
+                if len(t) < s.least_chars or len(t) >= 2 * subsumed and len(t.encode().split()) >= subsumed:
                     continue
                 line = digest(t.encode())
                 if line in seen:
@@ -195,9 +218,67 @@ def _entries(batches: Iterator[pa.RecordBatch], s: Lines, probing: bool) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(owner.view(np.int64)), pa.array(odd.view(np.int32))], names=["key", "line", "odd"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def winnowed(words: np.ndarray, counts: np.ndarray, run: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place (among all words) of the shingles kept of lines of ``counts`` hashed words, such that equal runs of ``run`` words share one."""
+    size, window = len(words) - shingle + 1, run - shingle + 1
+    hashed = np.zeros(size, np.uint64)
+    for i in range(shingle):
+        hashed = (hashed ^ words[i : i + size]) * np.uint64(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> np.uint64(29)
+    starts = size - window + 1
+    least, at = hashed[:starts].copy(), np.arange(starts)
+    for i in range(1, window):
+        less = hashed[i : i + starts] < least
+        least[less], at[less] = hashed[i : i + starts][less], np.flatnonzero(less) + i
+    ends = np.repeat(np.cumsum(counts), counts)
+    at = np.unique(at[np.arange(starts) + run <= ends[:starts]])
+    return hashed[at], at
+
+
+def _word_entries(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # spares repeats within the task; nothing depends on it
+    classes = run_classes(s)
+    for _, texts in text_groups(batches):
+        split: list[tuple[int, list[bytes]]] = []
+        for text in texts:
+            for _, t in checked_lines(text, s):
+                if len(t) < 2 * s.words_per_edit - 1:
+                    continue
+                data = t.encode()
+                line = xxhash.xxh64_intdigest(data)
+                if line not in seen and len(words := data.split()) >= s.words_per_edit:
+                    seen.add(line)
+                    split.append((line, words))
+        if len(seen) > 500_000:
+            seen.clear()
+        out: list[tuple[np.ndarray, ...]] = []
+        for low, high, run in classes:
+            chosen = [(line, words) for line, words in split if low <= len(words) <= high]
+            if not chosen:
+                continue
+            counts = np.array([len(words) for _, words in chosen])
+            hashed = np.fromiter((zlib.crc32(w) for _, words in chosen for w in words), np.uint64, counts.sum())
+            keys, at = winnowed(hashed, counts, run, s.shingle)
+            first = np.cumsum(counts) - counts
+            owner = np.searchsorted(first, at, "right") - 1
+            lines = np.array([line for line, _ in chosen], np.uint64)
+            out.append((keys ^ np.uint64(run), lines[owner], counts[owner], at - first[owner]))
+        if out:
+            key, line, n, at = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=["key", "line", "n", "at"])
+
+
+def near_lines(a: str, b: str, s: Lines) -> bool:
+    if within(a, b, s.edits):
+        return True
+    x, y = a.encode().split(), b.encode().split()
+    edits = word_edits(min(len(x), len(y)), s)
+    return edits > 0 and within(x, y, edits)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = [within(a.strip(_ENDS), b.strip(_ENDS), edits) for a, b in zip(batch.column("t_a").to_pylist(), batch.column("t_b").to_pylist(), strict=True)]
+        near = [near_lines(a.strip(_ENDS), b.strip(_ENDS), s) for a, b in zip(batch.column("t_a").to_pylist(), batch.column("t_b").to_pylist(), strict=True)]
         yield batch.select(["a", "m_a", "b", "m_b"]).filter(pa.array(near, pa.bool_()))
 
 
@@ -208,7 +289,12 @@ def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
     probe = texts.mapInArrow(lambda it: _entries(it, s, True), "key long, line long, odd int")
     met = index.toDF("key", "x", "odd_x").join(probe.toDF("key", "y", "odd_y"), "key")
     met = met.filter((F.col("x") != F.col("y")) & (F.bit_count(F.col("odd_x").bitwiseXOR(F.col("odd_y"))) <= 2 * s.edits))
-    pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line-pairs")
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    runs = texts.mapInArrow(lambda it: _word_entries(it, s), "key long, line long, n int, at int").repartition("key").distinct()  # one shuffle for both sides
+    shared = runs.toDF("key", "a", "n_a", "at_a").join(runs.toDF("key", "b", "n_b", "at_b"), "key")
+    allowed = F.floor(F.least("n_a", "n_b") / s.words_per_edit)
+    shared = shared.filter((F.col("a") < F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= allowed) & (F.abs(F.col("at_a") - F.col("at_b")) <= allowed))
+    pairs = materialize(met.unionByName(shared.select("a", "b")).distinct(), "line-pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     first = materialize(classes.join(wanted, "line").select("line", "mark", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "line-firsts")
@@ -218,7 +304,7 @@ def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
     found = first.join(found, "doc_id").select("line", "mark", F.get(F.split("text", "\n"), F.col("line_no")).alias("text"))
     found = materialize(found, "line-texts")
     both = pairs.join(found.toDF("a", "m_a", "t_a"), "a").join(found.toDF("b", "m_b", "t_b"), "b")
-    return both.mapInArrow(lambda it: _verify(it, s.edits), "a long, m_a long, b long, m_b long")
+    return both.mapInArrow(lambda it: _verify(it, s), "a long, m_a long, b long, m_b long")
 
 
 def dropped_lines(docs: DataFrame, s: Lines = Lines()) -> DataFrame:

@@ -151,6 +151,31 @@ def test_line_dedup(docs, prose):
     assert line_dedup.line_dedup(table.filter("false")).count() == 0
 
 
+def test_long_lines_with_changed_words_are_linked(docs, prose):
+    rng, kinds, rows = random.Random(3), "abcdefghijk", []
+    for line in prose(40, 45, seed=21, vocabulary=3000) + prose(10, 130, seed=22, vocabulary=3000) + prose(20, 21, seed=23, vocabulary=3000):
+        words = line.split()
+        rows.append(line)
+        for edits in (1, 2, 3, len(words) // 20, len(words) // 20 + 1):
+            changed = words[:]
+            for at in sorted(rng.sample(range(len(words)), edits), reverse=True):
+                changed[at : at + 1] = rng.choice(([], ["".join(rng.choices(kinds, k=9))], [changed[at], "additional"]))
+            rows.append(" ".join(changed))
+    rng.shuffle(rows)
+    rows = list(dict.fromkeys(rows))
+    split = [r.split() for r in rows]
+    want = {}
+    for i, x in enumerate(split):
+        for j in range(i):
+            y = split[j]
+            near = abs(len(x) - len(y)) <= 9 and len(set(x) & set(y)) > len(x) / 2 and distance(x, y) <= min(len(x), len(y)) // 20
+            if near or (abs(len(rows[i]) - len(rows[j])) <= 2 and len(set(x) & set(y)) > len(x) / 2 and distance(rows[i], rows[j]) <= 2):
+                want[i] = j
+                break
+    got = {r.doc_id: r.first_doc_ids[0] for r in line_dedup.line_dedup(docs(rows)).collect() if r.n_dropped}
+    assert got == want and len(want) > 100
+
+
 def brute_katz(rows):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + ["</s>"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
