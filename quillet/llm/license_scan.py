@@ -1,12 +1,13 @@
 """Licence scans by the Dice coefficient over word bigrams.
 
-A document's passages are its lines and its runs of neighbouring lines that
-mostly consist of licence bigrams (a licence text broken over lines). Passages
-and templates are normalised to lower-cased letters and digits. A passage of n
-bigrams can only reach the threshold t with templates of n * t / (2 - t) to
-n * (2 - t) / t bigrams, so templates are kept by size and the rest is skipped.
-
-Defined cases: a null or empty text has no passages and no licence; of several
+Windows slide over the words of the whole text, whatever its lines. A window can
+only reach the threshold t with a template of n bigrams if it holds n * t / (2 - t)
+of them, and it needs at most (2 - t) / t times the template's words; the best
+windows begin and end with a bigram of the template. So windows are only measured
+from a template's bigrams on, where enough of them are near each other. Of windows
+that overlap the one of the largest coefficient counts, then the longest, then the first.
+
+Defined cases: a null or empty text has no windows and no licence; of several
 templates with the same coefficient the first in the list names the licence; rows
 with a null id and repeated rows are scanned like any other; an empty table gives
 an empty result; other columns are ignored.
@@ -14,8 +15,11 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +30,6 @@ from quillet.llm.batches import bounded, text_groups
 from quillet.llm.licence_texts import TEMPLATES
 
 THRESHOLD = 0.85
-RUN_SHARE = 0.5
 
 _word = re.compile(r"[a-z0-9]+")
 
@@ -49,9 +52,14 @@ class Scanner:
         sized = sorted((len(b), i, name, b) for i, (name, text) in enumerate(templates) if (b := bigrams(normalise(text))))
         self.sizes = [n for n, *_ in sized]
         self.templates = sized
-        self.all = set().union(*(b for *_, b in sized))
         t = threshold
-        self.smallest = min(self.sizes, default=1) * t / (2 - t)
+        words = [len(normalise(text)) for _, text in templates]
+        self.needs = {i: (math.ceil(n * t / (2 - t) - 1e-9), math.floor(words[i] * (2 - t) / t + 1e-9) - 1) for n, i, *_ in sized}  # bigrams at least, places at most
+        self.named = {i: (name, b) for _, i, name, b in sized}
+        self.owners: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for _, i, _, b in sized:
+            for pair in b:
+                self.owners[pair].append(i)
 
     def best(self, found: set) -> tuple[float, str] | None:
         """The best template for a passage's bigrams, if it reaches the threshold."""
@@ -64,32 +72,61 @@ class Scanner:
                 best = (-score, i), name
         return (-best[0][0], best[1]) if best else None
 
+    def _window(self, pairs: list[tuple[str, str]], at: int, end: int, template: int) -> tuple[float, int, int, int, int] | None:
+        """The best window from place ``at`` on that ends before ``end``, as a heap entry: -coefficient, -length, start, template, end."""
+        b = self.named[template][1]
+        seen: set[tuple[str, str]] = set()
+        hits, best = 0, None
+        for k in range(at, min(end, at + self.needs[template][1])):
+            pair = pairs[k]
+            new = pair not in seen
+            seen.add(pair)
+            if pair in b:  # a repeated one lengthens the window
+                hits += new
+                score = 2 * hits / (len(seen) + len(b))
+                if score >= self.threshold and (best is None or (-score, at - k - 1) < best[:2]):
+                    best = -score, at - k - 1, at, template, k + 1
+        return best
+
+    def windows(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """First and last word, licence and coefficient of the best windows that don't overlap."""
+        pairs = list(zip(words, words[1:], strict=False))
+        owners = self.owners
+        places: dict[int, list[int]] = defaultdict(list)
+        for k, pair in enumerate(pairs):
+            if pair in owners:
+                for i in owners[pair]:
+                    places[i].append(k)
+        heap = []
+        for i, at in places.items():
+            least, most = self.needs[i]
+            for x, y in zip(at, at[least - 1 :], strict=False):
+                if y - x < most and (entry := self._window(pairs, x, len(pairs), i)):
+                    heap.append(entry)
+        heapq.heapify(heap)
+        taken: list[tuple[int, int, int, float]] = []  # first and last word, template, coefficient
+        while heap:
+            score, _, start, i, end = heapq.heappop(heap)
+            next_ = bisect_left(taken, (start,))
+            if next_ and taken[next_ - 1][1] >= start or next_ < len(taken) and taken[next_][0] == start:
+                continue
+            limit = taken[next_][0] - 1 if next_ < len(taken) else len(pairs)
+            if end <= limit:
+                insort(taken, (start, end, i, -score))
+            elif entry := self._window(pairs, start, limit, i):
+                heapq.heappush(heap, entry)
+        return [(start, end, self.named[i][0], score) for start, end, i, score in taken]
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """First and last line, licence and coefficient of each passage found; a run counts where it beats its lines."""
-        hits: list[tuple[int, int, str, float]] = []
-        run: list[tuple[int, list[str]]] = []
-        for number, line in enumerate(text.split("\n")):
-            words = normalise(line)
-            found = bigrams(words)
-            if len(found) >= self.smallest and not self.all.isdisjoint(found) and (hit := self.best(found)):
-                hits.append((number, number, hit[1], hit[0]))
-            if found and len(found & self.all) >= RUN_SHARE * len(found) or words and not found and run:
-                run.append((number, words))
-            elif words:
-                hits = self._close(run, hits)
-                run = []
-        return self._close(run, hits)
-
-    def _close(self, run: list[tuple[int, list[str]]], hits: list) -> list:
-        while run and len(run[-1][1]) < 2:  # single words only count between other lines
-            run = run[:-1]
-        if len(run) < 2 or not (hit := self.best(bigrams([w for _, words in run for w in words]))):
-            return hits
-        first, last = run[0][0], run[-1][0]
-        inside = [h for h in hits if h[0] >= first and h[1] <= last]
-        if any(h[3] > hit[0] for h in inside):
-            return hits
-        return [h for h in hits if h not in inside] + [(first, last, hit[1], hit[0])]
+        """First and last line, licence and coefficient of each window found."""
+        found = self.windows(normalise(text))
+        if not found:
+            return []
+        ends, n = [], 0
+        for line in text.split("\n"):
+            n += len(normalise(line))
+            ends.append(n)
+        return [(bisect_right(ends, first), bisect_right(ends, last), name, score) for first, last, name, score in found]
 
 
 _scanners: dict[float, Scanner] = {}

@@ -173,6 +173,30 @@ def test_licences_against_all_templates(docs, prose):
     assert license_scan.license_scan(docs(["x"]).filter("false")).count() == 0
 
 
+def test_licences_inside_lines_and_next_to_each_other(docs, prose):
+    full = [(n, t) for n, t in TEMPLATES if n in ("MIT", "ISC") and len(t) > 300]
+    lines = ["\n".join(re.findall(r".{1,70}(?:\s|$)", t)) for _, t in full]
+    words = " ".join(prose(1, 300, seed=12))
+    texts = ["x\nCopyright 2020 Foo. Released under the MIT License.", f"{words} {full[0][1]} {words} {full[1][1]} {words}", f"{lines[0]}\n\n{lines[1]}", "Released under\nthe MIT License. Licensed under CC BY 4.0.", words]
+    got = {r.doc_id: r for r in license_scan.license_scan(docs(texts)).collect()}
+    assert [got[i].licences for i in range(5)] == [["MIT"], [n for n, _ in full], [n for n, _ in full], ["MIT", "CC-BY-4.0"], []]
+    assert [list(zip(got[i].first_lines, got[i].last_lines, strict=True)) for i in (0, 1, 3)] == [[(1, 1)], [(0, 0)] * 2, [(0, 1), (1, 1)]]
+    first = lines[0].count("\n")
+    assert (got[2].last_lines[0], got[2].first_lines[1]) == (first, first + 2)
+    assert all(s == 1.0 for i in range(4) for s in got[i].scores)
+
+
+def test_windows_are_the_best_of_all(prose):
+    scanner = license_scan.Scanner(TEMPLATES, 0.7)
+    short = [t for _, t in TEMPLATES if len(t) < 130]
+    for seed, text in enumerate(short):
+        words = license_scan.normalise(f"{prose(1, 6, seed=seed)[0]} {text} extra {text[: len(text) * 2 // 3]} {short[seed - 1]} {prose(1, 3, seed=seed)[0]}")
+        got = scanner.windows(words)
+        every = [license_scan.dice(license_scan.bigrams(words[i:j]), license_scan.bigrams(license_scan.normalise(t))) for i in range(len(words)) for j in range(i + 2, len(words) + 1) for t in short]
+        assert max(s for *_, s in got) == max(every) == 1.0
+        assert all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
+
+
 def toxic_rows(prose, n, seed):
     texts, toxic = prose(n, 40, seed=seed), []
     for i in range(n):
