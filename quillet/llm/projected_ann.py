@@ -81,6 +81,14 @@ class KdTree:
         return order, bound[order]
 
 
+def _best_ids(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest scores of distinct ids, each id with its largest."""
+    order = np.argsort(-scores, kind="stable")
+    _, first = np.unique(ids[order], return_index=True)
+    kept = order[np.sort(first)[:k]]
+    return scores[kept], ids[kept]
+
+
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, length: float, s: Index) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """For each query its k best of the block: (score, id), best first. ``length`` bounds every vector's norm."""
     rest = np.sqrt(np.maximum(length * length - (vectors * vectors).sum(1), 0.0))
@@ -90,9 +98,9 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     projected, norms = queries @ axes[:-1], (queries * queries).sum(1)
     for query_id, q, p, norm in zip(query_ids.tolist(), queries, projected, norms, strict=True):
         order, bounds = tree.nearest_leaves(p)
-        rows, scores, count, best = [], [], 0, np.empty(0)
+        rows, scores, best, best_ids = [], [], np.empty(0), np.empty(0, np.int64)  # best: of distinct ids
         for leaf, bound in zip(order.tolist(), bounds.tolist(), strict=True):
-            if count >= s.k:
+            if len(best) >= s.k:
                 squared = norm + length * length - 2 * best.min()
                 if bound > quantile * max(squared, 0.0) + tiny:
                     break
@@ -101,28 +109,35 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             score = vectors[at] @ q
             rows.append(at)
             scores.append(score)
-            count += len(at)
-            best = np.concatenate([best, score])
-            if len(best) > s.k:
-                best = np.partition(best, len(best) - s.k)[-s.k :]
-        if not count:
+            if len(best) >= s.k:  # best[-1] is the least of them
+                better = score > best[-1]
+                at, score = at[better], score[better]
+            if len(at):
+                best, best_ids = _best_ids(np.concatenate([best, score]), np.concatenate([best_ids, ids[at]]), s.k)
+        if not len(best):
             yield query_id, []
             continue
         all_rows, all_scores = np.concatenate(rows), np.concatenate(scores)
-        if count > s.k:
+        if len(all_rows) > s.k:
             close = all_scores >= best.min() - 1e-9 * max(1.0, length * math.sqrt(norm))
             all_rows = all_rows[close]
             if len(all_rows) > 8 * s.k:  # many ties: of rows of one vector only the smallest ids count
                 keep = np.lexsort((ids[all_rows], *vectors[all_rows].T))
                 kept, last, run = [], None, 0
                 for r in all_rows[keep].tolist():
-                    run = run + 1 if last is not None and np.array_equal(vectors[r], vectors[last]) else 1
+                    same = last is not None and np.array_equal(vectors[r], vectors[last])
+                    if same and ids[r] == ids[last]:
+                        continue
+                    run = run + 1 if same else 1
                     last = r
                     if run <= s.k:
                         kept.append(r)
                 all_rows = np.array(kept)
-        exact = sorted((-math.fsum(vectors[r] * q), int(ids[r])) for r in all_rows)
-        yield query_id, [(-score, i) for score, i in exact[: s.k]]
+        exact: dict[int, float] = {}
+        for r in all_rows:
+            score, i = math.fsum(vectors[r] * q), int(ids[r])
+            exact[i] = max(score, exact.get(i, -math.inf))
+        yield query_id, [(score, i) for i, score in sorted(exact.items(), key=lambda x: (-x[1], x[0]))[: s.k]]
 
 
 def _search(table: pa.Table, length: float, s: Index) -> pa.Table:
@@ -146,7 +161,7 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(finite & F.exists(v, lambda x: x != 0.0))
     rows = materialize(rows, "vectors")
     sizes = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size(v) == F.lit(sizes["n"] if sizes else 0))
+    return rows.filter(F.size(v) == F.lit(sizes["n"] if sizes else 0)).distinct()  # repeated rows would fill blocks
 
 
 def _blocks(column: str, n: int) -> Column:

@@ -256,6 +256,31 @@ def test_nearest(spark, block):
     assert projected_ann.nearest(table.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_repeated_rows_take_no_places(spark, block):
+    from pyspark.sql import functions as F
+
+    vectors = np.random.default_rng(5).normal(size=(200, 8)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(vectors)]
+    near = [(i, (x * 0.999).astype(np.float32).tolist()) for i, x in enumerate(vectors)]  # an id with several vectors counts once, too
+    schema, s = "vec_id long, embedding array<float>", projected_ann.Index(block=block, leaf=8)
+    once = spark.createDataFrame(rows, schema)
+    for table, first in ((spark.createDataFrame(rows * 2, schema), rows), (spark.createDataFrame(rows * 3 + near, schema), rows + near)):
+        got = defaultdict(list)
+        for r in projected_ann.nearest(table.repartition(3), F.col("vec_id") % 20 == 0, s).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert all(len(g) == len(set(g)) == 20 for g in got.values()) and len(got) == 10
+        hits = 0
+        for q, g in got.items():
+            asked = np.array(min(x for i, x in first if i == q), np.float64)
+            best = defaultdict(lambda: -math.inf)
+            for i, x in first:
+                best[i] = max(best[i], math.fsum(np.array(x, np.float64) * asked))
+            hits += len(set(g) & set(sorted((i for i in best if i != q), key=lambda i: (-best[i], i))[:20]))
+        assert hits >= 0.95 * 200
+    assert projected_ann.nearest(once, F.col("vec_id") % 20 == 0, s).count() == 200
+
+
 def test_chi_square_quantile():
     assert projected_ann.chi_square_quantile(0.95, 2) == pytest.approx(5.991, abs=1e-3)
     assert projected_ann.chi_square_quantile(0.95, 8) == pytest.approx(15.507, abs=1e-3)
