@@ -27,6 +27,9 @@ _MARKS = ".,!?;:|*#$%&)"
 _PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_SIGNS = [chr(b) if b in _PRINTS else chr(0x100 + b - len([p for p in _PRINTS if p < b])) for b in range(256)]
 
+#: Goes before special tokens among words, which never hold it.
+_SPECIAL = "\n"
+
 _marks_meet = re.compile(r"(?:[^\w ]|_)[.,] ")
 _loaded: dict[str, WordTokenizer] = {}
 register("word tokens", _loaded.clear)
@@ -38,7 +41,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.tokenizer.encode_special_tokens = True  # texts are cut at special tokens as they stand, so a word like one (once lower-cased) isn't one
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -65,6 +70,8 @@ class WordTokenizer:
         """
         if word.isalpha():
             return self._ids(word)
+        if word.startswith(_SPECIAL):
+            return _packed([self.special[word[1:]]])
         core = word.rstrip(_MARKS)
         key = core.lower()
         if len(core) == len(word) or not key or not key[-1].isalnum() or max(key) >= "\u0300":
@@ -79,9 +86,18 @@ class WordTokenizer:
                 self.parts[part] = ids
         return ids
 
+    def _words(self, text: str) -> list[str]:
+        """Words of a text and, marked, its special tokens."""
+        words, at = [], 0
+        for m in self.specials.finditer(text):
+            words += _split(text[at : m.start()])
+            words.append(_SPECIAL + m.group())
+            at = m.end()
+        return words + _split(text[at:]) if at else _split(text)
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
-        split = [_split(t) for t in texts]
+        split = [self._words(t) for t in texts]
         used = set().union(*split)
         if len(self.known) > KEPT_WORDS:  # keep what is in use
             self.known = {w: ids for w in used if (ids := self.known.get(w)) is not None}

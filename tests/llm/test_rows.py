@@ -106,6 +106,13 @@ def test_packing_round_trip(docs, prose):
     assert packing.pack_documents(table.filter("false"), WORDS).count() == 0
 
 
+def test_special_tokens_are_the_library_s(docs):
+    texts = ["abc <|endoftext|> def", "Abc<|endoftext|>DEF <|ENDOFTEXT|> x <|startoftext|>. Y", "<|startoftext|><|endoftext|>\n<|endoftext|", "日本 É.<|endoftext|>́ x, <|EndOfText|>"]
+    encoder = Tokenizer.from_file(WORDS)
+    rows = packing.pack_documents(docs(texts), WORDS, capacity=256, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: [*encoder.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_best_fit_decreasing(seed):
     rng = np.random.default_rng(seed)
