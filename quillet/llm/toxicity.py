@@ -1,10 +1,11 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 A text's terms are its distinct lower-cased words and their first letters (so
-that inflected forms share a term), each hashed to 32 bits. The machine adds a
-weight per term and, through one short vector per term, a weight per pair of
-terms: a pair such as an insult and the mention of a group can count for more
-than both alone.
+that inflected forms share a term), each hashed to one of ``Settings.buckets``
+buckets. The machine adds a weight per bucket and, through one short vector per
+bucket, a weight per pair of them: a pair such as an insult and the mention of a
+group can count for more than both alone, or though neither counts alone. Every
+bucket of the sample has parameters; pairs count by the mean over a text's terms.
 
 The machine is fitted on the driver on a bounded sample: of each class at most
 ``Settings.per_class`` labelled rows outside the held-out fold, those of smallest
@@ -35,7 +36,7 @@ from quillet.llm.worker_tables import claim, register
 
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-PREFIXES = (4, 5)
+PREFIXES = (5,)
 KEPT_WORDS = 150_000
 
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
@@ -43,16 +44,19 @@ _edges = re.compile(r"^[\W_]+|[\W_]+$")
 
 @dataclass(frozen=True)
 class Settings:
-    per_class: int = 4000  # labelled rows of a class to fit on, at most
-    least_docs: int = 4  # sampled rows that a term must occur in
-    least_chi: float = 12.0  # chi-square (one degree) of a term with the label, at least
-    most_terms: int = 2000  # terms of largest chi-square that get parameters
+    per_class: int = 3000  # labelled rows of a class to fit on, at most
+    buckets: int = 2**18  # that terms are hashed to
     rank: int = 4
-    steps: int = 1000  # batches to learn from, at least
-    epochs: int = 25  # passes over the sample, at least
+    rounds: int = 2  # of all weights under l1, then of those that aren't zero with the vectors
+    sparse_steps: int = 100  # of a round
+    steps: int = 200  # batches of a round, at least
+    epochs: int = 8  # passes over the sample in a round, at least
     batch: int = 256
-    rate: float = 0.1
-    l2: float = 1e-5
+    rate: float = 0.4
+    pair_rate: float = 4.0
+    spread: float = 0.02  # of the vectors at the start
+    l1: float = 4.0  # standard errors
+    l2: float = 3e-3
     seed: int = 7
 
 
@@ -79,74 +83,96 @@ register("toxicity", lambda: setattr(_terms, "known", {}))
 
 
 class Machine:
-    """w0 + sum of w_i + sum over pairs of <v_i, v_j>, for the terms in ``terms`` (sorted)."""
+    """w0 + sum of w_i + mean over a text's n terms of half the sums <v_i, v_j>, over the buckets that terms are hashed to."""
 
-    def __init__(self, bias: float, terms: np.ndarray, w: np.ndarray, v: np.ndarray) -> None:
-        self.bias, self.terms, self.w, self.v = bias, terms, w, v
+    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray) -> None:
+        self.bias, self.w, self.v = bias, w, v
 
-    def index(self, hashed: np.ndarray) -> np.ndarray:
-        if not len(self.terms):
-            return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, hashed), len(self.terms) - 1)
-        return at[self.terms[at] == hashed]
-
-    def score(self, hashed: np.ndarray) -> float:
-        i = self.index(hashed)
-        v = self.v[i]
-        z = self.bias + self.w[i].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
+    def score(self, terms: np.ndarray) -> float:
+        i = bucket(terms, len(self.w))
+        v = self.v[i].astype(np.float64)
+        z = self.bias + self.w[i].sum(dtype=np.float64) + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum()) / max(1, len(i))
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))))
 
 
+def bucket(terms: np.ndarray, buckets: int) -> np.ndarray:
+    """Place of each 32-bit term in a table of a power of two of buckets."""
+    return (terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
 def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, s: Settings = Settings()) -> Machine:
-    """Fit by AdaGrad on logistic loss; ``share`` is the share of toxic rows to restore."""
+    """Fit on logistic loss; ``share`` is the share of toxic rows to restore.
+
+    All buckets of the sample have parameters. First all weights are learnt together under
+    l1, which holds a weight at zero while what the others leave unexplained is within
+    ``l1`` standard errors of none for it. Then those that aren't zero go on without l1,
+    and with them the vectors of all buckets, which l2 keeps small where pairs tell nothing.
+    Both are repeated, as a weight may count beside its pairs alone.
+    """
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
     if not n1 or not n0:
         p = min(max(share, 0.0), 1.0)
         bias = -30.0 if p <= 0 else 30.0 if p >= 1 else float(np.log(p / (1 - p)))
-        return Machine(bias, np.empty(0, np.uint32), np.empty(0), np.empty((0, s.rank)))
-    terms, df = np.unique(np.concatenate(docs), return_counts=True)
-    among_toxic, count = np.unique(np.concatenate([d for d, t in zip(docs, toxic, strict=True) if t]), return_counts=True)
-    df1 = np.zeros(len(terms))
-    df1[np.searchsorted(terms, among_toxic)] = count
-    expected = df * n1 / len(docs)
-    chi = (df1 - expected) ** 2 / np.maximum(expected * (1 - n1 / len(docs)) * (1 - df / len(docs)), 1e-9)
-    chi[df < s.least_docs] = -1.0
-    best = np.argsort(-chi, kind="stable")[: s.most_terms]
-    chosen = np.sort(best[chi[best] >= s.least_chi])
-    chosen_terms = terms[chosen]
-    index = Machine(0.0, chosen_terms, np.empty(0), np.empty(0)).index
-    known = [index(d) for d in docs]
-    flat, starts = np.concatenate(known), np.concatenate([[0], np.cumsum([len(k) for k in known])])
-
+        return Machine(bias, np.zeros(2, np.float32), np.zeros((2, s.rank), np.float32))
+    docs, toxic = [bucket(d, s.buckets) for d, _ in zip(docs, toxic, strict=True)], np.asarray(toxic, np.float64)
+    some = [len(d) > 0 for d in docs]
+    docs, toxic = [d for d, x in zip(docs, some, strict=True) if x], toxic[some]
+    used, flat = np.unique(np.concatenate(docs), return_inverse=True)
+    sizes = np.array([len(d) for d in docs])
+    starts = np.cumsum(sizes) - sizes
+    weight = np.where(toxic > 0, share * len(some) / n1, (1 - share) * len(some) / n0)
+    error = np.sqrt(share * (1 - share) * np.bincount(flat, weights=np.repeat(weight, sizes), minlength=len(used))) / len(docs)
     rng = np.random.default_rng(s.seed)
-    w, v, bias = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), s.rank)), float(np.log(share / (1 - share)))
-    gw, gv, gb = np.full(len(chosen), 1e-6), np.full((len(chosen), s.rank), 1e-6), 1e-6
-    weight = np.where(toxic > 0, share * len(docs) / n1, (1 - share) * len(docs) / n0)
-    for _ in range(max(s.epochs, -(-s.steps * s.batch // len(docs)))):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(docs), s.batch):
-            rows = order[at : at + s.batch]
-            counts = starts[rows + 1] - starts[rows]
-            row = np.repeat(np.arange(len(rows)), counts)
-            ids = flat[np.repeat(starts[rows] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
-            vi = v[ids]
-            sums = np.stack([np.bincount(row, weights=vi[:, f], minlength=len(rows)) for f in range(s.rank)], axis=1)
-            squares = np.bincount(row, weights=(vi * vi).sum(1), minlength=len(rows))
-            z = bias + np.bincount(row, weights=w[ids], minlength=len(rows)) + 0.5 * ((sums**2).sum(1) - squares)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[rows]) * weight[rows] / len(rows)
-            touched, local = np.unique(ids, return_inverse=True)
-            dw = np.bincount(local, weights=g[row], minlength=len(touched)) + s.l2 * w[touched]
-            pairs = g[row, None] * (sums[row] - vi)
-            dv = np.stack([np.bincount(local, weights=pairs[:, f], minlength=len(touched)) for f in range(s.rank)], axis=1) + s.l2 * v[touched]
-            db = g.sum()
-            gw[touched] += dw * dw
-            gv[touched] += dv * dv
-            gb += db * db
-            w[touched] -= s.rate * dw / np.sqrt(gw[touched])
-            v[touched] -= 0.5 * s.rate * dv / np.sqrt(gv[touched])
-            bias -= s.rate * db / np.sqrt(gb)
-    return Machine(bias, chosen_terms, w, v)
+    w, v, bias = np.zeros(len(used)), rng.normal(0, s.spread, (len(used), s.rank)), float(np.log(share / (1 - share)))
+    whole = lambda v: 0.5 * ((np.add.reduceat(v[flat], starts, axis=0) ** 2).sum(1) - np.add.reduceat((v * v).sum(1)[flat], starts)) / sizes
+    for _ in range(s.rounds):  # a weight may only count once the pairs do
+        bias, w = sparse_weights(bias, w, whole(v), flat, starts, sizes, toxic, weight, s.l1 * error, s.sparse_steps)
+        gw, gb, free = np.full(len(used), 1e-8), 1e-6, w != 0
+        for _ in range(max(s.epochs, -(-s.steps * s.batch // len(docs)))):
+            order = rng.permutation(len(docs))
+            for at in range(0, len(docs), s.batch):
+                rows = order[at : at + s.batch]
+                n = sizes[rows]
+                first = np.cumsum(n) - n
+                ids = flat[np.repeat(starts[rows] - first, n) + np.arange(n.sum())]
+                vi = v[ids]
+                sums = np.add.reduceat(vi, first, axis=0)
+                squares = np.add.reduceat((vi * vi).sum(1), first)
+                z = bias + np.add.reduceat(w[ids], first) + 0.5 * ((sums**2).sum(1) - squares) / n
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[rows]) * weight[rows] / len(rows)
+                dw = np.where(free, np.bincount(ids, weights=np.repeat(g, n), minlength=len(used)), 0.0)
+                each = g / n
+                pairs = np.repeat(each[:, None] * sums, n, axis=0) - np.repeat(each, n)[:, None] * vi
+                dv = np.stack([np.bincount(ids, weights=pairs[:, f], minlength=len(used)) for f in range(s.rank)], axis=1)
+                gw += dw * dw
+                gb += g.sum() ** 2
+                w -= s.rate * dw / np.sqrt(gw)
+                v = (v - s.pair_rate * dv) * (1 - s.pair_rate * s.l2)
+                bias -= s.rate * g.sum() / np.sqrt(gb)
+    all_w, all_v = np.zeros(s.buckets, np.float32), np.zeros((s.buckets, s.rank), np.float32)
+    all_w[used], all_v[used] = w, v
+    return Machine(bias, all_w, all_v)
+
+
+def sparse_weights(bias: float, w: np.ndarray, pairs: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, l1: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
+    """Bias and weights, beside what the pairs add, by accelerated proximal gradient steps over the whole sample, each bucket at a pace that bounds its curvature."""
+    n, t = len(toxic), 1.0
+    ahead, ahead_bias = w, bias
+    pace = 4.0 * n / np.maximum(np.bincount(flat, weights=np.repeat(weight * (sizes + 1), sizes), minlength=len(l1)), 1e-9)
+    bias_pace = 4.0 * n / (weight * (sizes + 1)).sum()
+    for _ in range(steps):
+        z = ahead_bias + pairs + np.add.reduceat(ahead[flat], starts)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * weight / n
+        moved = ahead - pace * np.bincount(flat, weights=np.repeat(g, sizes), minlength=len(l1))
+        new = np.sign(moved) * np.maximum(np.abs(moved) - pace * l1, 0.0)
+        new_bias = ahead_bias - bias_pace * g.sum()
+        if ((ahead - new) * (new - w)).sum() > 0:  # the momentum points uphill
+            t = 1.0
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, ahead_bias = new + (t - 1) / after * (new - w), new_bias + (t - 1) / after * (new_bias - bias)
+        w, bias, t = new, new_bias, after
+    return bias, w
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

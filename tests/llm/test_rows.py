@@ -241,6 +241,43 @@ def test_pairs_count_for_more_than_their_parts():
     assert score(1, 2) > 0.8 and score(1) < 0.2 and score(2) < 0.2
 
 
+def test_pairs_count_though_their_parts_do_not():
+    rng = np.random.default_rng(1)
+
+    def made(n):
+        rows, y = [], []
+        for _ in range(n):
+            a, b = (rng.random(2) < 0.5).tolist()
+            rows.append(np.unique(np.array([1] * a + [2] * b + rng.integers(10, 70, 8).tolist(), np.uint32)))
+            y.append(float(a != b))
+        return rows, np.array(y)
+
+    rows, y = made(1200)
+    machine = toxicity.fit(rows, y, float(np.mean(y)))
+    rows, y = made(400)
+    assert np.mean([(machine.score(r) >= 0.5) == t for r, t in zip(rows, y, strict=True)]) >= 0.95
+
+
+def test_scores_are_those_of_the_pairwise_sum():
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine(-0.5, rng.normal(size=64).astype(np.float32), rng.normal(size=(64, 3)).astype(np.float32))
+    for n in (0, 1, 2, 9, 40):
+        terms = rng.integers(0, 2**32, n).astype(np.uint32)
+        at = toxicity.bucket(terms, 64).tolist()
+        assert all(0 <= i < 64 for i in at)
+        z = -0.5 + sum(float(machine.w[i]) for i in at)
+        z += sum(float(machine.v[i].astype(float) @ machine.v[j].astype(float)) for k, i in enumerate(at) for j in at[:k]) / max(1, n)
+        assert machine.score(terms) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_toxicity_of_repeated_rows(spark, docs, prose):
+    texts, toxic = toxic_rows(prose, 200, 8)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    once = {r.doc_id: r.score for r in toxicity.toxicity(docs(texts), labels).collect()}
+    twice = toxicity.toxicity(docs(texts * 2, ids=[*range(200), *range(200)]), labels.unionByName(labels)).collect()
+    assert len(twice) == 400 and all(r.score == once[r.doc_id] for r in twice)
+
+
 @pytest.mark.parametrize(("labels", "want"), [([], 0.0), ([(0, 1, 0)], 0.0), ([(0, 1, 1)], 1.0)])
 def test_toxicity_without_both_classes(spark, docs, labels, want):
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
