@@ -96,7 +96,8 @@ def _python_nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         todo.append((child, parent))
                         continue
                     number += 1
-                    rows.append((review_id, path, number, parent, kinds.get(type(child), type(child).__name__), child.lineno, child.col_offset, child.end_lineno, child.end_col_offset))
+                    if type(child) in kinds:  # others only count as parents
+                        rows.append((review_id, path, number, parent, kinds[type(child)], child.lineno, child.col_offset, child.end_lineno, child.end_col_offset))
                     todo.append((child, number))
         out = pd.DataFrame(rows, columns=names)
         yield out.astype({"parent_id": "Int64"})

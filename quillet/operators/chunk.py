@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions.text import CHARS_PER_TOKEN, is_blank, join_lines
 from quillet.operators.boundaries import BoundaryProvider, enclosing_boundary, language, module_window, split_oversized
+from quillet.runtime import materialize
 
 TOKEN_BUDGET = 6000
 FILE = ["review_id", "file_seq", "path"]
@@ -91,14 +92,15 @@ def boundary_ranges(changed: DataFrame, files: DataFrame, nodes: DataFrame, toke
 def chunk_changes(changed: DataFrame, files: DataFrame, provider: BoundaryProvider | None = None, token_budget: int = TOKEN_BUDGET) -> DataFrame:
     """Chunks of changed lines: by syntax where the provider has nodes for the file, else between blank lines."""
     readable = files.filter("is_readable") if "is_readable" in files.columns else files
+    readable = readable.join(changed.select("review_id", "path").distinct(), ["review_id", "path"], "left_semi")
     if provider is None:
         ranges = heuristic_ranges(changed, file_lines(readable)).select(*FILE, "start_line", "end_line")
     else:
-        nodes = provider.nodes(readable.filter(language(F.col("path")).isin(*provider.languages)))
+        nodes = materialize(provider.nodes(readable.filter(language(F.col("path")).isin(*provider.languages))), "nodes")  # each changed file is parsed once
         parsed = nodes.select("review_id", "path").distinct()
         by_syntax = boundary_ranges(changed.join(parsed, ["review_id", "path"], "left_semi").select(*FILE, "line_no"), readable, nodes, token_budget)
         rest = changed.join(parsed, ["review_id", "path"], "left_anti").select(*FILE, "line_no")
-        ranges = by_syntax.unionByName(heuristic_ranges(rest, file_lines(readable)).select(*FILE, "start_line", "end_line"))
+        ranges = by_syntax.unionByName(heuristic_ranges(rest, file_lines(readable.join(parsed, ["review_id", "path"], "left_anti"))).select(*FILE, "start_line", "end_line"))
     chunks = build_chunks(merge_ranges(ranges), readable, token_budget)
     order = Window.partitionBy("review_id").orderBy("file_seq", "start_line")
     return chunks.withColumn("chunk_ord", F.row_number().over(order).cast("long"))

@@ -10,6 +10,13 @@ from quillet.functions.findings import FIELDS, FINDING, decode_findings, severit
 from quillet.operators.boundaries import first_of
 
 MARKER = "<!-- quillet:summary -->"
+
+#: The wording of the summary, as readers of the comments know it.
+HEADING = "## AI Code Review"
+NOTHING = "No issues found."
+ACROSS = " finding(s) across "
+REVIEWED = " reviewed chunk(s)"
+SKIPPED = " skipped"
 SHA_MARKER = r"<!-- quillet:last-reviewed-sha:([0-9a-fA-F]+) -->"
 FINDINGS_MARKER = r"<!-- quillet:findings:([A-Za-z0-9+/=]*) -->"
 
@@ -57,10 +64,10 @@ def render(reviews: DataFrame, findings: DataFrame) -> DataFrame:
     )
     joined = reviews.join(sections, "review_id", "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
-    body = F.when(n == 0, F.lit("No issues found.")).otherwise(F.array_join(F.transform("_s", lambda x: x["section"]), "\n"))
-    skipped = F.when(F.col("chunks_skipped") > 0, F.concat(F.lit(", "), "chunks_skipped", F.lit(" skipped"))).otherwise("")
-    totals = F.concat(F.lit("_"), n, F.lit(" finding(s) across "), "chunks_reviewed", F.lit(" reviewed chunk(s)"), skipped, F.lit("._"))
-    return joined.select("review_id", F.concat(F.lit(f"{MARKER}\n\n## AI Code Review\n\n"), body, F.lit("\n"), totals).alias("text"))
+    body = F.when(n == 0, F.lit(NOTHING)).otherwise(F.array_join(F.transform("_s", lambda x: x["section"]), "\n"))
+    skipped = F.when(F.col("chunks_skipped") > 0, F.concat(F.lit(", "), "chunks_skipped", F.lit(SKIPPED))).otherwise("")
+    totals = F.concat(F.lit("_"), n, F.lit(ACROSS), "chunks_reviewed", F.lit(REVIEWED), skipped, F.lit("._"))
+    return joined.select("review_id", F.concat(F.lit(f"{MARKER}\n\n{HEADING}\n\n"), body, F.lit("\n"), totals).alias("text"))
 
 
 def build_bodies(reviews: DataFrame, findings: DataFrame) -> DataFrame:
@@ -109,8 +116,3 @@ def apply_upserts(comments: DataFrame, plan: DataFrame) -> DataFrame:
     made = plan.filter("action = 'create'").drop("ord").join(last, "review_id", "left")
     return edited.unionByName(made.select("review_id", (F.coalesce("_last", F.lit(0)) + 1).cast("long").alias("ord"), "body"))
 
-
-def report_lines(findings: DataFrame) -> DataFrame:
-    """Terminal lines of each finding: severity and place, message, fix, confidence."""
-    rows = findings.select("review_id", *ORDER, F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "file", F.lit(":"), "line_start").alias("head"), "message", "suggested_fix", F.format_string("%.2f", "confidence").alias("confidence"))
-    return rows

@@ -49,8 +49,8 @@ def review_changes(
     The state of earlier runs is read from the summary comments; ``diffs(review_id,
     from_sha, diff_text)`` holds the text from each commit a review may start at.
     Results are unfiltered; what is posted is filtered by severity, except for
-    reviews whose diff is empty. The reviewer's output is written before use, since
-    its calls must not be repeated.
+    reviews whose diff is empty. What the reviewer and the verifier say is written
+    before use, since their calls must not be repeated.
     """
     summary = first_summary_comment(comments)
     state = reviews.join(summary.select("review_id", "ord", "body"), "review_id", "left").withColumn("since_sha", last_reviewed_sha(F.col("body")))
@@ -61,7 +61,7 @@ def review_changes(
     changed = changed_lines(diff_lines(due.filter("changed")))
     chunks = materialize(chunk_changes(changed, files, provider, token_budget), "chunks")
     results = materialize(reviewer(chunks.withColumnRenamed("path", "file")), "chunk-results")
-    grounded = ground(flatten(results), files, verifier)
+    grounded = materialize(ground(flatten(results), files, verifier), "grounded")
 
     earlier = prior_findings(due.filter("body IS NOT NULL").select("review_id", "body")).join(due.select("review_id", "since_sha"), "review_id")
     each = earlier.select("review_id", "since_sha", F.posexplode("findings").alias("_pos", "_f"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillet.functions.findings import FIELDS, decode_findings
 from quillet.functions.text import split_lines
@@ -17,16 +20,62 @@ def decode_utf8(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def read_files(spark: SparkSession, root: str, review_id: int = 0) -> DataFrame:
-    """``review_id, path, lines, is_readable`` of all files below ``root``, read once; paths are relative."""
-    base = unquote(urlparse(root).path).rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + _quoted(base), "")
-    return raw.select(F.lit(review_id).cast("long").alias("review_id"), path.alias("path"), split_lines(decode_utf8(F.col("content"))).alias("lines"), F.lit(True).alias("is_readable"))
+class RepoFilesSource(DataSource):
+    """``spark.read.format("repo_files")``: files of a checkout that is at the same place on every executor.
+
+    Options: ``root``; ``paths``: relative paths, one a line (else all files below the
+    root but those of ``.git``). A path that can't be read, such as a directory, has no
+    content and isn't readable; one that doesn't exist gives no row.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "repo_files"
+
+    def schema(self) -> str:
+        return "path string, content binary, is_readable boolean"
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        return _RepoFilesReader(self.options)
+
+
+class _Paths(InputPartition):
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
+
+
+class _RepoFilesReader(DataSourceReader):
+    def __init__(self, options: dict, each: int = 200) -> None:
+        self.root, self.wanted, self.each = options["root"], options.get("paths"), each
+
+    def _all(self) -> Iterator[str]:
+        for folder, inner, names in os.walk(self.root):
+            inner[:] = sorted(d for d in inner if d != ".git")
+            yield from (os.path.relpath(os.path.join(folder, n), self.root) for n in sorted(names))
+
+    def partitions(self) -> list[InputPartition]:
+        paths = list(self._all()) if self.wanted is None else list(dict.fromkeys(p for p in self.wanted.split("\n") if p))
+        return [_Paths(paths[i : i + self.each]) for i in range(0, len(paths), self.each)] or [_Paths([])]
+
+    def read(self, partition: _Paths) -> Iterator[tuple]:
+        top = os.path.realpath(self.root)
+        for path in partition.paths:
+            full = os.path.realpath(os.path.join(top, path))
+            if not os.path.exists(full) or os.path.commonpath([top, full]) != top:  # nothing outside the checkout
+                continue
+            try:
+                with open(full, "rb") as f:
+                    yield path, f.read(), True
+            except OSError:
+                yield path, None, False
 
 
-def _quoted(text: str) -> str:
-    return "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in text)
+def read_files(spark: SparkSession, root: str, review_id: int = 0, paths: list[str] | None = None) -> DataFrame:
+    """``review_id, path, lines, is_readable`` of all files of a checkout, or of those in ``paths``; paths are relative."""
+    spark.dataSource.register(RepoFilesSource)
+    source = spark.read.format("repo_files").option("root", unquote(urlparse(root).path))
+    raw = (source if paths is None else source.option("paths", "\n".join(paths))).load()
+    return raw.select(F.lit(review_id).cast("long").alias("review_id"), "path", split_lines(decode_utf8(F.col("content"))).alias("lines"), "is_readable")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

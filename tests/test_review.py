@@ -6,9 +6,11 @@ import json
 import subprocess
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillet.cli import main
 from quillet.functions.findings import FINDING, at_least, decode_findings, violations
@@ -266,9 +268,9 @@ def test_local_results(spark, tmp_path, capsys):
     (tmp_path / "r.json").write_text(json.dumps(good, indent=1))
     (tmp_path / "bad.json").write_text(json.dumps(good | {"findings": [{"file": "x"}]}))
     assert main(["local", str(tmp_path / "r.json")], spark) == 0
-    assert "2 finding(s) shown, 3 total." in capsys.readouterr().out
+    assert "Listed 2 of 3." in capsys.readouterr().out
     assert main(["local", str(tmp_path / "r.json"), "--min-severity", "critical"], spark) == 0
-    assert "1 finding(s) shown, 3 total." in capsys.readouterr().out
+    assert "Listed 1 of 3." in capsys.readouterr().out
     assert main(["local", str(tmp_path / "bad.json")], spark) == 1
     r = read_results(spark, str(tmp_path / "r.json")).first()
     assert (r.pr_number, r.chunks_reviewed, len(r.findings)) == (4, 0, 3)
@@ -277,7 +279,7 @@ def test_local_results(spark, tmp_path, capsys):
 def test_dry_run_command(spark, tmp_path, capsys):
     (tmp_path / "s.py").write_text("first\nsecond\n")
     assert main(["dry-run", str(tmp_path / "s.py")], spark) == 0
-    assert "1 finding(s), all fabricated" in capsys.readouterr().out
+    assert "1 made-up finding(s)." in capsys.readouterr().out
 
 
 def test_read_files(spark, tmp_path):
@@ -287,6 +289,52 @@ def test_read_files(spark, tmp_path):
     assert (r.path, r.lines, r.is_readable) == ("d/a.txt", ["one", "tw�o"], True)
 
 
+def test_read_files_of_any_name(spark, tmp_path):
+    names = ["a.py", "__init__.py", "_util.py", ".eslintrc.js", ".github/w.yml", "dir/x"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text("one\n")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "HEAD").write_text("x")
+    assert sorted(r.path for r in read_files(spark, str(tmp_path)).collect()) == sorted(names)
+    some = {r.path: r.is_readable for r in read_files(spark, str(tmp_path), paths=["__init__.py", "dir", "gone", "../" + tmp_path.name + "/../x"]).collect()}
+    assert some == {"__init__.py": True, "dir": False}
+    changed = spark.createDataFrame([(0, 1, "__init__.py", 1)], "review_id long, file_seq long, path string, line_no long")
+    assert chunk.chunk_changes(changed, read_files(spark, str(tmp_path))).count() == 1
+
+
+def test_files_are_parsed_and_findings_verified_once(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def noted(word, name):
+        def rows(batches):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write(f"{word}\n" * b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([True] * b.num_rows)], names=[*b.schema.names, name])
+
+        return lambda df: df.mapInArrow(rows, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+
+    class Syntax(boundaries.PythonSyntax):
+        def nodes(self, files):
+            return super().nodes(noted("parse", "seen")(files).drop("seen"))
+
+    code = ["def f():", "    return 1", "", "def g():", "    return 2"]
+    files = spark.createDataFrame([(1, f"m{i}.py", code, True) for i in range(10)], FILES)
+    reviews = spark.createDataFrame([(1, 7, "a", "b")], "review_id long, pr_number long, base_sha string, head_sha string")
+    diffs = spark.createDataFrame([(1, sha, "+++ b/m3.py\n@@ -1,2 +1,2 @@\n def f():\n+    return 1\n") for sha in ("a", "b")], "review_id long, from_sha string, diff_text string")
+    comments = spark.createDataFrame([], "review_id long, ord long, body string")
+    for new in (1, 2):  # the second run has a prior finding, too
+        made = review_changes(reviews, comments, diffs, files, verifier=noted("verify", "is_valid"), provider=Syntax(), min_severity="info")
+        assert [(r.start_line, r.end_line) for r in made.chunks.collect()] == [(1, 2)]
+        assert made.grounded.count() == made.findings.count() == made.posted.count() == 1
+        assert made.plan.count() == 1
+        with open(log) as f:
+            calls = f.read().split()
+        assert (calls.count("parse"), calls.count("verify")) == ((1, 1), (2, 3))[new - 1]
+        comments = spark.createDataFrame([(1, 1, made.plan.first().body)], "review_id long, ord long, body string")
+
+
 def test_empty_tables(spark):
     empty = lambda s: spark.createDataFrame([], s)
     made = review_changes(empty("review_id long, pr_number long, base_sha string, head_sha string"), empty("review_id long, ord long, body string"), empty("review_id long, from_sha string, diff_text string"), empty(FILES))
