@@ -99,8 +99,8 @@ kids AS (SELECT s.doc_id, s.node_id, u.start_line AS a, u.end_line AS b FROM siz
     "dry_run_review": sql(f"SELECT review_id, chunk_id, path AS file, start_line AS line_start, start_line AS line_end, 'info' AS severity, 'style' AS category, {_q(DRY_RUN_MESSAGE)} AS message, string_split(content, chr(10))[1] AS code_snippet, CAST(1 AS DOUBLE) AS confidence FROM chunks"),
     "build_prompt": sql(f"SELECT review_id, chunk_id, 'File: ' || path || {_NL} || 'Lines ' || start_line || '-' || end_line || CASE WHEN is_partial THEN {_q(PARTIAL_NOTE)} ELSE '' END || {_q(chr(10) * 2 + '<code>' + chr(10))} || content || {_q(chr(10) + '</code>' + chr(10) * 2 + REVIEW_REQUEST)} AS prompt FROM chunks"),
     "build_verify_prompt": sql(
-        f"SELECT review_id, conv_id, turn, 'File: ' || file || {_NL} || 'Lines ' || line_start || '-' || line_end || {_q(chr(10) * 2 + '<code>' + chr(10))} || context || {_q(chr(10) + '</code>' + chr(10) * 2 + 'Finding [')} || severity || '] (' || category || '):' || {_NL} || message"
-        f" || {_q(chr(10) * 2 + 'Referenced snippet:' + chr(10) + '```' + chr(10))} || code_snippet || {_q(chr(10) + '```' + chr(10) * 2 + VERIFY_REQUEST)} AS prompt FROM g0 WHERE found AND line_start <= n_lines"
+        f"SELECT review_id, conv_id, turn, 'File: ' || file || {_NL} || 'Lines ' || line_start || '-' || line_end || {_q(chr(10) * 2 + '<code>' + chr(10))} || context || {_q(chr(10) + '</code>' + chr(10) * 2 + 'A reviewer says (')} || severity || ', ' || category || '): ' || message"
+        f" || {_q(chr(10) * 2 + 'It quotes:' + chr(10) + '```' + chr(10))} || code_snippet || {_q(chr(10) + '```' + chr(10) * 2 + VERIFY_REQUEST)} AS prompt FROM g0 WHERE found AND line_start <= n_lines"
     ),
     "validate_findings": _with(_DAMAGED, "SELECT review_id, conv_id, turn, len(v) = 0 AS is_valid, array_to_string(v, ',') AS violations FROM broken"),
     "severity_filter": sql("SELECT review_id, conv_id, turn, severity FROM f WHERE sev >= 3"),
