@@ -11,7 +11,7 @@ offset, so no length meets in one task.
 
 Defined cases: a null text is an empty one (a single end token); null ids are
 carried; repeated rows are packed as often as they occur; pieces of equal length
-are interchangeable, ties go to the sequence opened first; an empty table gives
+are interchangeable, of equally tight sequences the one last made so tight is taken; an empty table gives
 an empty result; other columns are ignored.
 """
 
