@@ -7,9 +7,11 @@ shards; with ``target_bytes`` that number follows from the table's bytes. Median
 are found by digits: one histogram of at most 2^16 digits per node and pass, so
 no node's rows meet in one task and only one row per node reaches the driver.
 
-A unit above a quarter of a shard's bytes (at most 4 * shards of them exist) is
-dealt into smaller ones by its rows' ids, since sizes could not be near equal
-otherwise.
+Only a unit above a whole shard's bytes (fewer than ``shards`` of them exist) is
+dealt into smaller ones by its rows' ids, since no shard could hold it.
+
+``target_bytes`` makes at most ``MOST_SHARDS`` shards, since a row of each node of
+a level comes to the driver; more are refused, never made larger in silence.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; null lang,
 source or id count as 0 on their axis; repeated rows each take a slot; rows that
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from quillet.runtime import materialize
 
 SHARDS = 16
+MOST_SHARDS = 65_536
 DIMENSIONS = ("d_size", "d_lang", "d_source", "d_id")
 _AXIS = 2**31 - 1
 _DIGITS = 16
@@ -114,10 +117,12 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     total = rows.agg(F.sum("size")).first()[0] or 0
     if shards is None:
         shards = max(1, math.ceil(total / target_bytes)) if target_bytes else SHARDS
+    if shards > MOST_SHARDS:
+        raise ValueError(f"{shards} shards are more than {MOST_SHARDS}")
     per_shard = total / shards
     groups = rows.groupBy("_text", "size").agg(F.count(F.lit(1)).alias("n"))
-    heavy = groups.filter(F.col("n") * F.col("size") > per_shard / 4).select(F.col("_text"), F.col("size"), F.ceil(F.col("n") * F.col("size") / F.lit(max(per_shard / 16, 1.0))).alias("_parts"))
-    dealt = rows.join(F.broadcast(heavy), ["_text", "size"], "left")  # fewer than 4 * shards rows
+    heavy = groups.filter(F.col("n") * F.col("size") > per_shard).select(F.col("_text"), F.col("size"), F.ceil(F.col("n") * F.col("size") / F.lit(max(per_shard / 16, 1.0))).alias("_parts"))
+    dealt = rows.join(F.broadcast(heavy), ["_text", "size"], "left")  # fewer than ``shards`` rows
     dealt = dealt.withColumn("_sub", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))).drop("_parts")
     first = [F.min_by(d, F.col("doc_id")).alias(d) for d in DIMENSIONS if d != "d_size"]
     units = dealt.groupBy("_text", "size", "_sub").agg(F.sum("size").alias("weight"), F.first("d_size").alias("d_size"), *first)
