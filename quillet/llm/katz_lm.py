@@ -102,12 +102,12 @@ def _bigram_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_BLOCK = "block long, doc_ids binary, known_id binary, held binary, lengths binary, tokens binary, vocabulary binary, n_tokens long, n_words long"
+_BLOCK = "task long, block long, doc_ids binary, known_id binary, held binary, lengths binary, tokens binary, vocabulary binary, n_tokens long, n_words long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
     claim("katz")
-    number = TaskContext.get().partitionId() << 24
+    task, number = TaskContext.get().partitionId(), 0
     ids: list = []
     hashes: list[np.ndarray] = []
     size = 0
@@ -119,7 +119,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
         held = np.array([i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in ids], np.uint8)
-        row = [number, _pack(np.array([i or 0 for i in ids], np.int64)), _pack(np.array([i is not None for i in ids], np.uint8)), _pack(held), _pack(lengths), _pack(place[inverse]), _pack(vocabulary[order]), int(lengths.sum()), len(order)]
+        row = [task, number, _pack(np.array([i or 0 for i in ids], np.int64)), _pack(np.array([i is not None for i in ids], np.uint8)), _pack(held), _pack(lengths), _pack(place[inverse]), _pack(vocabulary[order]), int(lengths.sum()), len(order)]
         return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
     for some_ids, texts in text_groups(batches):
@@ -160,7 +160,7 @@ def _bounds(ranges: int) -> np.ndarray:
     return np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
 
 
-_ASK = "range long, block long, keys binary, counts binary"
+_ASK = "range long, task long, block long, keys binary, counts binary"
 
 
 def _ask(batches: Iterator[pa.RecordBatch], word_ranges: int, bigram_ranges: int) -> Iterator[pa.RecordBatch]:
@@ -168,22 +168,22 @@ def _ask(batches: Iterator[pa.RecordBatch], word_ranges: int, bigram_ranges: int
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             b = Block(row)
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for keys, counts, ranges, base in ((b.word_keys, b.word_counts, word_ranges, 0), (b.bigram_keys, b.bigram_counts, bigram_ranges, word_ranges)):
                 cuts = [0, *np.searchsorted(keys, _bounds(ranges)).tolist(), len(keys)]
                 for r, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if y > x:
-                        for column, value in zip(out, (base + r, row["block"], _pack_sorted(keys[x:y]), _pack(counts[x:y].astype(np.uint32))), strict=True):
+                        for column, value in zip(out, (base + r, row["task"], row["block"], _pack_sorted(keys[x:y]), _pack(counts[x:y].astype(np.uint32))), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["range", "block", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.binary()) for x in out[3:])], names=["range", "task", "block", "keys", "counts"])
 
 
-_TOTALS = "range long, block long, totals binary, owned binary, tokens long, kinds long, " + ", ".join(f"n{r} long" for r in range(1, LARGEST_DISCOUNTED + 2))
+_TOTALS = "range long, task long, block long, totals binary, owned binary, tokens long, kinds long, " + ", ".join(f"n{r} long" for r in range(1, LARGEST_DISCOUNTED + 2))
 
 
 def _totals(table: pa.Table) -> pa.Table:
     """Add up the counts of a range over all blocks; answer each block in its own order."""
-    order = np.argsort(table["block"].to_numpy(), kind="stable")
+    order = np.lexsort((table["block"].to_numpy(), table["task"].to_numpy()))
     table = table.take(pa.array(order))
     keys = [_unpack_sorted(x.as_py()) for x in table["keys"]]
     counts = np.concatenate([_unpack(x.as_py(), "<u4") for x in table["counts"]])
@@ -195,7 +195,7 @@ def _totals(table: pa.Table) -> pa.Table:
     answers = [(_pack(t.astype(np.uint32)), _pack(o)) for t, o in zip(np.split(totals[inverse], ends[:-1]), np.split(owned, ends[:-1]), strict=True)]
     n = len(answers)
     once = lambda value: pa.array([int(value)] + [0] * (n - 1), pa.int64())
-    columns = [table["range"], table["block"], pa.array([a for a, _ in answers], pa.binary()), pa.array([o for _, o in answers], pa.binary()), once(totals.sum()), once((totals > 0).sum())]
+    columns = [table["range"], table["task"], table["block"], pa.array([a for a, _ in answers], pa.binary()), pa.array([o for _, o in answers], pa.binary()), once(totals.sum()), once((totals > 0).sum())]
     return pa.table([*columns, *(once((totals == r).sum()) for r in range(1, LARGEST_DISCOUNTED + 2))], names=[c.split()[0] for c in _TOTALS.split(", ")])
 
 
@@ -224,7 +224,10 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(counts > k, counts - d[k + 1], d[small] * counts)
 
 
-_SCORED = "kind int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, history long, x double, y double"
+#: A document's row: the task that made its block, the block's number there, and the document's in the block.
+_PLACE = ["task", "block", "row"]
+
+_SCORED = "kind int, task long, block long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, history long, x double, y double"
 
 
 def _score(blocks: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
@@ -261,14 +264,15 @@ def _score(blocks: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
     pair, times = np.unique(b.doc[back] * (len(b.vocabulary) + 1) + b.histories[back], return_counts=True)
     pair_doc, pair_history = np.divmod(pair, len(b.vocabulary) + 1)
 
-    first = row["block"] << 24
     n = (docs, len(h), len(pair))
     rest = n[1] + n[2]
     nulls = lambda kind: pa.nulls(rest, kind)
     return pa.table(
         [
             pa.array(np.repeat(np.array([0, 1, 2], np.int32), n)),
-            pa.concat_arrays([pa.array(first + np.arange(docs)), pa.nulls(n[1], pa.int64()), pa.array(first + pair_doc)]),
+            pa.array(np.full(sum(n), row["task"])),
+            pa.array(np.full(sum(n), row["block"])),
+            pa.concat_arrays([pa.array(np.arange(docs)), pa.nulls(n[1], pa.int64()), pa.array(pair_doc)]),
             pa.concat_arrays([pa.array(b.ids, mask=b.known_id == 0), nulls(pa.int64())]),
             pa.concat_arrays([pa.array(b.held.astype(bool)), nulls(pa.bool_())]),
             pa.concat_arrays([pa.array(b.lengths), nulls(pa.int64())]),
@@ -297,15 +301,13 @@ def katz_scores(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, range_keys: i
     training = plain.select(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT, F.lit(True)).cast("long").alias("t")).agg(F.sum("t")).first()[0]
     model = {"n": words["n"] or 0, "v": words["v"] or 0, "training_docs": training or 0, "word_ranges": word_ranges, "d": discounts([pairs[f"n{r}"] or 0 for r in range(1, LARGEST_DISCOUNTED + 2)])}
 
-    answers = totals.select("range", "block", "totals", "owned")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: _score(left, right, model), _SCORED)
+    answers = totals.select("range", "task", "block", "totals", "owned")
+    scored = blocks.groupBy("task", "block").cogroup(answers.groupBy("task", "block")).applyInArrow(lambda left, right: _score(left, right, model), _SCORED)
     scored = materialize(scored, "lm-scored")
     weights = scored.filter("kind = 1").groupBy("history").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     weights = weights.select("history", F.log10((1 - F.col("x")) / (1 - F.col("y"))).alias("weight"))
-    backoffs = scored.filter("kind = 2").select("row", "history", F.col("x").alias("times"))
-    total = backed_off(backoffs, weights).withColumnRenamed("row", "_row")
-    rows = scored.filter("kind = 0")
-    out = rows.join(total, rows["row"] == total["_row"], "left")
+    backoffs = scored.filter("kind = 2").select(*_PLACE, "history", F.col("x").alias("times"))
+    out = scored.filter("kind = 0").join(backed_off(backoffs, weights), _PLACE, "left")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
 
 
@@ -317,5 +319,5 @@ def backed_off(backoffs: DataFrame, weights: DataFrame) -> DataFrame:
     hot = materialize(weights.join(F.broadcast(hot), "history", "left_semi"), "lm-hot")
     near = backoffs.join(F.broadcast(hot), "history", "left")
     rare = near.filter("weight IS NULL").drop("weight").join(weights.join(F.broadcast(hot.select("history")), "history", "left_anti"), "history")
-    done = near.filter("weight IS NOT NULL").select("row", "times", "weight").unionByName(rare.select("row", "times", "weight"))
-    return done.groupBy("row").agg(F.sum(F.col("times") * F.col("weight")).alias("backoff"))
+    done = near.filter("weight IS NOT NULL").select(*_PLACE, "times", "weight").unionByName(rare.select(*_PLACE, "times", "weight"))
+    return done.groupBy(*_PLACE).agg(F.sum(F.col("times") * F.col("weight")).alias("backoff"))
