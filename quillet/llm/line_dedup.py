@@ -2,25 +2,35 @@
 
 Lines of at least ``least_words`` words are compared across all documents; of
 lines within the threshold of each other the earliest (by document id, then
-line number) stays. The threshold is ``edits`` edits of characters or, as it grows
-with the line, one edit of a word for every ``words_per_edit`` words of the shorter
-line: a changed word is one edit, however long it is. Equal lines are one class. A line of length l is split into
-edits + 1 segments; a line within the threshold has one of them as a substring
-near its place, so each line probes an index keyed by (length, segment number,
-segment) with the few substrings that can match (multi-match-aware selection).
-An edit changes the parity of at most two character classes, which bounds what the
-join returns. Candidates are verified with a banded bit-parallel edit distance.
-
-Word edits may be many, so their segments aren't numbered: e edits leave one of
-e + 1 runs of at least (n - e) / (e + 1) words untouched. Of every window of that
-many words the shingle of least hash is indexed (winnowing), so lines within the
-threshold share one, at places and with word counts that differ by at most e.
+line number) stays. The threshold is ``edits`` edits of characters (none for
+lines under 8 * edits characters) or, as it grows with the line, one edit of a
+word for every ``words_per_edit`` words of the shorter line: a changed word is one
+edit, however long it is. Equal lines are one class.
+
+A line of length l is split into edits + 1 segments; a line within the threshold
+has one of them as a substring near its place, so each line probes keys of
+(length, segment number, segment) with the few substrings that can match
+(multi-match-aware selection), its own segments among them. Word edits may be many,
+so their segments aren't numbered: e edits leave one of e + 1 runs of at least
+(n - e) / (e + 1) words untouched. Of every window of that many words the shingle
+of least hash is a key (winnowing), so lines within the threshold share one, at
+places and with word counts that differ by at most e. Edits of characters touch few
+words, so lines of many words meet by these keys alone.
+
+Nothing emits the pairs of a key. A key's lines are read in order of their first
+occurrence, and each line is paired with the earliest one that may be within
+the threshold by places, word counts and the parities of character and word
+classes (an edit changes two of them at most). The pairs are verified with a banded
+bit-parallel edit distance. A line whose earliest partner of a key fails while
+others of that key may still come before the earliest found so far is compared with
+those in order until one succeeds; blocks of a key's lines are dealt to tasks for
+that, and one link at most leaves a block for each line.
 
 A class of lines is dropped where an earlier class is linked to it, and all
 occurrences but the first are dropped where it isn't.
 
 Defined cases: a null text has no lines; rows with a null id are left alone; rows
-that share an id are taken as the same document; shorter lines, and lines of
+that share an id are taken as the same document; lines of fewer words, and lines of
 spaces only, are never dropped; lines are compared without the white space at
 their ends; lines under 8 * edits characters only match equal ones; an empty
 table gives an empty result; other columns are ignored.
@@ -29,7 +39,10 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,13 +53,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.batches import bounded, text_groups
-from quillet.llm.worker_tables import claim
+from quillet.llm.worker_tables import claim, register
 from quillet.runtime import materialize
 
 _ENDS = "\t\n\x0b\x0c\r "
 
-#: Up to so many ids (about 16 MB) a list of documents to read again is broadcast.
-BROADCAST_IDS = 500_000
+#: Up to so many wanted lines (some 10 MB) the list of documents to read again is broadcast.
+BROADCAST_LINES = 300_000
+
+#: Lines that occur in at least 1 / HOT of all places (at most HOT of them) are joined by broadcast.
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -55,17 +71,19 @@ class Lines:
     least_words: int = 5
     words_per_edit: int = 20
     shingle: int = 6  # words, at most words_per_edit / 2
+    block: int = 1024  # lines of a key that are held in memory; those of a larger key are dealt out in blocks of so many
 
     @property
     def least_chars(self) -> int:
         return max(8 * self.edits, self.edits + 1)
 
-
-def checked_lines(text: str, s: Lines) -> Iterator[tuple[int, str]]:
-    """Number (from 0) and trimmed text of each line that is compared."""
-    for number, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * s.least_words - 1 and len(line.encode().split(None, s.least_words)) >= s.least_words:
-            yield number, line.strip(_ENDS)
+    @property
+    def many_words(self) -> int:
+        """From so many words on the keys of word runs also find lines within ``edits`` edits of characters."""
+        classes = 2
+        while _run_after_edits(classes * self.words_per_edit, self) < self.shingle:
+            classes += 1
+        return classes * self.words_per_edit
 
 
 def word_edits(words: int, s: Lines) -> int:
@@ -73,11 +91,20 @@ def word_edits(words: int, s: Lines) -> int:
     return words // s.words_per_edit
 
 
+def _run_after_edits(words: int, s: Lines) -> int:
+    """Longest run of words that stays, at least, where each edit of a character touches two neighbouring words at most."""
+    return -(-(words - 2 * s.edits) // (s.edits + 1))
+
+
 def run_classes(s: Lines) -> list[tuple[int, float, int]]:
-    """Least and largest word count of lines that share a run of so many words if the shorter has one, two or more edits."""
-    n, last = s.words_per_edit, 3
-    runs = [-(-(e * n - e) // (e + 1)) for e in range(1, last + 1)]
-    return [(e * n, (e + 1) * n - 1 + e if e < last else math.inf, run) for e, run in enumerate(runs, 1)]
+    """Least and largest word count of lines that share a run of so many words, for one, two or more edits of the shorter."""
+    n, last, out = s.words_per_edit, max(3, s.many_words // s.words_per_edit), []
+    for e in range(1, last + 1):
+        run = -(-(e * n - e) // (e + 1))
+        if e * n >= s.many_words:
+            run = min(run, _run_after_edits(e * n, s))
+        out.append((e * n, (e + 1) * n - 1 + max(e, s.edits) if e < last else math.inf, run))
+    return out
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -101,23 +128,377 @@ def probes(length: int, indexed: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-_plans: dict[tuple[int, int], tuple[list, list]] = {}
+#: What the ``place`` of an entry says if it isn't the place of a run of words.
+_PROBE, _SEGMENT, _ANYWHERE = -1, -2, -3
+
+_plans: dict[tuple[int, int], np.ndarray] = {}
+register("lines", _plans.clear)
 
 
-def _plan(length: int, s: Lines) -> tuple[list, list]:
-    """(seed, from, to) of the index entries and of the probes of a line of this length."""
+def _plan(length: int, s: Lines) -> np.ndarray:
+    """Seed, from, to and place of the probes of a line of this length; those that are its own segments say so."""
     if (length, s.edits) not in _plans:
-        index = [(length * 16 + i, a, a + n) for i, (a, n) in enumerate(segments(length, s.edits))]
-        probe = [(k * 16 + i, a, a + n) for k in range(max(s.least_chars, length - s.edits), length + 1) for i, a, n in probes(length, k, s.edits)]
+        own = set(segments(length, s.edits))
+        rows = [(k * 16 + i, a, a + n, _SEGMENT if k == length and (a, n) in own and segments(length, s.edits)[i] == (a, n) else _PROBE) for k in range(max(s.least_chars, length - s.edits), length + 1) for i, a, n in probes(length, k, s.edits)]
         if len(_plans) > 5000:
             _plans.clear()
-        _plans[length, s.edits] = index, probe
+        _plans[length, s.edits] = np.array(rows, np.int64).reshape(-1, 4).T
     return _plans[length, s.edits]
 
 
-def parities(line: str) -> int:
-    """Whether each of 32 classes of characters occurs an odd number of times; an edit changes two of them at most."""
-    return int(np.bitwise_xor.reduce(np.uint32(1) << (np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & np.uint32(31))))
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+_powers: list[np.ndarray] = []
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _M1
+    h = (h ^ (h >> np.uint64(29))) * _M2
+    return h ^ (h >> np.uint64(32))
+
+
+def _powers_up_to(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.where(np.arange(n + 1) > 0, np.uint64(x), np.uint64(1)), dtype=np.uint64) for x in (_BASE, _INVERSE)]
+    return _powers
+
+
+register("line powers", _powers.clear)
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items of so many parts: the item of each part, and the part's number within it."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+_digest = xxhash.xxh3_128_digest
+
+
+class Part:
+    """The compared lines of some texts, as arrays."""
+
+    def __init__(self, ids: list[int], firsts: list[int], texts: list[str], s: Lines) -> None:
+        self.codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        space = np.concatenate([[True], (self.codes == 32) | ((self.codes >= 9) & (self.codes <= 13)), [True]])
+        change = np.flatnonzero(space[1:] != space[:-1])
+        self.word_start, self.word_end = change[::2], change[1::2]
+        breaks = np.flatnonzero(self.codes == 10)
+        line_of = np.searchsorted(breaks, self.word_start)
+        line, first = np.unique(line_of, return_index=True)
+        words = np.diff(np.append(first, len(line_of)))
+        long_enough = words >= s.least_words
+        line, self.first, self.words = line[long_enough], first[long_enough], words[long_enough]
+        self.start, self.end = self.word_start[self.first], self.word_end[self.first + self.words - 1]
+        sizes = np.array([len(t) for t in texts])
+        text_start = np.cumsum(sizes + 1) - sizes - 1
+        doc = np.searchsorted(text_start, self.start, "right") - 1
+        self.doc_id = np.array(ids, np.int64)[doc]
+        self.line_no = line - np.searchsorted(breaks, text_start)[doc] + np.array(firsts, np.int64)[doc]
+        view = memoryview(self.codes).cast("B")
+        digests = b"".join([_digest(view[4 * a : 4 * b]) for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)])
+        self.line, self.mark = np.frombuffer(digests, "<i8").reshape(-1, 2).T
+
+    def __len__(self) -> int:
+        return len(self.line)
+
+    def take(self, rows: np.ndarray) -> None:
+        """Keep some of the lines."""
+        for name in ("first", "words", "start", "end", "doc_id", "line_no", "line", "mark"):
+            setattr(self, name, getattr(self, name)[rows])
+
+    def hash_all(self) -> None:
+        power, inverse = _powers_up_to(len(self.codes) + 1)
+        n = len(self.codes)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(self.codes.astype(np.uint64) + _M2) * inverse[:n], dtype=np.uint64)])
+        self.power = power
+
+    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of slices of the text that depend on their characters alone."""
+        return _mix((self.sums[end] - self.sums[start]) * self.power[start])
+
+    def word_rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed words of some lines, and how many each has."""
+        owner, k = _spread(self.words[rows])
+        at = self.first[rows][owner] + k
+        return self.slices(self.word_start[at], self.word_end[at]), self.words[rows]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], s: Lines, most: int = 400_000) -> Iterator[Part]:
+    """Texts as parts of about ``most`` characters; a longer one is cut where a line ends."""
+    for all_ids, all_texts in text_groups(batches, most):
+        ids, firsts, texts = [], [], []
+        for doc_id, text in zip(all_ids, all_texts, strict=True):
+            at, number = 0, 0
+            while len(text) - at > 2 * most and (cut := text.find("\n", at + most)) >= 0:
+                yield Part([doc_id], [number], [text[at:cut]], s)
+                number += text.count("\n", at, cut) + 1
+                at = cut + 1
+            ids.append(doc_id)
+            firsts.append(number)
+            texts.append(text[at:])
+        yield Part(ids, firsts, texts, s)
+
+
+def _parities(bits: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Exclusive or of each slice; slices aren't empty and don't overlap."""
+    if not len(start):
+        return bits[:0]
+    return np.bitwise_xor.reduceat(np.append(bits, bits[:1]), np.column_stack([start, end]).ravel())[::2]
+
+
+_LINE = "doc_id long, line_no int, line long, mark long, words int, odd int, p long, q long"
+
+
+def _lines(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
+    """Each compared line: its two hashes, its words, and the parities of its character classes and (in two halves) its word classes."""
+    claim("lines")
+    for part in _pieces(batches, s):
+        if not len(part):
+            continue
+        part.hash_all()
+        odd = _parities(np.uint32(1) << (part.codes & np.uint32(31)), part.start, part.end)
+        hashed, counts = part.word_rows(np.arange(len(part)))
+        kind, end = hashed >> np.uint64(57), np.cumsum(counts)
+        one = np.uint64(1) << (kind & np.uint64(63))
+        p, q = (_parities(np.where((kind >> np.uint64(6)) == half, one, np.uint64(0)), end - counts, end) for half in (0, 1))
+        columns = [pa.array(part.doc_id), pa.array(part.line_no.astype(np.int32)), pa.array(part.line), pa.array(part.mark), pa.array(part.words.astype(np.int32)), pa.array(odd.view(np.int32)), pa.array(p.view(np.int64)), pa.array(q.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _LINE.split(", ")])
+
+
+def winnowed(words: np.ndarray, counts: np.ndarray, run: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place (among all words) of the shingles kept of lines of ``counts`` hashed words, such that equal runs of ``run`` words share one."""
+    size, window = len(words) - shingle + 1, run - shingle + 1
+    hashed = np.zeros(size, np.uint64)
+    for i in range(shingle):
+        hashed = (hashed ^ words[i : i + size]) * _M1
+        hashed ^= hashed >> np.uint64(29)
+    starts = size - window + 1
+    least, at = hashed[:starts].copy(), np.arange(starts)
+    for i in range(1, window):
+        less = hashed[i : i + starts] < least
+        least[less], at[less] = hashed[i : i + starts][less], np.flatnonzero(less) + i
+    ends = np.repeat(np.cumsum(counts), counts)
+    at = np.unique(at[np.arange(starts) + run <= ends[:starts]])
+    return hashed[at], at
+
+
+_ENTRY = "key long, line long, place int"
+
+
+def _entries(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
+    """The keys by which lines may meet."""
+    claim("lines")
+    seen: set[int] = set()  # spares repeats within the task; nothing depends on it
+    classes = run_classes(s)
+    for part in _pieces(batches, s):
+        _, once = np.unique(part.line, return_index=True)
+        lines = part.line[once].tolist()
+        part.take(once[[x not in seen for x in lines]] if lines else once)
+        seen.update(lines)
+        if len(seen) > 200_000:
+            seen.clear()
+        if not len(part):
+            continue
+        part.hash_all()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        length = part.end - part.start
+        few = np.flatnonzero((length >= s.least_chars) & (part.words < s.many_words + s.edits)) if s.edits else np.empty(0, np.int64)
+        if len(few):
+            sizes, kind = np.unique(length[few], return_inverse=True)
+            plans = [_plan(n, s) for n in sizes.tolist()]
+            counts = np.array([p.shape[1] for p in plans])
+            seed, a, b, place = np.concatenate(plans, axis=1)
+            owner, k = _spread(counts[kind])
+            at = (np.cumsum(counts) - counts)[kind][owner] + k
+            start = part.start[few][owner]
+            key = _mix(part.slices(start + a[at], start + b[at]) ^ _mix(seed[at].astype(np.uint64)))
+            out.append((key, part.line[few][owner], place[at]))
+        for low, high, run in classes:
+            rows = np.flatnonzero((part.words >= low) & (part.words <= high))
+            if not len(rows):
+                continue
+            hashed, counts = part.word_rows(rows)
+            key, at = winnowed(hashed, counts, run, s.shingle)
+            first = np.cumsum(counts) - counts
+            owner = np.searchsorted(first, at, "right") - 1
+            out.append((key ^ np.uint64(run), part.line[rows][owner], at - first[owner]))
+        if out:
+            key, line, place = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line), pa.array(place.astype(np.int32))], names=["key", "line", "place"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by key and line, those of keys that several lines have, once for each line."""
+    held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]  # the last line, which may go on
+    before = None  # the key of the line before it
+
+    def several(key: np.ndarray) -> np.ndarray:
+        same = key[1:] == key[:-1]
+        out = np.append(same, False)
+        out[1:] |= same
+        if len(key) and key[0] == before:
+            out[0] = True
+        return out
+
+    batch_of = lambda columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "line", "place"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, line, place = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True))
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
+        least, most = np.minimum.reduceat(place, start), np.maximum.reduceat(place, start)
+        key, line, place = key[start], line[start], np.where((least == most) | (least < 0), least, _ANYWHERE).astype(np.int32)
+        keep = np.flatnonzero(several(key)[:-1])
+        if len(key) > 1:
+            before = key[-2]
+        held = [key[-1:], line[-1:], place[-1:]]
+        yield batch_of([key[keep], line[keep], place[keep]])
+    keep = np.flatnonzero(several(held[0]))
+    yield batch_of([h[keep] for h in held])
+
+
+_MEMBER = "key long, line long, mark long, place int, doc_id long, line_no int, words int, odd int, p long, q long"
+_NAMES = [c.split()[0] for c in _MEMBER.split(", ")]
+
+
+class Members:
+    """Lines of keys, in order of key and first occurrence."""
+
+    def __init__(self, columns: dict[str, np.ndarray]) -> None:
+        self.columns = columns
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch | pa.Table) -> Members:
+        return cls({n: batch.column(n).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(n).to_numpy() for n in _NAMES})
+
+    def __getitem__(self, rows: np.ndarray | slice) -> Members:
+        return Members({n: c[rows] for n, c in self.columns.items()})
+
+    def __len__(self) -> int:
+        return len(self.columns["key"])
+
+    def join(self, other: Members) -> Members:
+        return Members({n: np.concatenate([c, other.columns[n]]) for n, c in self.columns.items()})
+
+    def changed_words(self, least: np.ndarray, s: Lines) -> np.ndarray:
+        """How far counts of words may differ in all where the shorter of two lines has ``least`` words."""
+        edits = least // s.words_per_edit
+        return np.where(least >= s.many_words, np.maximum(2 * edits, 3 * s.edits), 2 * edits)
+
+    def maybe_near(self, i: np.ndarray, j: np.ndarray, s: Lines, other: Members | None = None) -> np.ndarray:
+        """Whether lines i and lines j (of ``other``) of a key may be within the threshold; shapes broadcast."""
+        names = ("line", "mark", "place", "words", "odd", "p", "q")
+        x, y = {n: self.columns[n][i] for n in names}, {n: (other or self).columns[n][j] for n in names}
+        bits = lambda n, kind: np.bitwise_count((x[n] ^ y[n]).view(kind)).astype(np.int32)
+        least = np.minimum(x["words"], y["words"])
+        edits = least // s.words_per_edit
+        drift = np.where(least >= s.many_words, np.maximum(edits, s.edits), edits)
+        anywhere = (x["place"] == _ANYWHERE) | (y["place"] == _ANYWHERE)
+        run = (np.abs(x["words"] - y["words"]) <= drift) & (anywhere | (np.abs(x["place"] - y["place"]) <= drift)) & (bits("p", np.uint64) + bits("q", np.uint64) <= self.changed_words(least, s))
+        by_run = ((x["place"] >= 0) | (x["place"] == _ANYWHERE)) & ((y["place"] >= 0) | (y["place"] == _ANYWHERE)) & run
+        by_segment = ((x["place"] == _SEGMENT) & ((y["place"] == _SEGMENT) | (y["place"] == _PROBE)) | (x["place"] == _PROBE) & (y["place"] == _SEGMENT)) & (bits("odd", np.uint32) <= 2 * s.edits)
+        return (by_run | by_segment) & ((x["line"] != y["line"]) | (x["mark"] != y["mark"]))
+
+
+#: kind 0: a line and the earliest of a key that it may be near to; 1: a line that may have others there
+#: (place: order of the last one seen); 2: a line of a key that has such ones.
+_MET = "kind int, key long, block int, line long, mark long, place int, c_line long, c_mark long, last_doc long, last_no int"
+
+
+def _met(kind: int, rows: Members, block: np.ndarray | int, other: Members | None = None) -> pa.RecordBatch:
+    n, x = len(rows), rows.columns
+    none = lambda t: pa.nulls(n, t)
+    y = other.columns if other is not None else None
+    columns = [
+        pa.array(np.full(n, kind, np.int32)), pa.array(x["key"]), pa.array(np.broadcast_to(np.asarray(block, np.int32), n).copy()), pa.array(x["line"]), pa.array(x["mark"]), pa.array(x["place"]),
+        none(pa.int64()) if y is None else pa.array(y["line"]), none(pa.int64()) if y is None else pa.array(y["mark"]), none(pa.int64()) if y is None else pa.array(y["doc_id"]), none(pa.int32()) if y is None else pa.array(y["line_no"]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _MET.split(", ")])
+
+
+def _meet(m: Members, s: Lines, tell: bool = True) -> Iterator[pa.RecordBatch]:
+    """Whole keys of at most ``block`` lines each, or a key's first block, whose lines are told elsewhere."""
+    key = m.columns["key"]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    run = np.diff(np.append(starts, len(key)))
+    owner, place = _spread(run)
+    first, met = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    rows, back = np.flatnonzero(place >= 1), 1
+    while len(rows):
+        near = rows[m.maybe_near(rows, rows - back, s)]
+        first[near] = near - back  # the farthest back is the earliest
+        met[near] += 1
+        back += 1
+        rows = rows[place[rows] >= back]
+    some = np.flatnonzero(met)
+    yield _met(0, m[some], 0, m[first[some]])
+    more = np.flatnonzero(met > 1)
+    if len(more):
+        yield _met(1, m[more], 0, m[first[more]])
+        if tell:
+            yield _met(2, m[np.isin(owner, owner[more])], 0)
+
+
+def _meet_first_block(m: Members, number: int, block: Members, s: Lines) -> Iterator[pa.RecordBatch]:
+    """Lines of a larger key, ``number`` of which came before, with the key's first block; all may have others."""
+    earliest = []
+    for at in range(0, len(m), 256):
+        rows = np.arange(at, min(len(m), at + 256))
+        near = m.maybe_near(rows[:, None], np.arange(len(block))[None, :], s, block)
+        earliest.append(np.where(near.any(1), near.argmax(1), -1))
+    first = np.concatenate(earliest)
+    some = np.flatnonzero(first >= 0)
+    blocks = (number + np.arange(len(m))) // s.block
+    yield _met(0, m[some], blocks[some], block[first[some]])
+    yield _met(1, m, blocks, block[first])  # -1: the block's last line, as none of it may be near
+    yield _met(2, m, blocks)
+
+
+def _select(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
+    """Candidates among lines sorted by key and first occurrence; holds a block of a key and a batch at most."""
+    held: Members | None = None  # of the key that may go on
+    block, number = None, 0  # first block of a key that has more, and how many of its lines have passed
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m = Members.of(batch)
+        m = held.join(m) if held is not None else m
+        key = m.columns["key"]
+        if block is not None:
+            go_on = int(np.searchsorted(key != block.columns["key"][0], True)) if key[0] == block.columns["key"][0] else 0
+            if go_on:
+                yield from _meet_first_block(m[:go_on], number, block, s)
+            number += go_on
+            m, key = m[go_on:], key[go_on:]
+            if not len(m):
+                held = None
+                continue
+            block = None
+        last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+        whole, held = m[:last], m[last:]
+        runs = np.diff(np.append(np.flatnonzero(np.append(True, key[:last][1:] != key[:last][:-1])), last)) if last else np.empty(0, np.int64)
+        yield from _meet_runs(whole, runs, s)
+        if len(held) > s.block:
+            block, rest, number = held[:s.block], held[s.block:], s.block
+            yield from _meet(block, s, tell=False)
+            yield _met(2, block, 0)
+            yield from _meet_first_block(rest, number, block, s)
+            number, held = number + len(rest), None
+    if held is not None:
+        yield from _meet_runs(held, np.array([len(held)]), s)
+
+
+def _meet_runs(m: Members, runs: np.ndarray, s: Lines) -> Iterator[pa.RecordBatch]:
+    """Whole keys; those of more than ``block`` lines one by one."""
+    ends = np.cumsum(runs)
+    small = np.repeat(runs <= s.block, runs)
+    yield from _meet(m[np.flatnonzero(small)], s)
+    for a, b in zip((ends - runs)[runs > s.block].tolist(), ends[runs > s.block].tolist(), strict=True):
+        block = m[a : a + s.block]
+        yield from _meet(block, s, tell=False)
+        yield _met(2, block, 0)
+        yield from _meet_first_block(m[a + s.block : b], s.block, block, s)
 
 
 def within(a: str | list[bytes], b: str | list[bytes], edits: int) -> bool:
@@ -171,158 +552,151 @@ def banded(a: str | list[bytes], b: str | list[bytes], edits: int) -> int:
     return next((e for e in range(edits + 1) if 0 <= end < width and reach[e] >> end & 1), edits + 1)
 
 
-_LINE = "doc_id long, line_no int, line long, mark long"
-
-
-def _lines(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
-    claim("lines")
-    for ids, texts in text_groups(batches):
-        doc, number, line, mark = [], [], [], []
-        for doc_id, text in zip(ids, texts, strict=True):
-            for k, t in checked_lines(text, s):
-                data = t.encode()
-                doc.append(doc_id)
-                number.append(k)
-                line.append(xxhash.xxh64_intdigest(data))
-                mark.append(zlib.crc32(data) << 24 | len(t) & 0xFFFFFF)
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(np.array(line, np.uint64).view(np.int64)), pa.array(mark, pa.int64())], names=["doc_id", "line_no", "line", "mark"])
-
-
-def _entries(batches: Iterator[pa.RecordBatch], s: Lines, probing: bool) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # spares repeats within the task; nothing depends on it
-    digest = xxhash.xxh64_intdigest
-    subsumed = 2 * s.edits * (s.words_per_edit + 1)  # an edit of a character is two of words at most: longer lines meet as words
-    for _, texts in text_groups(batches):
-        keys, lines, marks, counts = [], [], [], []
-        for text in texts:
-            for _, t in checked_lines(text, s):
-                if len(t) < s.least_chars or len(t) >= 2 * subsumed and len(t.encode().split()) >= subsumed:
-                    continue
-                line = digest(t.encode())
-                if line in seen:
-                    continue
-                seen.add(line)
-                cuts = _plan(len(t), s)[probing]
-                if t.isascii():
-                    data = t.encode()
-                    keys += [digest(data[a:b], seed) for seed, a, b in cuts]
-                else:
-                    keys += [digest(t[a:b].encode(), seed) for seed, a, b in cuts]
-                lines.append(line)
-                marks.append(parities(t))
-                counts.append(len(cuts))
-        if len(seen) > 500_000:
-            seen.clear()
-        counts = np.array(counts, np.int64)
-        owner, odd = np.repeat(np.array(lines, np.uint64), counts), np.repeat(np.array(marks, np.uint32), counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(owner.view(np.int64)), pa.array(odd.view(np.int32))], names=["key", "line", "odd"])
-
-
-def winnowed(words: np.ndarray, counts: np.ndarray, run: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place (among all words) of the shingles kept of lines of ``counts`` hashed words, such that equal runs of ``run`` words share one."""
-    size, window = len(words) - shingle + 1, run - shingle + 1
-    hashed = np.zeros(size, np.uint64)
-    for i in range(shingle):
-        hashed = (hashed ^ words[i : i + size]) * np.uint64(0x9E3779B97F4A7C15)
-        hashed ^= hashed >> np.uint64(29)
-    starts = size - window + 1
-    least, at = hashed[:starts].copy(), np.arange(starts)
-    for i in range(1, window):
-        less = hashed[i : i + starts] < least
-        least[less], at[less] = hashed[i : i + starts][less], np.flatnonzero(less) + i
-    ends = np.repeat(np.cumsum(counts), counts)
-    at = np.unique(at[np.arange(starts) + run <= ends[:starts]])
-    return hashed[at], at
-
-
-def _word_entries(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # spares repeats within the task; nothing depends on it
-    classes = run_classes(s)
-    for _, texts in text_groups(batches):
-        split: list[tuple[int, list[bytes]]] = []
-        for text in texts:
-            for _, t in checked_lines(text, s):
-                if len(t) < 2 * s.words_per_edit - 1:
-                    continue
-                data = t.encode()
-                line = xxhash.xxh64_intdigest(data)
-                if line not in seen and len(words := data.split()) >= s.words_per_edit:
-                    seen.add(line)
-                    split.append((line, words))
-        if len(seen) > 500_000:
-            seen.clear()
-        out: list[tuple[np.ndarray, ...]] = []
-        for low, high, run in classes:
-            chosen = [(line, words) for line, words in split if low <= len(words) <= high]
-            if not chosen:
-                continue
-            counts = np.array([len(words) for _, words in chosen])
-            hashed = np.fromiter((zlib.crc32(w) for _, words in chosen for w in words), np.uint64, counts.sum())
-            keys, at = winnowed(hashed, counts, run, s.shingle)
-            first = np.cumsum(counts) - counts
-            owner = np.searchsorted(first, at, "right") - 1
-            lines = np.array([line for line, _ in chosen], np.uint64)
-            out.append((keys ^ np.uint64(run), lines[owner], counts[owner], at - first[owner]))
-        if out:
-            key, line, n, at = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=["key", "line", "n", "at"])
-
-
 def near_lines(a: str, b: str, s: Lines) -> bool:
-    if within(a, b, s.edits):
+    if within(a, b, s.edits if min(len(a), len(b)) >= s.least_chars else 0):
         return True
     x, y = a.encode().split(), b.encode().split()
     edits = word_edits(min(len(x), len(y)), s)
-    return edits > 0 and within(x, y, edits)
+    if not edits or abs(len(x) - len(y)) > edits:
+        return False
+    more = Counter(x)
+    more.subtract(y)
+    return max(sum(n for n in more.values() if n > 0), -sum(n for n in more.values() if n < 0)) <= edits and within(x, y, edits)  # an edit is one word more or less on either side
 
 
 def _verify(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = [near_lines(a.strip(_ENDS), b.strip(_ENDS), s) for a, b in zip(batch.column("t_a").to_pylist(), batch.column("t_b").to_pylist(), strict=True)]
-        yield batch.select(["a", "m_a", "b", "m_b"]).filter(pa.array(near, pa.bool_()))
+        near = [near_lines(a, b, s) for a, b in zip(batch.column("t_x").to_pylist(), batch.column("t_c").to_pylist(), strict=True)]
+        yield batch.select(["line", "mark", "c_line", "c_mark"]).filter(pa.array(near, pa.bool_()))
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the lines whose places are asked for; of rows that share an id, those that have them there."""
+    for batch in batches:
+        line, mark, text = [], [], []
+        for whole, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
+            lines = (whole.as_py() or "").split("\n")
+            for x in wanted.as_py():
+                t = lines[x["line_no"]].strip(_ENDS) if x["line_no"] < len(lines) else ""
+                if _digest(t.encode("utf-32-le", "surrogatepass")) == struct.pack("<2q", x["line"], x["mark"]):
+                    line.append(x["line"])
+                    mark.append(x["mark"])
+                    text.append(t)
+        yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(mark, pa.int64()), pa.array(text, pa.string())], names=["line", "mark", "t"])
+
+
+def line_texts(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """``line, mark, t`` of the lines listed (line, mark), read again from the documents that have them first."""
+    at = classes.join(lines, ["line", "mark"], "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.struct("first.line_no", "line", "mark").alias("x"))
+    at = materialize(at.groupBy("doc_id").agg(F.collect_list("x").alias("wanted")), "line-wanted")  # bounded by the document's lines
+    n = at.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    found = docs.join(F.broadcast(at) if n <= BROADCAST_LINES else at, "doc_id").select("text", "wanted")
+    return materialize(found.mapInArrow(_wanted, "line long, mark long, t string").dropDuplicates(["line", "mark"]), "line-texts")
+
+
+_FOUND = "line long, mark long, c_line long, c_mark long"
+
+
+def _search(table: pa.Table, s: Lines) -> pa.Table:
+    """For each line that asks, the earliest of a block of its key that it is near to, after the last one seen and before its bound."""
+    asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+    order = np.lexsort((table["line_no"].to_numpy(), table["doc_id"].to_numpy(), asks))
+    table, asks = table.take(pa.array(order)), asks[order]
+    m, texts = Members.of(table), table["t"]
+    held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+    pair = lambda a, b, rows: list(zip(table[a].fill_null(0).to_numpy()[rows].tolist(), table[b].fill_null(0).to_numpy()[rows].tolist(), strict=True))
+    place = pair("doc_id", "line_no", held)
+    low = np.array([bisect_right(place, x) for x in pair("last_doc", "last_no", asking)], np.int64)
+    high = np.array([bisect_left(place, x) for x in pair("until_doc", "until_no", asking)], np.int64)
+    counted: dict[int, np.ndarray] = {}
+
+    def counts_of(rows: np.ndarray) -> np.ndarray:
+        """How many words of each of 128 classes lines have."""
+        for i in rows.tolist():
+            if i not in counted:
+                counted[i] = np.bincount([zlib.crc32(w) & 127 for w in texts[i].as_py().encode().split()], minlength=128).astype(np.int32)
+        return np.stack([counted[i] for i in rows.tolist()]) if len(rows) else np.zeros((0, 128), np.int32)
+
+    out: list[tuple[int, int]] = []
+    for at in range(0, len(asking), 128):
+        some, columns = asking[at : at + 128], np.arange(low[at : at + 128].min(), max(high[at : at + 128].max(), low[at : at + 128].min()))
+        if not len(columns):
+            continue
+        near = m.maybe_near(some[:, None], held[columns][None, :], s)
+        near &= (columns >= low[at : at + 128, None]) & (columns < high[at : at + 128, None])
+        for k in np.flatnonzero(near.any(1)).tolist():
+            i, text = int(some[k]), texts[int(some[k])].as_py()
+            likely = held[columns[near[k]]]
+            if m.columns["place"][i] not in (_PROBE, _SEGMENT):
+                apart = np.abs(counts_of(likely) - counts_of(np.array([i]))).sum(1)
+                likely = likely[apart <= m.changed_words(np.minimum(m.columns["words"][likely], m.columns["words"][i]), s)]
+            for j in likely.tolist():
+                if near_lines(text, texts[j].as_py(), s):
+                    out.append((i, j))
+                    break
+    x, y = np.array(out, np.int64).reshape(-1, 2).T
+    c = m.columns
+    return pa.table([pa.array(c["line"][x]), pa.array(c["mark"][x]), pa.array(c["line"][y]), pa.array(c["mark"][y])], names=["line", "mark", "c_line", "c_mark"])
 
 
 def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
-    """Pairs of different line classes (a, m_a, b, m_b) within the threshold, both ways round not repeated."""
+    """Links (line, mark, c_line, c_mark) of line classes to earlier ones: to the earliest within the threshold, if any, and maybe more."""
     texts = docs.select("doc_id", "text")
-    index = texts.mapInArrow(lambda it: _entries(it, s, False), "key long, line long, odd int").distinct()  # else a line of every task would meet itself as often as there are pairs of tasks
-    probe = texts.mapInArrow(lambda it: _entries(it, s, True), "key long, line long, odd int")
-    met = index.toDF("key", "x", "odd_x").join(probe.toDF("key", "y", "odd_y"), "key")
-    met = met.filter((F.col("x") != F.col("y")) & (F.bit_count(F.col("odd_x").bitwiseXOR(F.col("odd_y"))) <= 2 * s.edits))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    runs = texts.mapInArrow(lambda it: _word_entries(it, s), "key long, line long, n int, at int").repartition("key").distinct()  # one shuffle for both sides
-    shared = runs.toDF("key", "a", "n_a", "at_a").join(runs.toDF("key", "b", "n_b", "at_b"), "key")
-    allowed = F.floor(F.least("n_a", "n_b") / s.words_per_edit)
-    shared = shared.filter((F.col("a") < F.col("b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= allowed) & (F.abs(F.col("at_a") - F.col("at_b")) <= allowed))
-    pairs = materialize(met.unionByName(shared.select("a", "b")).distinct(), "line-pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    first = materialize(classes.join(wanted, "line").select("line", "mark", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")), "line-firsts")
-    ids = first.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = texts.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))  # rows that share an id are one document
-    found = first.join(found, "doc_id").select("line", "mark", F.get(F.split("text", "\n"), F.col("line_no")).alias("text"))
-    found = materialize(found, "line-texts")
-    both = pairs.join(found.toDF("a", "m_a", "t_a"), "a").join(found.toDF("b", "m_b", "t_b"), "b")
-    return both.mapInArrow(lambda it: _verify(it, s), "a long, m_a long, b long, m_b long")
+    entries = texts.mapInArrow(lambda it: _entries(it, s), _ENTRY).repartition("key").sortWithinPartitions("key", "line")
+    shared = materialize(entries.mapInArrow(_shared, _ENTRY), "line-keys")
+    about = classes.select("line", "mark", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "words", "odd", "p", "q")
+    members = shared.join(about, "line").select(*_NAMES).repartition("key").sortWithinPartitions("key", "doc_id", "line_no")
+    met = materialize(members.mapInArrow(lambda it: _select(it, s), _MET), "line-met")
+
+    pairs = met.filter("kind = 0").select("line", "mark", "c_line", "c_mark").distinct()
+    pairs = materialize(pairs, "line-pairs")
+    partner = pairs.select(F.col("c_line").alias("line"), F.col("c_mark").alias("mark"))
+    found = line_texts(docs, pairs.select("line", "mark").unionByName(partner).distinct(), classes)
+    both = pairs.join(found.withColumnRenamed("t", "t_x"), ["line", "mark"]).join(found.toDF("c_line", "c_mark", "t_c"), ["c_line", "c_mark"])
+    links = materialize(both.mapInArrow(lambda it: _verify(it, s), _FOUND), "line-links")
+
+    first = F.col("first")
+    owners = least_partner(links, classes).withColumnRenamed("linked", "until")
+    asks = met.filter("kind = 1").join(owners, ["line", "mark"], "left").join(classes.select("line", "mark", "first"), ["line", "mark"])
+    last = F.struct(F.col("last_doc").alias("doc_id"), F.col("last_no").alias("line_no"))
+    asks = asks.withColumn("until", F.coalesce("until", first)).filter(last < F.col("until"))
+    asks = materialize(asks.select("key", "block", "line", "mark", "place", "last_doc", "last_no", F.col("until.doc_id").alias("until_doc"), F.col("until.line_no").alias("until_no")), "line-asks")
+    if asks.isEmpty():
+        return links
+    every = asks.withColumn("part", F.explode(F.sequence(F.lit(0), "block")))
+    wanting = asks.select("key", F.col("block").alias("by")).distinct()
+    held = met.filter("kind = 2").select("key", "block", "line", "mark", "place").join(wanting, "key").filter("by >= block")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    held = held.select(F.lit(False).alias("asks"), "key", F.col("by").alias("block"), F.col("block").alias("part"), "line", "mark", "place", *none("long", "last_doc"), *none("int", "last_no"), *none("long", "until_doc"), *none("int", "until_no"))
+    group = materialize(every.select(F.lit(True).alias("asks"), *held.columns[1:]).unionByName(held), "line-groups")
+    more = line_texts(docs, group.select("line", "mark").distinct(), classes)
+    full = group.join(about, ["line", "mark"]).join(more, ["line", "mark"])
+    found = full.groupBy("key", "block", "part").applyInArrow(lambda t: _search(t, s), _FOUND)
+    return links.unionByName(materialize(found, "line-links"))
+
+
+def least_partner(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """``line, mark, linked``: first occurrence of the earliest class that each is linked to."""
+    partner = classes.select(F.col("line").alias("c_line"), F.col("mark").alias("c_mark"), F.col("first").alias("other"))
+    return links.join(partner, ["c_line", "c_mark"]).groupBy("line", "mark").agg(F.min("other").alias("linked"))
 
 
 def dropped_lines(docs: DataFrame, s: Lines = Lines()) -> DataFrame:
     """``doc_id, line_no, first_doc_id`` of every line to drop, and the document that keeps it."""
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     lines = materialize(docs.mapInArrow(lambda it: _lines(it, s), _LINE), "lines")
-    classes = materialize(lines.groupBy("line", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")), "line-classes")
-    links = materialize(line_links(docs, classes, s), "line-links") if s.edits else None
-    earlier = classes.select("line", "mark", "first", "n", F.lit(None).cast("struct<doc_id:bigint,line_no:int>").alias("linked"))
-    if links is not None:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("m_b").alias("m_a"), F.col("a").alias("b"), F.col("m_a").alias("m_b")))
-        other = classes.select(F.col("line").alias("b"), F.col("mark").alias("m_b"), F.col("first").alias("other"))
-        least = both.join(other, ["b", "m_b"]).groupBy(F.col("a").alias("line"), F.col("m_a").alias("mark")).agg(F.min("other").alias("linked"))
-        earlier = classes.join(least, ["line", "mark"], "left")
+    same = [F.min(c).alias(c) for c in ("words", "odd", "p", "q")]
+    classes = materialize(lines.groupBy("line", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), *same), "line-classes")
+    linked = least_partner(line_links(docs, classes, s), classes)
     owner = F.when(F.col("linked") < F.col("first"), F.col("linked"))
-    judged = earlier.select("line", "mark", "n", "first", owner.alias("owner")).filter("n > 1 OR owner IS NOT NULL")
+    judged = classes.join(linked, ["line", "mark"], "left").select("line", "mark", "n", "first", owner.alias("owner")).filter("n > 1 OR owner IS NOT NULL")
+    judged = materialize(judged, "line-judged")
+    places = classes.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(judged.filter(F.col("n") > places / HOT))  # fewer than HOT rows
+    line = lines.select("line", "mark", "doc_id", "line_no")
+    rest = line.join(often.select("line", "mark"), ["line", "mark"], "left_anti").join(judged, ["line", "mark"])
     at = F.struct("doc_id", "line_no")
-    hit = lines.join(judged, ["line", "mark"]).filter(F.col("owner").isNotNull() | (at > F.col("first")))
+    hit = line.join(often, ["line", "mark"]).unionByName(rest).filter(F.col("owner").isNotNull() | (at > F.col("first")))
     return hit.select("doc_id", "line_no", F.coalesce("owner.doc_id", "first.doc_id").alias("first_doc_id")).distinct()
 
 

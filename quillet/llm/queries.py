@@ -14,7 +14,7 @@ from quillet.llm.byte_bpe import bpe_digest
 from quillet.llm.kd_sharding import kd_shards
 from quillet.llm.katz_lm import katz_scores
 from quillet.llm.license_scan import license_scan
-from quillet.llm.line_dedup import line_dedup
+from quillet.llm.line_dedup import Lines, line_dedup
 from quillet.llm.minhash_dedup import Sketch, near_duplicates
 from quillet.llm.oracle import ORACLE_SQL
 from quillet.llm.projected_ann import nearest
@@ -57,7 +57,7 @@ def op6_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(_table(spark, sf_dir, "documents"))
+    return line_dedup(_table(spark, sf_dir, "documents"), Lines(least_words=1))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

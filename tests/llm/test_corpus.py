@@ -176,6 +176,66 @@ def test_long_lines_with_changed_words_are_linked(docs, prose):
     assert got == want and len(want) > 100
 
 
+def test_many_near_copies_make_few_pairs(spark, docs, prose):
+    rng, base = random.Random(7), prose(1, 60, seed=31, vocabulary=3000)[0].split()
+    texts = []
+    for _ in range(2000):
+        words = base[:]
+        words[rng.randrange(60)] = "".join(rng.choices("klmnop", k=8))
+        texts.append(" ".join(words))
+    s = line_dedup.Lines(block=256)
+    table = docs(texts)
+    plain = table.select("doc_id", "text")
+    entries = plain.mapInArrow(lambda it: line_dedup._entries(it, s), line_dedup._ENTRY).repartition("key").sortWithinPartitions("key", "line")
+    shared = entries.mapInArrow(line_dedup._shared, line_dedup._ENTRY)
+    about = plain.mapInArrow(lambda it: line_dedup._lines(it, s), line_dedup._LINE)
+    members = shared.join(about, "line").select(*line_dedup._NAMES).repartition("key").sortWithinPartitions("key", "doc_id", "line_no")
+    met = members.mapInArrow(lambda it: line_dedup._select(it, s), line_dedup._MET)
+    pairs = met.filter("kind = 0").select("line", "c_line").distinct().count()
+    assert 1999 <= pairs <= 20 * 2000  # all pairs would be two millions
+    rows = line_dedup.line_dedup(table, s).collect()
+    assert sum(r.n_dropped for r in rows) == len(set(texts)) - 1 + len(texts) - len(set(texts))
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_blocks_of_a_key_lose_no_link(docs, prose, block):
+    rng, base = random.Random(9), [x.split() for x in prose(6, 44, seed=33, vocabulary=3000)]
+    passage, rows = prose(1, 30, seed=34, vocabulary=3000)[0].split(), []
+    for k in range(90):  # many lines hold one passage, few of them are near each other
+        words = passage + [f"w{k // 3}x{i}" for i in range(14)]
+        words[rng.randrange(30, 44)] = f"n{k}"
+        rows.append(" ".join(words))
+    rows += [" ".join(b[:20] + [f"z{k}"] + b[21:]) for b in base for k in range(4)]
+    rng.shuffle(rows)
+    split = [r.split() for r in rows]
+    want = {}
+    for i, x in enumerate(split):
+        found = [j for j in range(i) if len(set(x) & set(split[j])) >= 40 and distance(x, split[j]) <= 2]
+        if found:
+            want[i] = found[0]
+    got = {r.doc_id: r.first_doc_ids[0] for r in line_dedup.line_dedup(docs(rows), line_dedup.Lines(block=block)).collect() if r.n_dropped}
+    assert got == want and len(want) >= 60
+
+
+def test_lines_of_rows_that_share_an_id(docs, prose):
+    a, b = prose(2, 30, seed=35, vocabulary=3000)
+    near = " ".join(["changed", *a.split()[1:]])
+    rows = line_dedup.line_dedup(docs([a, b, near], ids=[1, 1, 2])).collect()
+    assert [(r.n_dropped, r.first_doc_ids) for r in rows if r.doc_id == 2] == [(1, [1])]
+
+
+def test_short_lines_and_very_long_texts(docs):
+    one = line_dedup.Lines(least_words=1)
+    rows = {r.doc_id: r.dropped_lines for r in line_dedup.line_dedup(docs(["yes\nno", "no\n\nyes \nyep"]), one).collect()}
+    assert rows == {0: [], 1: [0, 2]}
+    long_ = "\n".join(f"line number {i} of a very long text with some words {i * 7919}" for i in range(40_000))  # over two million characters
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(docs([long_, "a line of its own here\n" + long_[-60:]]), line_dedup.Lines(edits=0)).collect()}
+    assert rows[0] == 0 and rows[1] == 0
+    word = "x" * 2_500_000
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(docs([word, word]), one).collect()}
+    assert rows == {0: 0, 1: 1}
+
+
 def brute_katz(rows):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + ["</s>"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
