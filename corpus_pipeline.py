@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillet.llm.best_fit_packing import pack_documents
 from quillet.llm.line_dedup import drop_repeated_lines
-from quillet.llm.minhash_dedup import keep_one_each
+from quillet.llm.minhash_dedup import Sketch, keep_one_each
 from quillet.llm.quality_rules import quality_filter
 from quillet.llm.toxicity import toxicity_filter
 from quillet.runtime import materialize
@@ -35,8 +35,8 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    return keep_one_each(docs)
+    """The smallest id of each group of near-duplicates (two-word shingles as in op5, similarity 0.8)."""
+    return keep_one_each(docs, Sketch(shingle=2, percent=80))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
