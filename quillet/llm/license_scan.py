@@ -23,7 +23,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillet.llm.batches import bounded, text_groups
@@ -129,11 +129,15 @@ class Scanner:
         return [(bisect_right(ends, first), bisect_right(ends, last), name, score) for first, last, name, score in found]
 
 
-_scanners: dict[float, Scanner] = {}
+def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Licences from a folder with one full text per file; a file's name without its ending names the licence."""
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1), r"\.(txt|md)$", "")
+    rows = spark.read.text(path, wholetext=True).select(name.alias("name"), "value").collect()  # the templates, as many as there are licences
+    return sorted((r["name"], r["value"]) for r in rows)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    scanner = _scanners.setdefault(threshold, Scanner(TEMPLATES, threshold))
+def _scan(batches: Iterator[pa.RecordBatch], threshold: float, templates: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    scanner = Scanner(templates, threshold)
     for ids, texts in text_groups(batches):
         all_hits = [scanner.scan(t) for t in texts]
         best = [min(((-h[3], h[0], h[2]) for h in hits), default=None) for hits in all_hits]
@@ -150,8 +154,11 @@ def _scan(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_hits", "licence", "score", "licences", "first_lines", "last_lines", "scores"])
 
 
-def license_scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licences found in every whole text, with the lines they take and their coefficients."""
+def license_scan(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """Licences found in every whole text, with the lines they take and their coefficients.
+
+    ``templates`` are (licence, text) pairs; full texts can be added with ``read_templates``.
+    """
     plain = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kinds = "doc_id long, n_hits long, licence string, score double, licences array<string>, first_lines array<int>, last_lines array<int>, scores array<double>"
-    return plain.mapInArrow(lambda it: _scan(it, threshold), kinds)
+    return plain.mapInArrow(lambda it: _scan(it, threshold, templates), kinds)

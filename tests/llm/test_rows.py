@@ -204,6 +204,16 @@ def test_windows_are_the_best_of_all(prose):
         assert all(a[1] < b[0] for a, b in zip(got, got[1:], strict=False))
 
 
+def test_full_texts_as_templates(spark, docs, prose, tmp_path):
+    full = prose(1, 400, seed=41, vocabulary=2000)[0]
+    (tmp_path / "Own-1.0.txt").write_text(full)
+    templates = [*TEMPLATES, *license_scan.read_templates(spark, str(tmp_path))]
+    changed = full.split()
+    changed[200:203] = ["other"]
+    rows = license_scan.license_scan(docs([f"before {' '.join(changed)} after", "Released under the MIT License.", full[:900]]), templates=templates).collect()
+    assert {r.doc_id: r.licences for r in rows} == {0: ["Own-1.0"], 1: ["MIT"], 2: []}
+
+
 def toxic_rows(prose, n, seed):
     texts, toxic = prose(n, 40, seed=seed), []
     for i in range(n):
