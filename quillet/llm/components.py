@@ -30,3 +30,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) after further ``links`` (a, b), a written table: only the components that these join are searched again."""
+    if links.isEmpty():
+        return found
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    named = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    named = materialize(named.select("a", "b", F.coalesce("c_a", "a").alias("u"), F.coalesce("c_b", "b").alias("v")), "named-links")
+    over = components(named.select(F.col("u").alias("a"), F.col("v").alias("b"))).toDF("component", "least")
+    ends = [named.select(F.col(node).alias("node"), F.col(c).alias("component")) for node, c in (("a", "u"), ("b", "v"))]
+    nodes = found.unionByName(ends[0]).unionByName(ends[1]).distinct()
+    return materialize(nodes.join(over, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "components")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.llm.batches import bounded, text_groups
-from quillet.llm.components import components
+from quillet.llm.components import components, merged
 from quillet.llm.worker_tables import claim, register
 from quillet.runtime import materialize
 
@@ -229,25 +229,24 @@ def near_duplicates(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
 
     stars = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(confirm(stars, reps, docs, s), "links")
+    found = materialize(components(links), "components")
 
-    open_members = _unsettled(members, links)
+    open_members = _unsettled(members, found)
     stars = open_members.filter("component <> pivot_component").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    links = materialize(links.unionByName(confirm(stars.join(links, ["a", "b"], "left_anti"), reps, docs, s)), "links")
+    found = merged(found, materialize(confirm(stars.join(links, ["a", "b"], "left_anti"), reps, docs, s), "links"))
 
-    open_members = _unsettled(members, links)
-    links = materialize(links.unionByName(_links_to_components(open_members, components(links), docs, s)), "links")
-    links = links.unionByName(confirm(_remaining_pairs(open_members, components(links), reps, s), reps, docs, s))
-
-    found = components(links)
+    open_members = _unsettled(members, found)
+    found = merged(found, _links_to_components(open_members, found, docs, s))
+    found = merged(found, materialize(confirm(_remaining_pairs(open_members, found, reps, s), reps, docs, s), "links"))
     of_set = reps.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("_component"))
     joined = rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components, with a random pivot and the largest component of the bucket."""
-    labelled = members.select("band", "node").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = members.select("band", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled, "labelled")
     held = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node")).alias("p"))
     mixed = held.groupBy("band").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("n", "component", F.col("p.node").alias("node"))).alias("m")).filter("held > 1")

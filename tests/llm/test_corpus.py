@@ -13,7 +13,8 @@ import pytest
 from conftest import ODD
 
 from quillet.llm import katz_lm, kd_sharding, line_dedup, minhash_dedup, projected_ann
-from quillet.llm.components import components
+from quillet.llm.components import components, merged
+from quillet.runtime import materialize
 
 
 def reach(pairs, nodes):
@@ -38,6 +39,18 @@ def test_components(spark, pairs):
     assert {r.node: r.component for r in got.collect()} == want
 
 
+def test_components_after_further_links(spark):
+    rng = random.Random(4)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    found = components(spark.createDataFrame(pairs[:20], "a long, b long"))
+    for a, b in ((20, 20), (20, 35), (35, 45)):
+        found = merged(found, materialize(spark.createDataFrame(pairs[a:b], "a long, b long"), "links"))
+    pairs = [p for p in pairs if p[0] != p[1]]
+    want = reach(pairs, {n for p in pairs for n in p})
+    got = {r.node: r.component for r in found.collect()}
+    assert all(got[n] == c for n, c in want.items()) and all(got[n] == n for n in got.keys() - want.keys())
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
