@@ -599,15 +599,21 @@ _FOUND = "line long, mark long, c_line long, c_mark long"
 
 def _search(table: pa.Table, s: Lines) -> pa.Table:
     """For each line that asks, the earliest of a block of its key that it is near to, after the last one seen and before its bound."""
-    asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-    order = np.lexsort((table["line_no"].to_numpy(), table["doc_id"].to_numpy(), asks))
-    table, asks = table.take(pa.array(order)), asks[order]
-    m, texts = Members.of(table), table["t"]
-    held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
-    pair = lambda a, b, rows: list(zip(table[a].fill_null(0).to_numpy()[rows].tolist(), table[b].fill_null(0).to_numpy()[rows].tolist(), strict=True))
-    place = pair("doc_id", "line_no", held)
-    low = np.array([bisect_right(place, x) for x in pair("last_doc", "last_no", asking)], np.int64)
-    high = np.array([bisect_left(place, x) for x in pair("until_doc", "until_no", asking)], np.int64)
+    column = lambda name: table[name].cast(pa.int64()).fill_null(0).to_numpy()
+    dealt = ("key", "block", "part")
+    order = np.lexsort((column("line_no"), column("doc_id"), column("asks").astype(bool), *(column(c) for c in reversed(dealt))))
+    table = table.take(pa.array(order))
+    asks, m, texts = column("asks").astype(bool), Members.of(table), table["t"]
+    new = np.append(True, np.any([column(c)[1:] != column(c)[:-1] for c in dealt], axis=0))
+    group = np.cumsum(new) - 1
+    start = np.flatnonzero(new)[group]
+    end = start + np.bincount(group, weights=~asks).astype(np.int64)[group]  # those that ask come last
+    pair = lambda a, b: list(zip(column(a).tolist(), column(b).tolist(), strict=True))
+    place, last, until = pair("doc_id", "line_no"), pair("last_doc", "last_no"), pair("until_doc", "until_no")
+    asking = np.flatnonzero(asks)
+    low = np.array([bisect_right(place, last[i], start[i], end[i]) for i in asking], np.int64)
+    high = np.array([bisect_left(place, until[i], start[i], end[i]) for i in asking], np.int64)
+    sizes = np.maximum(high - low, 0)
     counted: dict[int, np.ndarray] = {}
 
     def counts_of(rows: np.ndarray) -> np.ndarray:
@@ -615,24 +621,23 @@ def _search(table: pa.Table, s: Lines) -> pa.Table:
         for i in rows.tolist():
             if i not in counted:
                 counted[i] = np.bincount([zlib.crc32(w) & 127 for w in texts[i].as_py().encode().split()], minlength=128).astype(np.int32)
-        return np.stack([counted[i] for i in rows.tolist()]) if len(rows) else np.zeros((0, 128), np.int32)
+        return np.stack([counted[i] for i in rows.tolist()])
 
     out: list[tuple[int, int]] = []
-    for at in range(0, len(asking), 128):
-        some, columns = asking[at : at + 128], np.arange(low[at : at + 128].min(), max(high[at : at + 128].max(), low[at : at + 128].min()))
-        if not len(columns):
-            continue
-        near = m.maybe_near(some[:, None], held[columns][None, :], s)
-        near &= (columns >= low[at : at + 128, None]) & (columns < high[at : at + 128, None])
-        for k in np.flatnonzero(near.any(1)).tolist():
-            i, text = int(some[k]), texts[int(some[k])].as_py()
-            likely = held[columns[near[k]]]
-            if m.columns["place"][i] not in (_PROBE, _SEGMENT):
-                apart = np.abs(counts_of(likely) - counts_of(np.array([i]))).sum(1)
-                likely = likely[apart <= m.changed_words(np.minimum(m.columns["words"][likely], m.columns["words"][i]), s)]
-            for j in likely.tolist():
-                if near_lines(text, texts[j].as_py(), s):
-                    out.append((i, j))
+    for some in np.split(np.arange(len(asking)), np.flatnonzero(np.diff(np.cumsum(sizes) // 100_000)) + 1):
+        owner, k = _spread(sizes[some])
+        i, j = asking[some][owner], low[some][owner] + k
+        near = m.maybe_near(i, j, s)
+        i, j = i[near], j[near]
+        for likely in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else []:
+            x, likely = int(i[likely[0]]), j[likely]
+            if len(likely) > 8 and m.columns["place"][x] not in (_PROBE, _SEGMENT):
+                apart = np.abs(counts_of(likely) - counts_of(np.array([x]))).sum(1)
+                likely = likely[apart <= m.changed_words(np.minimum(m.columns["words"][likely], m.columns["words"][x]), s)]
+            text = texts[x].as_py()
+            for y in likely.tolist():
+                if near_lines(text, texts[y].as_py(), s):
+                    out.append((x, y))
                     break
     x, y = np.array(out, np.int64).reshape(-1, 2).T
     c = m.columns
@@ -671,7 +676,9 @@ def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
     group = materialize(every.select(F.lit(True).alias("asks"), *held.columns[1:]).unionByName(held), "line-groups")
     more = line_texts(docs, group.select("line", "mark").distinct(), classes)
     full = group.join(about, ["line", "mark"]).join(more, ["line", "mark"])
-    found = full.groupBy("key", "block", "part").applyInArrow(lambda t: _search(t, s), _FOUND)
+    tasks = max(1, math.ceil(group.count() / (4 * s.block)))
+    dealt = F.pmod(F.xxhash64("key", "block", "part"), F.lit(tasks))  # several blocks at a time, none of more than twice s.block rows
+    found = full.groupBy(dealt.alias("dealt")).applyInArrow(lambda t: _search(t, s), _FOUND)
     return links.unionByName(materialize(found, "line-links"))
 
 
