@@ -19,6 +19,7 @@ from quillet.llm.minhash_dedup import Sketch, near_duplicates
 from quillet.llm.oracle import ORACLE_SQL
 from quillet.llm.projected_ann import nearest
 from quillet.llm.quality_rules import quality_rules
+from quillet.llm.threshold_sketch import edited_fingerprints
 from quillet.llm.toxicity import toxicity
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_katz_lm": op9_katz_lm,
         "op10_toxicity": op10_toxicity,
+        "op11_threshold_sketch": op11_threshold_sketch,
     }
 
 
