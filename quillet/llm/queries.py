@@ -15,6 +15,7 @@ from quillet.llm.kd_sharding import kd_shards
 from quillet.llm.katz_lm import katz_scores
 from quillet.llm.license_scan import license_scan
 from quillet.llm.line_dedup import Lines, line_dedup
+from quillet.llm.merkle_manifest import verified_manifest
 from quillet.llm.minhash_dedup import Sketch, near_duplicates
 from quillet.llm.oracle import ORACLE_SQL
 from quillet.llm.projected_ann import nearest
@@ -77,6 +78,10 @@ def op11_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_katz_lm": op9_katz_lm,
         "op10_toxicity": op10_toxicity,
         "op11_threshold_sketch": op11_threshold_sketch,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
 
+from quillet.llm import merkle_manifest
 from quillet.llm import threshold_sketch as ts
 
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -81,4 +83,91 @@ def test_sketches_merge_and_contain(spark, prose):
     assert whole[2] == ts.written(np.array(sorted(slow_sketch("short", t)), np.uint64))
     pairs = spark.createDataFrame([(prints[0][1], whole[0]), (prints[0][1], whole[1]), ("", ""), ("", whole[0])], "a string, b string")
     got = [(r.c, round(r.j, 3)) for r in pairs.select(ts.containment(F.col("a"), F.col("b")).alias("c"), ts.likeness(F.col("a"), F.col("b")).alias("j")).collect()]
-    assert got[0][0] == 1.0 and 0.2 < got[0][1] < 0.5 and got[1][0] < 0.05 and got[2] == (1.0, 1.0) and got[3] == (1.0, 0.0)
+    own, groups = slow_sketch(texts[0], t), [set().union(*(slow_sketch(x, t) for x in texts[3 * g : 3 * g + 3])) for g in (0, 1)]
+    assert got == [*((len(own & g) / len(own), round(len(own & g) / len(own | g), 3)) for g in groups), (1.0, 1.0), (1.0, 0.0)]
+
+
+def slow_manifest(rows):
+    """(doc_id, leaf, subroot, root, proof, folded root) of ``(doc_id, source, lang, n_chars, text)``, sorted."""
+    tag = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def grow(nodes):
+        proofs, levels = [[] for _ in nodes], [[(x, [i]) for i, x in enumerate(nodes)]]
+        while len(levels[-1]) > 1:
+            runs = [levels[-1][i : i + 3] for i in range(0, len(levels[-1]), 3)]
+            for run in runs:
+                for k, (_, leaves) in enumerate(run):
+                    for i in leaves:
+                        proofs[i].append((run[:k], run[k + 1 :]))
+            levels.append([(sha("".join(x for x, _ in run)), [i for _, own in run for i in own]) for run in runs])
+        text = lambda run: "".join(x for x, _ in run)
+        return levels[-1][0][0], [[(text(a), text(b)) for a, b in p] for p in proofs]
+
+    groups = {}
+    for r in rows:
+        tampered = r[4] if r[4] is None or r[0] is None or zlib.crc32(str(r[0]).encode()) % 2 else r[4].replace("\n", "")
+        groups.setdefault(r[1], []).append((r[0], sha("".join(map(tag, r))), sha("".join(map(tag, (*r[:4], tampered))))))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    for g in groups.values():
+        g.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    trees = {s: grow([x[1] for x in groups[s]]) for s in names}
+    root, upper = grow([trees[s][0] for s in names])
+    out = []
+    for s, high in zip(names, upper, strict=True):
+        for (doc_id, leaf, found), low in zip(groups[s], trees[s][1], strict=True):
+            node = found
+            for a, b in [*low, *high]:
+                node = sha(a + node + b)
+            out.append((doc_id, leaf, trees[s][0], root, sha("".join(a + b for a, b in [*low, *high])), node, node == root))
+    return sorted(out, key=repr)
+
+
+def manifest_rows(table):
+    return [tuple(r) for r in table.select("doc_id", "source", "lang", "n_chars", "text").collect()]
+
+
+@pytest.mark.parametrize("sources", [1, 4, 30])
+def test_manifest(docs, prose, sources):
+    n = 1700  # more than two windows of one source
+    rng = random.Random(sources)
+    texts = [f"line {i}\nmore {i % 5}" if i % 3 else f"one {i}" for i in range(n)]
+    where = [f"h{rng.randrange(sources)}" if sources < 30 or rng.random() < 0.6 else "" if i % 7 else None for i in range(n)]
+    table = docs(texts, sources=where, partitions=5)
+    got = sorted((tuple(r) for r in merkle_manifest.verified_manifest(table).collect()), key=repr)
+    assert got == slow_manifest(manifest_rows(table))
+    assert {r[-1] for r in got} == {True, False}
+
+
+def test_manifest_of_odd_rows(docs, spark):
+    texts = [*ODD, "a\nb", "a\nb", "a\nb", None]
+    table = docs(texts, ids=[*range(len(ODD)), 3, 3, None, None], sources=["é", "z", None, "", "s", "é", "z", None, "é", "é", "é", None])
+    table = table.unionByName(table.filter("doc_id = 1")).withColumn("lang", F.when(F.col("doc_id") != 2, F.col("lang")))
+    got = sorted((tuple(r) for r in merkle_manifest.verified_manifest(table).collect()), key=repr)
+    assert got == slow_manifest(manifest_rows(table)) and len(got) == len(texts) + 1
+    assert merkle_manifest.verified_manifest(table.filter("false")).count() == 0
+    one = merkle_manifest.verified_manifest(docs(["x"])).first()
+    assert one.leaf == one.subroot == one.root == one.folded_root and one.proof_sha256 == sha("")
+
+
+def test_subtrees_of_any_cut():
+    """A run cut anywhere: what is built and what stays ragged cover the leaves, in the right nodes."""
+    rng = random.Random(4)
+    for _ in range(200):
+        total = rng.randrange(1, 60)
+        nodes = [sha(str(i)) for i in range(total)]
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([sha("".join(levels[-1][i : i + 3])) for i in range(0, len(levels[-1]), 3)])
+        low = rng.randrange(total)
+        high = rng.randrange(low, total) + 1
+        held = merkle_manifest.complete_subtrees(nodes[low:high], low, total)
+        for k, level in enumerate(held):
+            assert all(levels[k][i] == x for i, x in level)
+            inside = [i for i in range(len(levels[k])) if low <= i * 3**k and min((i + 1) * 3**k, total) <= high]
+            assert [i for i, _ in level] == inside
+        for i in range(low, high):
+            level, index, node, left, right = merkle_manifest.path_up(held, i)
+            x = nodes[i]
+            for a, b in zip(left, right, strict=True):
+                x = sha(a + x + b)
+            assert node == x == levels[level][index]
