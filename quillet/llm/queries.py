@@ -11,6 +11,7 @@ import public_tokenizers
 
 from quillet.llm.best_fit_packing import pack_documents
 from quillet.llm.byte_bpe import bpe_digest
+from quillet.llm.embedding_whitening import whiten
 from quillet.llm.kd_sharding import kd_shards
 from quillet.llm.katz_lm import katz_scores
 from quillet.llm.license_scan import license_scan
@@ -82,6 +83,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whiten(_table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").cast("long"))  # fails, never wraps, where it is no long
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_threshold_sketch": op11_threshold_sketch,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from conftest import ODD
 from pyspark.sql import functions as F
 
-from quillet.llm import merkle_manifest
+from quillet.llm import embedding_whitening, merkle_manifest
 from quillet.llm import threshold_sketch as ts
 
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -171,3 +173,56 @@ def test_subtrees_of_any_cut():
             for a, b in zip(left, right, strict=True):
                 x = sha(a + x + b)
             assert node == x == levels[level][index]
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, "x", 1, 0.5) for i, v in rows], "vec_id long, embedding array<double>, x string, component int, whitened double").repartition(3)
+
+
+def slow_whitening(rows):
+    """n, covariance and deviations by rational arithmetic."""
+    x = {i: [math.floor(64 * c) + 1_000_000 for c in v] for i, v in rows}
+    fit = sorted(set(map(tuple, x.values())))
+    n, d = len(fit), len(fit[0])
+    s = [sum(v[k] for v in fit) for k in range(d)]
+    cov = [[float(sum((Fraction(v[a]) - Fraction(s[a], n)) * (Fraction(v[b]) - Fraction(s[b], n)) for v in fit) / n) for b in range(d)] for a in range(d)]
+    return n, np.array(cov), {i: sum((n * a - b) ** 2 for a, b in zip(v, s, strict=True)) for i, v in x.items()}, x, s
+
+
+@pytest.mark.parametrize("d,scale", [(5, 1.0), (24, 1.0), (4, 1e9)])
+def test_whitening(spark, d, scale):
+    rng = np.random.default_rng(d)
+    mix = rng.normal(size=(d, d))
+    good = [(i, list(map(float, v))) for i, v in enumerate(rng.normal(size=(90, d)) @ mix * scale)]
+    good += [(90 + i, good[0][1]) for i in range(60)]  # copies count once
+    odd = [(200, None), (201, []), (202, [1.0] * (d - 1)), (203, [None] + [1.0] * (d - 1)), (204, [float("nan")] * d), (205, [float("inf")] + [1.0] * (d - 1)), (206, [1e300] * d)]
+    n, cov, dev, x, s = slow_whitening(good)
+    got = embedding_whitening.whiten(vectors(spark, good + odd)).collect()
+    values, axes = np.linalg.eigh(cov)
+    k = min(16, d)
+    assert len(got) == 150 * k and {r.n for r in got} == {n} and {r.vec_id for r in got} == {i for i, _ in good}
+    assert all(int(r.deviation) == dev[r.vec_id] for r in got)
+    assert got[0].identity_error < 1e-6
+    signs = {}
+    for r in got:
+        e, v = values[-r.component], axes[:, -r.component]
+        want = sum(float(Fraction(n * a - b, n)) * q for a, b, q in zip(x[r.vec_id], s, v, strict=True)) / math.sqrt(e)
+        assert r.explained == pytest.approx(e / np.trace(cov), rel=1e-9)
+        sign = signs.setdefault(r.component, 1 if abs(r.whitened - want) < abs(r.whitened + want) else -1)
+        assert sign * r.whitened == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
+def test_exact_products():
+    rng = np.random.default_rng(9)
+    for top in (10, 2**30, 2**61):
+        y = rng.integers(-top, top, size=(5000, 4))
+        wide = y.astype(object)
+        assert (embedding_whitening.cross_products(y) == wide.T @ wide).all()
+        assert (embedding_whitening.column_sums(y) == wide.sum(axis=0)).all()
+
+
+def test_whitening_of_little(spark):
+    assert embedding_whitening.whiten(vectors(spark, [(1, [1.0])]).filter("false")).count() == 0
+    assert embedding_whitening.whiten(vectors(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (None, None)])).count() == 0
+    flat = embedding_whitening.whiten(vectors(spark, [(1, [1.0, 2.0, 3.0]), (2, [2.0, 2.0, 3.0]), (None, [4.0, 2.0, 3.0])])).collect()
+    assert [r.component for r in flat] == [1, 1, 1] and flat[0].explained == 1.0 and {r.vec_id for r in flat} == {1, 2, None}
