@@ -120,3 +120,4 @@ FROM (SELECT chunks.*, CASE WHEN start_line % 5 = 0 THEN 0 ELSE start_line % 2 +
     "lax_decode": sql("""SELECT review_id, conv_id, turn, ok AS readable, CAST(CASE WHEN ok THEN 2 ELSE 0 END AS BIGINT) AS n, CASE WHEN ok AND k = 3 THEN 1 WHEN ok THEN line_start END AS line_start, CASE WHEN ok AND k = 5 THEN CAST(0.25 AS DOUBLE) WHEN ok THEN CAST(0.5 AS DOUBLE) END AS confidence
 FROM (SELECT *, (conv_id * 13 + turn * 7) % 11 AS k, (conv_id * 13 + turn * 7) % 11 NOT IN (2, 4, 6, 8, 9) AS ok FROM f)"""),
 }
+ORACLE_SQL["diff_changed_lines_sliced"] = ORACLE_SQL["diff_changed_lines"]

@@ -33,6 +33,12 @@ def diff_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.changed_lines(diff.diff_lines(fx.diffs(spark, sf_dir))).select("review_id", "file_seq", "path", "line_no")
 
 
+def diff_changed_lines_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of 37 lines, which cut files and hunks anywhere."""
+    lines = diff.diff_lines(fx.diffs(spark, sf_dir))
+    return diff.changed_lines_in_slices(lines, F.floor(F.col("ord") / 37))
+
+
 def diff_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.file_groups(diff_changed_lines(spark, sf_dir))
 
@@ -271,6 +277,7 @@ def lax_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "split_lines": split_lines_query,
     "diff_changed_lines": diff_changed_lines,
+    "diff_changed_lines_sliced": diff_changed_lines_sliced,
     "diff_file_groups": diff_file_groups,
     "resolve_from_sha": resolve_from_sha,
     "language_lookup": language_lookup,

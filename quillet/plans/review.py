@@ -12,7 +12,7 @@ from quillet.functions.findings import at_least
 from quillet.operators.boundaries import BoundaryProvider
 from quillet.operators.carry import carry_forward, review_counters
 from quillet.operators.chunk import TOKEN_BUDGET, chunk_changes
-from quillet.operators.diff import changed_lines, diff_lines, has_changes, resolve_from_sha
+from quillet.operators.diff import changed_lines_in_slices, diff_lines, has_changes, resolve_from_sha
 from quillet.operators.ground import Verifier, ground, kept
 from quillet.operators.review import dry_run, flatten
 from quillet.operators.summary import build_bodies, first_summary_comment, last_reviewed_sha, prior_findings, upsert_plan
@@ -58,7 +58,7 @@ def review_changes(
     due = state.join(diffs, ["review_id", "from_sha"], "left").withColumn("changed", has_changes(F.col("diff_text")))
     due = materialize(due, "due")
 
-    changed = changed_lines(diff_lines(due.filter("changed")))
+    changed = changed_lines_in_slices(diff_lines(due.filter("changed")))
     chunks = materialize(chunk_changes(changed, files, provider, token_budget), "chunks")
     results = materialize(reviewer(chunks.withColumnRenamed("path", "file")), "chunk-results")
     grounded = materialize(ground(flatten(results), files, verifier), "grounded")
