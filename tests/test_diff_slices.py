@@ -49,7 +49,7 @@ def test_any_cut_gives_the_same_lines(spark):
 
 def test_one_diff_is_many_tasks(spark):
     """No window but the one over slice states holds a whole review."""
-    lines = spark.range(50_000).select(F.lit(1).cast("long").alias("review_id"), F.col("id").alias("ord"), F.when(F.col("id") == 0, "+++ b/x").when(F.col("id") == 1, "@@ -1 +1 @@").otherwise("+l").alias("line"))
+    lines = spark.range(50_000).select(F.floor(F.col("id") / 1_000_000).alias("review_id"), F.col("id").alias("ord"), F.when(F.col("id") == 0, "+++ b/x").when(F.col("id") == 1, "@@ -1 +1 @@").otherwise("+l").alias("line"))
     got = diff.changed_lines_in_slices(lines, F.floor(F.col("ord") / 1000))
     assert got.agg(F.count(F.lit(1)), F.min("line_no"), F.max("line_no")).first() == (49_998, 1, 49_998)
     plan = got._jdf.queryExecution().executedPlan().toString()
