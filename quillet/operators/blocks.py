@@ -54,7 +54,7 @@ def _template(depth: int) -> str:
 
 _LINE, _HASH, _BLOCK = r"//[^\n]*+", r"#[^\n]*+", r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/)?"
 _DEEP = _nested(r"/\*", r"\*/", "*/", 3)
-_DIRECTIVE = r"(?m:^)[ \t]*+#(?:[^\n\\]|\\[\s\S])*+"
+_DIRECTIVE = r"(?md:^)[ \t]*+#(?:[^\n\\]|\\[\s\S])*+"
 _DQ, _SQ, _DQ_LINES, _SQ_LINES = _quoted('"'), _quoted("'"), _quoted('"', True), _quoted("'", True)
 _CHAR, _RAW = r"'(?:[^'\\\n]|\\[^\n][^'\n]{0,8}+)'", r"`[^`]*+`?"
 _TRIPLE, _TRIPLE_SQ = r'"""[\s\S]*?(?:"""|\z)', r"'''[\s\S]*?(?:'''|\z)"
@@ -67,13 +67,14 @@ OPAQUE = {
     "javascript": _SCRIPT, "typescript": _SCRIPT, "tsx": _SCRIPT, "go": (_LINE, _BLOCK, _DQ, _CHAR, _RAW), "rust": (_LINE, _DEEP, _RAW_RUST, _DQ_LINES, _CHAR), "java": (_TRIPLE, _LINE, _BLOCK, _DQ, _CHAR),
     "c": (_DIRECTIVE, _LINE, _BLOCK, _DQ, _CHAR), "cpp": (_DIRECTIVE, _RAW_CPP, _LINE, _BLOCK, _DQ, _CHAR), "c_sharp": (_DIRECTIVE, _TRIPLE, r'[$]?@[$]?"[^"]*+(?:""[^"]*+)*+"?', _LINE, _BLOCK, _DQ, _CHAR),
     "php": (_LINE, r"#(?!\[)[^\n]*+", _BLOCK, _HEREDOC_PHP, _DQ_LINES, _SQ_LINES), "kotlin": (_TRIPLE, _LINE, _DEEP, _DQ, _CHAR), "swift": (_TRIPLE, _LINE, _DEEP, _DQ), "scala": (_TRIPLE, _LINE, _DEEP, _DQ, _CHAR),
-    "ruby": (_HASH, r"(?m:^)=begin\b[\s\S]*?(?:\n=end[^\n]*|\z)", _HEREDOC_RUBY, _DQ_LINES, _SQ_LINES), "python": (_TRIPLE, _TRIPLE_SQ, _HASH, _DQ, _SQ),
+    "ruby": (_HASH, r"(?md:^)=begin\b[\s\S]*?(?:\n=end[^\n]*|\z)", _HEREDOC_RUBY, _DQ_LINES, _SQ_LINES), "python": (_TRIPLE, _TRIPLE_SQ, _HASH, _DQ, _SQ),
 }
 
 
 def masked(text: Column, lang: Column) -> Column:
     """A text of the same length and lines whose comments are blanks and whose strings are \\x02 and \\x01 signs."""
-    tokens = F.coalesce(*[F.when(lang == k, F.regexp_extract_all(text, F.lit("|".join([*parts, r"\w++", r"[^\S\n]++", r"[\s\S]"])), F.lit(0))) for k, parts in OPAQUE.items()])
+    patterns = F.create_map(*[F.lit(x) for k, parts in OPAQUE.items() for x in (k, "|".join([*parts, r"\w++", r"[^\S\n]++", r"[\s\S]"]))])
+    tokens = F.regexp_extract_all(text, F.try_element_at(patterns, lang), F.lit(0))
 
     def mask(t: Column) -> Column:
         comment = t.rlike(r"^(?://|/\*|[ \t]*#[\s\S]|=begin)")
@@ -131,12 +132,11 @@ _RUBY_ONE_LINE = r"^[ \t]*(?:\w+[ \t]+)?def\s[^\n=]*\)?[ \t]*=(?!=)|\bend\b[ \t]
 _PYTHON_HEAD = r"^[ \t]*((?:async[ \t]+)?def|class)\b"
 
 
-def _declared(lang: Column, code: Column) -> Column:
-    """``kind`` and ``text``, from its beginning to the brace, of what a brace follows; null if it is no node."""
-    head = F.expr(f"right(_code, {HEADER})") if code is None else code
-    each = [(k, kind, pattern) for k, table in HEADERS.items() for kind, pattern in table]
-    tried = [F.when((lang == k) & head.rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(head, p, 1).alias("text"))) for k, kind, p in each]
-    return F.coalesce(*tried)
+def _with_node(rows: DataFrame, code: Column) -> DataFrame:
+    """Add ``node_type`` and ``_decl``, the text from a node's beginning to its brace; null where ``code`` heads no node."""
+    tables = F.create_map(*[x for k, table in HEADERS.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("pattern")) for kind, p in table]))])
+    tried = F.transform(F.try_element_at(tables, F.col("lang")), lambda h: F.struct(h["kind"].alias("node_type"), F.call_function("regexp_extract", code, h["pattern"], F.lit(1)).alias("_decl")))
+    return rows.select("*", F.inline_outer(F.slice(F.filter(tried, lambda t: t["_decl"] != ""), 1, 1)))  # the first that matches, tried once
 
 
 # --- blocks ------------------------------------------------------------------------------------------------------------------------
@@ -163,13 +163,12 @@ def _brace_events(files: DataFrame) -> DataFrame:
     sign = F.expr("right(piece, 1)")
     rows = rows.withColumns({"sign": sign, "_code": F.expr("substring(piece, 1, length(piece) - 1)")})
     rows = rows.filter(F.col("sign").isin("{", "}") | ((F.col("sign") == ";") & (F.col("lang") == "rust") & F.col("_code").rlike(r"\bstruct\b")))
-    node = F.when(F.col("sign") == "{", _declared(F.col("lang"), None)).when(F.col("sign") == ";", _declared(F.col("lang"), None))
-    rows = rows.withColumn("node", node)
-    lead_in = F.expr("substring(_code, 1, length(_code) - length(node.text))")
+    rows = _with_node(rows, F.when(F.col("sign") != "}", F.expr(f"right(_code, {HEADER})")).otherwise(""))
+    lead_in = F.expr("substring(_code, 1, length(_code) - length(_decl))")
     in_line = F.when(_newlines(lead_in) > 0, F.length(F.substring_index(lead_in, "\n", -1))).otherwise(F.col("_col") + F.length(lead_in))
     end_col = F.when(_newlines(F.col("piece")) > 0, F.length(F.substring_index("piece", "\n", -1))).otherwise(F.col("_col") + F.length("piece"))
     return rows.select(
-        *_FILE, "i", F.when(F.col("sign") == "{", 1).when(F.col("sign") == "}", -1).otherwise(0).alias("step"), F.col("node.kind").alias("node_type"),
+        *_FILE, "i", F.when(F.col("sign") == "{", 1).when(F.col("sign") == "}", -1).otherwise(0).alias("step"), "node_type",
         (F.col("_line") + _newlines(lead_in)).alias("start_line"), in_line.alias("start_col"), (F.col("_line") + F.col("_nl")).alias("end_line"), end_col.alias("end_col"),
     )
 
@@ -178,10 +177,10 @@ def _ruby_events(files: DataFrame) -> DataFrame:
     """The same of lines that open a block and of ``end`` lines."""
     rows = _pieces(files, r"[^\n]*+\n|[^\n]++").withColumn("_code", F.regexp_replace("piece", "\n", ""))
     opens, closes = F.col("_code").rlike(_RUBY_OPENS) & ~F.col("_code").rlike(_RUBY_ONE_LINE), F.col("_code").rlike(r"^[ \t]*end\b(?![:?!])")
-    rows = rows.filter(opens | closes).withColumn("node", F.when(~closes, _declared(F.col("lang"), F.col("_code"))))
-    start = F.length("_code") - F.length("node.text")
+    rows = _with_node(rows.filter(opens | closes).withColumn("_closes", closes), F.when(closes, "").otherwise(F.col("_code")))
+    start = F.length("_code") - F.length("_decl")
     end = F.length(F.regexp_extract("_code", r"^([ \t]*end)\b", 1))
-    return rows.select(*_FILE, "i", F.when(closes, -1).otherwise(1).alias("step"), F.col("node.kind").alias("node_type"), F.col("_line").alias("start_line"), start.alias("start_col"), F.col("_line").alias("end_line"), end.alias("end_col"))
+    return rows.select(*_FILE, "i", F.when(F.col("_closes"), -1).otherwise(1).alias("step"), "node_type", F.col("_line").alias("start_line"), start.alias("start_col"), F.col("_line").alias("end_line"), end.alias("end_col"))
 
 
 def _paired(events: DataFrame, files: DataFrame) -> DataFrame:

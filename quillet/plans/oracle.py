@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillet.operators.review import DRY_RUN_MESSAGE, PARTIAL_NOTE, REVIEW_REQUEST, VERIFY_REQUEST
 from quillet.operators.summary import MARKER
+from quillet.plans.code_fixtures import SYNTAX_NODES, with_syntax_sql
 from quillet.plans.fixtures import BOUNDARY_CTES, BUDGET, CTES, sql
 
 _NL = "chr(10)"
@@ -121,3 +122,4 @@ FROM (SELECT chunks.*, CASE WHEN start_line % 5 = 0 THEN 0 ELSE start_line % 2 +
 FROM (SELECT *, (conv_id * 13 + turn * 7) % 11 AS k, (conv_id * 13 + turn * 7) % 11 NOT IN (2, 4, 6, 8, 9) AS ok FROM f)"""),
 }
 ORACLE_SQL["diff_changed_lines_sliced"] = ORACLE_SQL["diff_changed_lines"]
+ORACLE_SQL |= {"syntax_nodes": SYNTAX_NODES, "review_with_syntax": with_syntax_sql(BUDGET)}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillet.functions.findings import FIELDS, at_least, decode_findings, violations
 from quillet.functions.text import split_lines, token_estimate
-from quillet.operators import boundaries, carry, chunk, diff, ground, review, summary
+from quillet.operators import blocks, boundaries, carry, chunk, diff, ground, review, summary
+from quillet.plans import code_fixtures as code
 from quillet.plans import fixtures as fx
 from quillet.plans.review import review_changes
 from quillet.runtime import materialize
@@ -237,6 +238,24 @@ def review_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("review_id", "pr_number", "commit_sha", "chunks_reviewed", "chunks_skipped", zero("n_findings"), zero("n_carried"), "action")
 
 
+def syntax_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of files in six languages that hold the driver's texts."""
+    nodes = blocks.BlockSyntax().nodes(code.code_files(spark, sf_dir)).filter("node_id > 0")
+    return nodes.select("review_id", "path", "node_type", "start_line", "start_col", "end_line", (F.col("parent_id") > 0).alias("nested"))
+
+
+def review_with_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry review of those files by their blocks, with a verifier."""
+    files = materialize(code.code_files(spark, sf_dir), "code")
+    reviews = files.select("review_id").distinct().select("review_id", F.lit(1).cast("long").alias("pr_number"), F.lit("base").alias("base_sha"), F.lit("head").alias("head_sha"))
+    comments = spark.createDataFrame([], "review_id long, ord long, body string")
+    diffs = code.code_diffs(files).withColumn("from_sha", F.lit("base"))
+    made = review_changes(reviews, comments, diffs, files.drop("doc_id"), verifier=fx.verdict, provider=blocks.BlockSyntax(), min_severity="info", token_budget=fx.BUDGET)
+    outcome = made.grounded.select("review_id", "chunk_ord", F.coalesce("reason", "outcome").alias("outcome"))
+    chunks = made.chunks.join(outcome, ["review_id", "chunk_ord"])
+    return chunks.select("review_id", "path", "start_line", "end_line", "is_partial", F.length("content").cast("long").alias("n_chars"), "outcome")
+
+
 def python_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Syntax nodes of generated Python files."""
     docs = fx.documents(spark, sf_dir)
@@ -306,4 +325,6 @@ QUERIES: dict[str, Query] = {
     "live_review": live_review,
     "lax_decode": lax_decode,
     "python_boundaries": python_boundaries,
+    "syntax_nodes": syntax_nodes,
+    "review_with_syntax": review_with_syntax,
 }
