@@ -16,12 +16,13 @@ its brace.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.operators.boundaries import BOUNDARY_SCHEMA, language
+from quillet.runtime import materialize
 
 HEADER = 2000
 _FILE = ["review_id", "path"]
@@ -71,15 +72,24 @@ OPAQUE = {
 }
 
 
+def _constant(value: object, kind: str) -> Column:
+    """A literal of a nested type: one expression that is folded once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def masked(text: Column, lang: Column) -> Column:
     """A text of the same length and lines whose comments are blanks and whose strings are \\x02 and \\x01 signs."""
-    patterns = F.create_map(*[F.lit(x) for k, parts in OPAQUE.items() for x in (k, "|".join([*parts, r"\w++", r"[^\S\n]++", r"[\s\S]"]))])
+    patterns = _constant({k: "|".join([*parts, r"\w++", r"[^\S\n]++", r"[\s\S]"]) for k, parts in OPAQUE.items()}, "map<string,string>")
     tokens = F.regexp_extract_all(text, F.try_element_at(patterns, lang), F.lit(0))
 
+    def filled(t: Column, sign: str) -> Column:
+        lines = F.transform(F.split(t, "\n", -1), lambda x: F.repeat(F.lit(sign), F.length(x)))
+        return F.when(F.contains(t, F.lit("\n")), F.array_join(lines, "\n")).otherwise(F.repeat(F.lit(sign), F.length(t)))
+
     def mask(t: Column) -> Column:
         comment = t.rlike(r"^(?://|/\*|[ \t]*#[\s\S]|=begin)")
-        string = F.concat(F.lit(_STRING), F.regexp_replace(F.substring(t, 2, 2**31 - 1), r"[^\n]", _WITHIN))
-        return F.when((F.length(t) < 2) | t.rlike(r"^(?:\w+|[^\S\n]+)$"), t).when(comment, F.regexp_replace(t, r"[^\n]", " ")).otherwise(string)
+        string = F.concat(F.lit(_STRING), filled(F.substring(t, 2, 2**31 - 1), _WITHIN))
+        return F.when((F.length(t) < 2) | t.rlike(r"^(?:\w+|[^\S\n]+)$"), t).when(comment, filled(t, " ")).otherwise(string)
 
     return F.array_join(F.transform(tokens, mask), "")
 
@@ -88,7 +98,7 @@ def masked(text: Column, lang: Column) -> Column:
 
 _CONTROL = r"(?!(?:if|for|while|switch|catch|else|do|try|return|function|with|new|throw|synchronized|using|lock|foreach|case|sizeof|super|this|await|yield|match|when|guard|elseif|fixed|defer)\b)"
 _ON_A_LINE = r"(?s)^(?:.*\n)?[ \t]*(?:{before})?({head}[^{{}}]*)$"  # the last line that starts so, to the end
-_WHOLE = r"(?s)^\s*({head})$"
+_WHOLE = r"(?s)^\s*+({head})$"
 
 
 def _lined(head: str, before: str = "") -> str:
@@ -120,21 +130,21 @@ HEADERS = {
         ("function_item", _lined(r"(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+[\x01\x02]+)?|default)\s+)*+fn\s+\w+")), ("impl_item", _lined(r"(?:unsafe\s+)?impl\b")),
         ("struct_item", _lined(r"(?:pub(?:\s*\([^)]*\))?\s+)?struct\s+\w+")),
     ],
-    "java": _JAVA, "c": _C, "cpp": [(k, p.replace(r"^\s*", r"^\s*(?:template\s*<[^{}()]*>\s*)?", 1)) for k, p in _C], "c_sharp": [("class_declaration", _WHOLE.format(head=r"(?:\[[^\]{}]*\]\s*)*+" + _MODIFIERS + r"class\s+\w[^{}]*"))],
+    "java": _JAVA, "c": _C, "cpp": [(k, p.replace(r"^\s*+", r"^\s*+(?:template\s*<[^{}()]*>\s*)?", 1)) for k, p in _C], "c_sharp": [("class_declaration", _WHOLE.format(head=r"(?:\[[^\]{}]*\]\s*)*+" + _MODIFIERS + r"class\s+\w[^{}]*"))],
     "php": [("class_declaration", _lined(r"(?:(?:abstract|final|readonly)\s+)*+class\s+\w+")), ("function_definition", _lined(r"function\s+&?\s*\w+\s*\("))],
     "kotlin": [("class_declaration", _lined(_MODIFIERS + r"(?:class|interface)\s+\w+")), ("function_declaration", _lined(_MODIFIERS + r"fun\s+(?:<[^<>]*>\s*)?[\w.`<>?]+\s*\("))],
     "swift": [("class_declaration", _lined(_MODIFIERS + r"(?:class|struct|enum|actor|extension)\s+(?!func\b|var\b)\w+")), ("function_declaration", _lined(_MODIFIERS + r"(?:class\s+)?func\s+[^\s(]+\s*[(<]"))],
     "scala": [("class_definition", _lined(_MODIFIERS + r"class\s+\w+")), ("function_definition", _lined(_MODIFIERS + r"def\s+[^\s(\[:=]+"))],
     "ruby": [("method", r"^[ \t]*((?:(?:private|public|protected|module_function)\s+)?def\s[^\n]*)$"), ("class", r"^[ \t]*(class\s+(?!<<)[^\n]*)$"), ("module", r"^[ \t]*(module\s[^\n]*)$")],
 }
-_RUBY_OPENS = r"^[ \t]*(?:[\w@$.\[\], ]+=[ \t]*)?(?:(?:(?:private|public|protected|module_function)[ \t]+)?def|class|module|if|unless|while|until|case|for|begin)\b(?![:?!])|\bdo[ \t]*(?:\|[^|\n]*\|)?[ \t]*$"
-_RUBY_ONE_LINE = r"^[ \t]*(?:\w+[ \t]+)?def\s[^\n=]*\)?[ \t]*=(?!=)|\bend\b[ \t]*$"
+_RUBY_OPENS = r"^[ \t]*+(?:[\w@$.\[\], ]++=[ \t]*+)?(?:(?:(?:private|public|protected|module_function)[ \t]+)?def|class|module|if|unless|while|until|case|for|begin)\b(?![:?!])|\bdo[ \t]*(?:\|[^|\n]*\|)?[ \t]*$"
+_RUBY_ONE_LINE = r"^[ \t]*+(?:\w++[ \t]++)?def\s[^\n=]*\)?[ \t]*=(?!=)|\bend\b[ \t]*$"
 _PYTHON_HEAD = r"^[ \t]*((?:async[ \t]+)?def|class)\b"
 
 
 def _with_node(rows: DataFrame, code: Column) -> DataFrame:
     """Add ``node_type`` and ``_decl``, the text from a node's beginning to its brace; null where ``code`` heads no node."""
-    tables = F.create_map(*[x for k, table in HEADERS.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(p).alias("pattern")) for kind, p in table]))])
+    tables = _constant({k: [{"kind": kind, "pattern": p} for kind, p in table] for k, table in HEADERS.items()}, "map<string,array<struct<kind:string,pattern:string>>>")
     tried = F.transform(F.try_element_at(tables, F.col("lang")), lambda h: F.struct(h["kind"].alias("node_type"), F.call_function("regexp_extract", code, h["pattern"], F.lit(1)).alias("_decl")))
     return rows.select("*", F.inline_outer(F.slice(F.filter(tried, lambda t: t["_decl"] != ""), 1, 1)))  # the first that matches, tried once
 
@@ -192,8 +202,7 @@ def _paired(events: DataFrame, files: DataFrame) -> DataFrame:
     leveled = events.filter("step <> 0").withColumn("_level", level).withColumn("_next", F.lead(F.struct("step", "i", "end_line", "end_col")).over(level_order))
     closed = F.when(F.col("_next.step") == -1, F.col("_next"))
     opened = leveled.filter("step = 1").select(*_FILE, F.col("i").alias("id"), closed["i"].alias("close"), "node_type", "start_line", "start_col", closed["end_line"].alias("end_line"), closed["end_col"].alias("end_col"))
-    whole = files.select(*_FILE, "n_lines", "last_col")
-    return opened.unionByName(alone).join(whole, _FILE).select(
+    return opened.unionByName(alone).join(files, _FILE).select(
         *_FILE, "id", F.coalesce("close", F.lit(2**31 - 1)).alias("close"), "node_type", "start_line", "start_col", F.coalesce("end_line", "n_lines").alias("end_line"), F.coalesce("end_col", "last_col").alias("end_col")
     )
 
@@ -242,8 +251,9 @@ class BlockSyntax:
         text = F.array_join("lines", "\n")
         code = files.filter(lang.isin(*self.languages)).select(*_FILE, lang.alias("lang"), masked(text, lang).alias("code"), F.greatest(F.size("lines"), F.lit(1)).alias("n_lines"), F.coalesce(F.length(F.try_element_at("lines", F.lit(-1))), F.lit(0)).alias("last_col"))
         braced, ruby = code.filter(~F.col("lang").isin("ruby", "python")), code.filter("lang = 'ruby'")
-        blocks = [_paired(_brace_events(braced), braced), _paired(_ruby_events(ruby), ruby), _indented(code.filter("lang = 'python'"))]
-        found = _with_parents(reduce(DataFrame.unionByName, blocks)).filter("node_type IS NOT NULL")
+        events = materialize(_brace_events(braced).unionByName(_ruby_events(ruby)), "brace-events")  # a row per brace; each text is masked once
+        blocks = materialize(_paired(events, code.select(*_FILE, "n_lines", "last_col")).unionByName(_indented(code.filter("lang = 'python'"))), "blocks")
+        found = _with_parents(blocks).filter("node_type IS NOT NULL")
         names = [c.split()[0] for c in BOUNDARY_SCHEMA.split(", ")]
         number = found.withColumns({"node_id": F.col("id") + 1, "parent_id": F.coalesce(F.col("parent") + 1, F.lit(0))})
         whole = code.select(*_FILE, F.lit(0).alias("node_id"), F.lit(None).alias("parent_id"), F.lit("program").alias("node_type"), F.lit(1).alias("start_line"), F.lit(0).alias("start_col"), F.col("n_lines").alias("end_line"), F.col("last_col").alias("end_col"))

@@ -240,7 +240,7 @@ def review_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def syntax_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of files in six languages that hold the driver's texts."""
-    nodes = blocks.BlockSyntax().nodes(code.code_files(spark, sf_dir)).filter("node_id > 0")
+    nodes = blocks.BlockSyntax().nodes(materialize(code.code_files(spark, sf_dir), "code")).filter("node_id > 0")
     return nodes.select("review_id", "path", "node_type", "start_line", "start_col", "end_line", (F.col("parent_id") > 0).alias("nested"))
 
 
