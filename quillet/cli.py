@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from quillet.functions.findings import SEVERITIES, at_least
 from quillet.functions.text import split_lines
-from quillet.operators.boundaries import PythonSyntax
+from quillet.operators.blocks import BlockSyntax
 from quillet.operators.review import dry_run, dry_run_source, flatten
 from quillet.operators.summary import ORDER, apply_upserts
-from quillet.plans.review import review_changes
-from quillet.runtime import build_session
-from quillet.sources.files import COMMENTS, read_files, read_results, result_findings
-from quillet.sources.git import GitDiffSource
+from quillet.plans.review import needed_files, review_changes
+from quillet.runtime import build_session, materialize
+from quillet.sources.files import COMMENTS, read_results, result_findings
+from quillet.sources.git import GitDiffSource, read_committed
 
 
 def local(spark: SparkSession, path: str, min_severity: str = "suggestion") -> tuple[int, list[str]]:
@@ -55,7 +55,9 @@ def change(spark: SparkSession, args: argparse.Namespace) -> tuple[int, list[str
     since = first_summary_comment(comments).select(last_reviewed_sha(F.col("body"))).head(1)
     changes = f"0 {args.base} {args.head} {since[0][0] or '' if since else ''}"
     diffs = spark.read.format("git_diff").option("repo_root", args.repo_root).option("changes", changes).load().select("review_id", "from_sha", "diff_text")
-    made = review_changes(reviews, comments, diffs, read_files(spark, args.repo_root), provider=PythonSyntax(), min_severity=args.min_severity)
+    diffs = materialize(diffs, "diffs")
+    files = materialize(read_committed(args.repo_root, needed_files(reviews, comments, diffs)), "files")  # as of the head, only those that matter
+    made = review_changes(reviews, comments, diffs, files, provider=BlockSyntax(), min_severity=args.min_severity)
     if args.out and not args.no_post:
         apply_upserts(comments, made.plan.select("review_id", "action", "ord", "body")).write.parquet(args.out)
     r = made.results.first()

@@ -12,7 +12,7 @@ from quillet.functions.findings import at_least
 from quillet.operators.boundaries import BoundaryProvider
 from quillet.operators.carry import carry_forward, review_counters
 from quillet.operators.chunk import TOKEN_BUDGET, chunk_changes
-from quillet.operators.diff import changed_lines_in_slices, diff_lines, has_changes, resolve_from_sha
+from quillet.operators.diff import FILE_HEADER, changed_lines_in_slices, diff_lines, has_changes, new_path, resolve_from_sha
 from quillet.operators.ground import Verifier, ground, kept
 from quillet.operators.review import dry_run, flatten
 from quillet.operators.summary import build_bodies, first_summary_comment, last_reviewed_sha, prior_findings, upsert_plan
@@ -33,6 +33,13 @@ class Review:
     plan: DataFrame
 
 
+def needed_files(reviews: DataFrame, comments: DataFrame, diffs: DataFrame) -> DataFrame:
+    """``review_id, head_sha, path`` of the files that a run looks at: those a diff names as changed and those of earlier findings."""
+    lines = diff_lines(diffs.select("review_id", "diff_text")).select("review_id", new_path(F.nullif(F.regexp_extract("line", FILE_HEADER, 1), F.lit(""))).alias("path"))
+    earlier = prior_findings(first_summary_comment(comments).select("review_id", "body")).select("review_id", F.explode("findings.file").alias("path"))
+    return lines.unionByName(earlier).dropna().distinct().join(reviews.select("review_id", "head_sha"), "review_id")
+
+
 def review_changes(
     reviews: DataFrame,
     comments: DataFrame,

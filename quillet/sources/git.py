@@ -1,12 +1,23 @@
-"""Diffs from git checkouts as a Spark data source."""
+"""Diffs and committed files of git repositories."""
 
 from __future__ import annotations
 
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillet.functions.text import split_lines
+from quillet.operators.ground import relative
+from quillet.sources.files import decode_utf8
+
+#: Files of an Arrow batch.
+_ROWS = 50
+
 
 class GitDiffError(RuntimeError):
     """git could not produce the diff; an empty one is never made up instead."""
@@ -67,3 +78,64 @@ class _GitDiffReader(DataSourceReader):
     def read(self, partition: _Change) -> Iterator[tuple]:
         text = local_diff(partition.repo_root, partition.from_sha) if partition.head_sha is None else change_diff(partition.repo_root, partition.from_sha, partition.head_sha)
         yield partition.review_id, partition.from_sha, partition.head_sha, text
+
+
+def committed_files(repo_root: str, wanted: Iterable[tuple[int, str, str]]) -> Iterator[tuple[int, str, bytes | None, bool]]:
+    """``review_id, path, content, is_readable`` of (review_id, commit, path), by one git process that answers in turn."""
+    done: subprocess.Popen | None = None
+    commits: set[str] = set()
+    try:
+        for review_id, commit, path in wanted:
+            if done is None:
+                done = subprocess.Popen(["git", "-C", repo_root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+            if commit not in commits and _object(done, f"{commit}^{{commit}}") is None:
+                raise GitDiffError(f"{repo_root} has no commit {commit}")
+            commits.add(commit)
+            found = None if "\n" in path or "\r" in path else _object(done, f"{commit}:{path}")
+            if found is not None:
+                kind, content = found
+                yield review_id, path, content if kind == "blob" else None, kind == "blob"
+    finally:
+        if done is not None:
+            done.stdin.close()
+            done.stdout.close()
+            done.wait()
+
+
+def _object(git: subprocess.Popen, name: str) -> tuple[str, bytes | None] | None:
+    """Kind and content of an object; null if there is none. A submodule's commit is known by name only."""
+    git.stdin.write(name.encode() + b"\n")
+    git.stdin.flush()
+    head = git.stdout.readline()
+    if not head:
+        raise GitDiffError(f"git gave no answer about {name}")
+    if head.endswith(b" submodule\n"):
+        return "commit", None
+    if head.endswith((b" missing\n", b" ambiguous\n")):
+        return None
+    _, kind, size = head.rsplit(b" ", 2)
+    content = git.stdout.read(int(size))
+    git.stdout.read(1)
+    return kind.decode(), content
+
+
+def read_committed(repo_root: str, wanted: DataFrame) -> DataFrame:
+    """``review_id, path, lines, is_readable`` of ``wanted(review_id, head_sha, path)``: each review sees the files of its own commit, whatever is checked out.
+
+    The pairs are dealt over partitions, each of which keeps one git process; the
+    repository must be at the same place on every executor. A path that the commit
+    doesn't have gives no row, a directory or submodule one that isn't readable;
+    absolute and climbing paths match nothing. An unknown commit is an error. A
+    symbolic link is the text that git stores for it.
+    """
+    schema = "review_id long, path string, content binary, is_readable boolean"
+
+    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = ((r["review_id"], r["head_sha"], r["path"]) for b in batches for r in b.to_pylist())
+        files = committed_files(repo_root, asked)
+        while rows := list(islice(files, _ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.bool_()), strict=True)], ["review_id", "path", "content", "is_readable"])
+
+    pairs = wanted.select(F.col("review_id").cast("long").alias("review_id"), "head_sha", relative(F.col("path")).alias("path")).dropna().distinct()
+    raw = pairs.repartition("review_id", "path").mapInArrow(partition, schema)
+    return raw.select("review_id", "path", split_lines(decode_utf8(F.col("content"))).alias("lines"), "is_readable")
