@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions.text import collapse, join_lines
+from quillet.runtime import materialize
 
 TOLERANCE = 2
 MISMATCH_FACTOR = 0.5
+#: Lines of a block, in which files meet what asks for their lines.
+BLOCK_LINES = 200
 
 GROUNDED, DOWNWEIGHTED, DROPPED = "grounded", "downweighted", "dropped"
 
@@ -24,17 +27,46 @@ def relative(path: Column) -> Column:
     return F.when(plain.startswith("/") | plain.rlike(r"(^|/)\.\.(/|$)"), F.lit(None)).otherwise(plain)
 
 
+def file_blocks(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
+    """``review_id, path, block, lines``: each file in blocks of ``size`` lines, numbered from 0."""
+    n = F.size("lines")
+    each = F.transform(F.sequence(F.lit(0), F.expr(f"(size(lines) - 1) div {size}").cast("int")), lambda b: F.struct(b.alias("block"), F.slice("lines", b * size + 1, F.lit(size)).alias("lines")))
+    return files.select("review_id", "path", F.explode(F.when(n > 0, each)).alias("_b")).select("review_id", "path", "_b.*")
+
+
+def lines_between(asked: DataFrame, blocks: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
+    """``review_id, path, low, high, lines`` of each distinct ``asked(review_id, path, low, high)``, line numbers from 1.
+
+    A range meets the blocks that it lies in and no others. ``asked`` should be a
+    written table: while it is small, Spark then sends it to the blocks, and only
+    those that it names are shuffled.
+    """
+    keys = ["review_id", "path", "low", "high"]
+    each = asked.select(*keys, F.explode(F.sequence(F.expr(f"(low - 1) div {size}").cast("int"), F.expr(f"(high - 1) div {size}").cast("int"))).alias("block"))
+    first = F.greatest(F.col("low") - F.col("block") * size, F.lit(1)).cast("int")
+    last = F.least(F.col("high") - F.col("block") * size, F.lit(size)).cast("int")
+    met = blocks.join(each, ["review_id", "path", "block"]).select(*keys, "block", F.slice("lines", first, last - first + 1).alias("part"))
+    gathered = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("_parts"))
+    return gathered.select(*keys, F.flatten(F.transform("_parts", lambda x: x["part"])).alias("lines"))
+
+
 def with_context(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Look up each finding's file: ``n_lines`` (null if there is none), ``is_readable`` and ``context``."""
+    """Look up each finding's file: ``n_lines`` (null if there is none), ``is_readable`` and ``context``.
+
+    Findings meet a row of counts per file; the lines come by block, once for all findings with the same context.
+    """
     known = files.select(
-        F.col("review_id").alias("_r"), F.col("path").alias("_p"), "lines", (F.col("is_readable") if "is_readable" in files.columns else F.lit(True)).alias("is_readable"), F.lit(True).alias("_found")
+        F.col("review_id").alias("_r"), F.col("path").alias("_p"), F.size("lines").cast("long").alias("n_lines"), (F.col("is_readable") if "is_readable" in files.columns else F.lit(True)).alias("is_readable"), F.lit(True).alias("_found")
     )
-    joined = findings.join(known, (F.col("review_id") == F.col("_r")) & (relative(F.col("file")) == F.col("_p")), "left").drop("_r", "_p")
-    low = F.greatest(F.lit(1), F.col("line_start") - TOLERANCE)
-    high = F.least(F.size("lines"), F.greatest("line_start", "line_end") + TOLERANCE)
-    inside = F.col("line_start").between(1, F.size("lines"))
-    context = F.when(inside, join_lines(F.slice("lines", F.when(inside, low).otherwise(1).cast("int"), F.when(inside, high - low + 1).otherwise(0).cast("int"))))
-    return joined.withColumns({"n_lines": F.size("lines").cast("long"), "context": context, "found": F.coalesce("_found", F.lit(False))}).drop("lines", "_found")
+    joined = findings.join(known, (F.col("review_id") == F.col("_r")) & (relative(F.col("file")) == F.col("_p")), "left").drop("_r")
+    inside = F.col("line_start").between(1, F.col("n_lines"))
+    low = F.when(inside, F.greatest(F.lit(1), F.col("line_start") - TOLERANCE)).cast("long")
+    high = F.when(inside, F.least(F.col("n_lines"), F.greatest("line_start", "line_end") + TOLERANCE)).cast("long")
+    joined = joined.withColumns({"_low": low, "_high": high, "found": F.coalesce("_found", F.lit(False))}).drop("_found")
+    asked = joined.filter("_low IS NOT NULL").select("review_id", F.col("_p").alias("path"), F.col("_low").alias("low"), F.col("_high").alias("high")).distinct()
+    context = lines_between(materialize(asked, "asked-lines"), file_blocks(files)).select(F.col("review_id").alias("_r"), F.col("path").alias("_q"), "low", "high", join_lines(F.col("lines")).alias("context"))
+    same = (F.col("review_id") == F.col("_r")) & (F.col("_p") == F.col("_q")) & (F.col("_low") == F.col("low")) & (F.col("_high") == F.col("high"))
+    return joined.join(context, same, "left").drop("_p", "_q", "_r", "_low", "_high", "low", "high")
 
 
 def ground(findings: DataFrame, files: DataFrame, verifier: Verifier | None = None) -> DataFrame:

@@ -123,3 +123,6 @@ FROM (SELECT *, (conv_id * 13 + turn * 7) % 11 AS k, (conv_id * 13 + turn * 7) %
 }
 ORACLE_SQL["diff_changed_lines_sliced"] = ORACLE_SQL["diff_changed_lines"]
 ORACLE_SQL |= {"syntax_nodes": SYNTAX_NODES, "review_with_syntax": with_syntax_sql(BUDGET)}
+ORACLE_SQL["lines_by_block"] = sql("""SELECT a.review_id, a.path, low, high, string_agg(line, chr(10) ORDER BY line_no) AS context
+FROM (SELECT DISTINCT review_id, path, greatest(1, line_no - 9) AS low, least(n_lines, line_no + 9) AS high FROM c) a
+JOIN l ON l.review_id = a.review_id AND l.path = a.path AND l.line_no BETWEEN low AND high GROUP BY a.review_id, a.path, low, high""")

@@ -152,6 +152,14 @@ def _grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground.ground(fx.findings(spark, sf_dir), fx.files(spark, sf_dir), fx.verdict)
 
 
+def lines_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines around every changed line, through blocks of seven lines."""
+    lines = fx.changed(spark, sf_dir).join(fx.files(spark, sf_dir).select("review_id", "path", F.size("lines").alias("n")), ["review_id", "path"])
+    asked = lines.select("review_id", "path", F.greatest(F.lit(1), F.col("line_no") - 9).cast("long").alias("low"), F.least("n", F.col("line_no") + 9).cast("long").alias("high")).distinct()
+    found = ground.lines_between(materialize(asked, "asked"), ground.file_blocks(fx.files(spark, sf_dir), 7), 7)
+    return found.select("review_id", "path", "low", "high", F.array_join("lines", "\n").alias("context"))
+
+
 def ground_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(_grounded(spark, sf_dir)).select(*_KEYS, "file", "line_start", "confidence", "outcome", "reason")
 
@@ -312,6 +320,7 @@ QUERIES: dict[str, Query] = {
     "build_verify_prompt": build_verify_prompt,
     "validate_findings": validate_findings,
     "severity_filter": severity_filter,
+    "lines_by_block": lines_by_block,
     "ground_findings": ground_findings,
     "grounding_outcome_counts": grounding_outcome_counts,
     "carry_forward": carry_forward,

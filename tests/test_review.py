@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import subprocess
 import sys
 
@@ -340,3 +341,28 @@ def test_empty_tables(spark):
     made = review_changes(empty("review_id long, pr_number long, base_sha string, head_sha string"), empty("review_id long, ord long, body string"), empty("review_id long, from_sha string, diff_text string"), empty(FILES))
     assert made.plan.count() == made.findings.count() == made.results.count() == 0
     assert len(FINDING.names) == 9
+
+
+@pytest.mark.parametrize("size", [1, 3, 200])
+def test_lines_by_block(spark, size):
+    lines = {"a": [f"l{i}" for i in range(1, 42)], "b": ["only"], "c": [], "d": None}
+    files = spark.createDataFrame([(1, p, x) for p, x in lines.items()], "review_id long, path string, lines array<string>")
+    asked = [("a", 1, 41), ("a", 3, 3), ("a", 5, 9), ("a", 41, 41), ("b", 1, 1), ("gone", 1, 1)]
+    table = spark.createDataFrame([(1, *x) for x in asked], "review_id long, path string, low long, high long")
+    got = {(r.path, r.low, r.high): r.lines for r in ground.lines_between(table, ground.file_blocks(files, size), size).collect()}
+    assert got == {(p, a, b): lines[p][a - 1 : b] for p, a, b in asked if p != "gone"}
+
+
+def test_findings_of_a_very_long_file(spark):
+    """Contexts come by block: the file's lines meet no finding row and aren't shuffled whole."""
+    n = 200_000
+    files = spark.range(1).select(F.lit(1).cast("long").alias("review_id"), F.lit("big.txt").alias("path"), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("line "), i)).alias("lines"), F.lit(True).alias("is_readable"))
+    at = F.col("id") * 97 + 1
+    found = spark.range(2000).select(F.lit(1).cast("long").alias("review_id"), F.lit("big.txt").alias("file"), at.alias("line_start"), (at + 1).alias("line_end"), F.concat(F.lit("line "), at).alias("code_snippet"), F.lit(0.5).alias("confidence"))
+    got = ground.ground(found, files)
+    assert {(r.outcome, r["count"]) for r in got.groupBy("outcome").count().collect()} == {("grounded", 2000)}
+    looked = ground.with_context(found, files)
+    assert looked.agg(F.max(F.length("context"))).first()[0] < 100
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Generate explode(CASE WHEN (size(lines")[0]
+    assert re.search(r"BroadcastHashJoin \[[^]]*block", above)  # the blocks that are asked for, before any exchange of lines
