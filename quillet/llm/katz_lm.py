@@ -192,7 +192,7 @@ def _totals(table: pa.Table) -> pa.Table:
     owned = np.zeros(len(inverse), np.uint8)
     owned[first[totals > 0]] = 1
     ends = np.cumsum([len(k) for k in keys])
-    answers = [(_pack(t.astype(np.uint32)), _pack(o)) for t, o in zip(np.split(totals[inverse], ends[:-1]), np.split(owned, ends[:-1]), strict=True)]
+    answers = [(_pack(t.astype(np.uint64)), _pack(o)) for t, o in zip(np.split(totals[inverse], ends[:-1]), np.split(owned, ends[:-1]), strict=True)]
     n = len(answers)
     once = lambda value: pa.array([int(value)] + [0] * (n - 1), pa.int64())
     columns = [table["range"], table["task"], table["block"], pa.array([a for a, _ in answers], pa.binary()), pa.array([o for _, o in answers], pa.binary()), once(totals.sum()), once((totals > 0).sum())]
@@ -235,7 +235,7 @@ def _score(blocks: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
     row = blocks.to_pylist()[0]
     b = Block(row)
     answers = answers.take(pa.array(np.argsort(answers["range"].to_numpy())))
-    parts = [(r.as_py(), _unpack(t.as_py(), "<u4"), o.as_py()) for r, t, o in zip(answers["range"], answers["totals"], answers["owned"], strict=True)]
+    parts = [(r.as_py(), _unpack(t.as_py(), "<u8"), o.as_py()) for r, t, o in zip(answers["range"], answers["totals"], answers["owned"], strict=True)]
     word_totals = np.concatenate([t for r, t, _ in parts if r < model["word_ranges"]]).astype(np.int64)
     bigram_totals = np.concatenate([t for r, t, _ in parts if r >= model["word_ranges"]]).astype(np.int64)
     owned = np.concatenate([_unpack(o, "u1") for r, _, o in parts if r >= model["word_ranges"]]).astype(bool)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import ODD
 
@@ -288,6 +289,15 @@ def test_katz(docs, prose, block, keys):
     assert np.allclose([r[5:] for r in rows], [w[5:] for w in want], atol=2e-6)
 
 
+def test_katz_totals_beyond_32_bits():
+    keys = np.array([5, 9], np.uint64)
+    rows = [(0, t, 0, katz_lm._pack_sorted(keys), katz_lm._pack(np.array([3_000_000_000, 1], np.uint32))) for t in range(2)]
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    answer = katz_lm._totals(pa.table(columns, names=["range", "task", "block", "keys", "counts"])).to_pylist()
+    assert [katz_lm._unpack(r["totals"], "<u8").tolist() for r in answer] == [[6_000_000_000, 2]] * 2
+    assert [r["tokens"] for r in answer] == [6_000_000_002, 0]
+
+
 def test_katz_without_training_rows(docs):
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = katz_lm.katz_scores(docs(["a b"], ids=[held])).first()
