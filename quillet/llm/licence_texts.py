@@ -12,6 +12,19 @@ _CONDITIONS_BSD2 = """Redistribution and use in source and binary forms, with or
 
 _CONDITION_BSD3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 
+#: Titles and versions of the licences whose header is the same but for them.
+_GNU = [("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")]
+_GNU_ENDS = ("see https://www.gnu.org/licenses/.", "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")
+
+
+def _gnu_header(title: str, version: str, work: str, end: str) -> str:
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {title} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {title} Public License for more details. "
+        f"You should have received a copy of the GNU {title} Public License along with this {work}. If not, {end}"
+    )
+
+
 #: (licence, text)
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
@@ -32,13 +45,20 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
-    ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *((name, _gnu_header(title, version, work, end)) for name, title, version in _GNU for work in ("program", "library") for end in _GNU_ENDS),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("BSD-style", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-style", "Use of this source code is governed by a BSD-style license."),
+    ("MIT-style", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    ("MIT-style", "Use of this source code is governed by an MIT-style license."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-2-Clause", _CONDITIONS_BSD2 + " " + _WARRANTY_BSD),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),

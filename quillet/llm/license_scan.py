@@ -7,6 +7,11 @@ windows begin and end with a bigram of the template. So windows are only measure
 from a template's bigrams on, where enough of them are near each other. Of windows
 that overlap the one of the largest coefficient counts, then the longest, then the first.
 
+Headers of one family differ in a word or two, which a coefficient over a hundred
+bigrams hardly shows. So the name of a window is settled among near templates: of two,
+that one counts of whose own bigrams, those the other lacks, the window has the larger
+share, if the window reaches the threshold with it.
+
 Defined cases: a null or empty text has no windows and no licence; of several
 templates with the same coefficient the first in the list names the licence; rows
 with a null id and repeated rows are scanned like any other; an empty table gives
@@ -30,6 +35,8 @@ from quillet.llm.batches import bounded, text_groups
 from quillet.llm.licence_texts import TEMPLATES
 
 THRESHOLD = 0.85
+#: Templates of other licences with at least this coefficient are near.
+NEAR = 0.5
 
 _word = re.compile(r"[a-z0-9]+")
 
@@ -61,6 +68,17 @@ class Scanner:
             for pair in b:
                 self.owners[pair].append(i)
 
+        self.near = {i: [j for _, j, other, c in sized if other != name and dice(b, c) >= NEAR] for _, i, name, b in sized}
+
+    def settled(self, found: set, template: int) -> int:
+        """The template that names a window of bigrams, of the one that found it and those near it."""
+        for j in self.near[template]:
+            mine, its = self.named[template][1], self.named[j][1]
+            own, other = mine - its, its - mine
+            if other and dice(found, its) >= self.threshold and len(found & other) * max(1, len(own)) > len(found & own) * len(other):
+                template = j
+        return template
+
     def best(self, found: set) -> tuple[float, str] | None:
         """The best template for a passage's bigrams, if it reaches the threshold."""
         n, t = len(found), self.threshold
@@ -115,7 +133,12 @@ class Scanner:
                 insort(taken, (start, end, i, -score))
             elif entry := self._window(pairs, start, limit, i):
                 heapq.heappush(heap, entry)
-        return [(start, end, self.named[i][0], score) for start, end, i, score in taken]
+        out = []
+        for start, end, i, score in taken:
+            found = set(pairs[start:end]) if self.near[i] else set()
+            j = self.settled(found, i)
+            out.append((start, end, self.named[j][0], score if j == i else dice(found, self.named[j][1])))
+        return out
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """First and last line, licence and coefficient of each window found."""

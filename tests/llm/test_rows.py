@@ -193,6 +193,40 @@ def test_licences_inside_lines_and_next_to_each_other(docs, prose):
     assert all(s == 1.0 for i in range(4) for s in got[i].scores)
 
 
+GNU_V2 = """This {w} is free software; you can redistribute it and/or modify
+it under the terms of the GNU {t} Public License as published by
+the Free Software Foundation; either version {v} of the License, or
+(at your option) any later version.
+
+This {w} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {t} Public License for more details.
+
+You should have received a copy of the GNU {t} Public License{more}
+along with this {w}; if not, {end}"""
+HEADS = [
+    ("GPL-2.0", GNU_V2.format(w="program", t="General", v="2", more="", end="write to the Free Software\nFoundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA")),
+    ("GPL-2.0", GNU_V2.format(w="file", t="General", v="2", more=" ", end="see <http://www.gnu.org/licenses/>.")),
+    ("GPL-3.0", GNU_V2.format(w="program", t="General", v="3", more="", end="see <https://www.gnu.org/licenses/>.")),
+    ("LGPL-2.1", GNU_V2.format(w="library", t="Lesser General", v="2.1", more="", end="write to the Free Software\nFoundation, Inc., 59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")),
+    ("LGPL-3.0", GNU_V2.format(w="program", t="Lesser General", v="3", more=" and the", end="see <https://www.gnu.org/licenses/>.")),
+    ("AGPL-3.0", GNU_V2.format(w="program", t="Affero General", v="3", more="", end="see <https://www.gnu.org/licenses/>.")),
+    ("Apache-2.0", next(t for n, t in TEMPLATES if n == "Apache-2.0" and len(t) > 200)), ("MPL-2.0", next(t for n, t in TEMPLATES if n == "MPL-2.0")),
+    ("BSD-2-Clause", next(t for n, t in TEMPLATES if n == "BSD-2-Clause" and len(t) > 200)), ("BSD-3-Clause", next(t for n, t in TEMPLATES if n == "BSD-3-Clause" and len(t) > 200)),
+    ("BSD-style", "// Use of this source code is governed by a BSD-style license"), ("MIT-style", "# Use of this source code is governed by an MIT-style license that can be\n# found in the LICENSE file."),
+]
+
+
+def test_headers_of_every_family(docs, prose):
+    """Near templates are told apart by the bigrams in which they differ, with comment signs and small changes, too."""
+    words = prose(2, 60, seed=77)
+    texts = [x for _, t in HEADS for x in (t, f"{words[0]}\n\n" + "\n".join(f" * {line}" for line in t.split("\n")) + f"\n{words[1]}")]
+    got = {r.doc_id: r for r in license_scan.license_scan(docs(texts)).collect()}
+    for k, (name, _) in enumerate(HEADS):
+        assert [got[2 * k].licences, got[2 * k + 1].licences] == [[name]] * 2, (name, got[2 * k].licences, got[2 * k].scores)
+
+
 def test_windows_are_the_best_of_all(prose):
     scanner = license_scan.Scanner(TEMPLATES, 0.7)
     short = [t for _, t in TEMPLATES if len(t) < 130]
