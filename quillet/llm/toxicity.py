@@ -5,7 +5,8 @@ that inflected forms share a term), each hashed to one of ``Settings.buckets``
 buckets. The machine adds a weight per bucket and, through one short vector per
 bucket, a weight per pair of them: a pair such as an insult and the mention of a
 group can count for more than both alone, or though neither counts alone. Every
-bucket of the sample has parameters; pairs count by the mean over a text's terms.
+bucket of the sample has parameters; pairs count by the mean over a text's terms,
+and only if they lower the loss on rows that they were not learnt from.
 
 The machine is fitted on the driver on a bounded sample: of each class at most
 ``Settings.per_class`` labelled rows outside the held-out fold, those of smallest
@@ -25,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +49,19 @@ class Settings:
     per_class: int = 3000  # labelled rows of a class to fit on, at most
     buckets: int = 2**18  # that terms are hashed to
     rank: int = 4
-    rounds: int = 2  # of all weights under l1, then of those that aren't zero with the vectors
-    sparse_steps: int = 100  # of a round
-    steps: int = 200  # batches of a round, at least
-    epochs: int = 8  # passes over the sample in a round, at least
+    sparse_steps: int = 100
+    steps: int = 200  # batches at least, of weights without l1
+    epochs: int = 8  # passes over the sample at least
     batch: int = 256
     rate: float = 0.4
-    pair_rate: float = 4.0
-    spread: float = 0.02  # of the vectors at the start
     l1: float = 4.0  # standard errors
-    l2: float = 3e-3
+    l2: tuple[float, ...] = (0.3, 0.1, 0.03, 0.01, 0.003, 0.001)  # of a component of unit spread; chosen on held-out rows of the sample
+    folds: int = 4  # one of which is held out for that
+    gain: float = 0.002  # of mean loss that pairs must bring
+    smoothing: float = 30.0  # rows that a bucket must be well above for its vector to move freely
+    subspace_steps: int = 12
+    pair_steps: int = 150  # downhill from there, at most; how many is chosen on the same held-out rows
+    pair_rate: float = 30.0  # of vectors, as pairs count by a text's mean
     seed: int = 7
 
 
@@ -100,14 +105,49 @@ def bucket(terms: np.ndarray, buckets: int) -> np.ndarray:
     return (terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
+class Sample:
+    """Rows of the sample as places of a sparse matrix, over the buckets that they use."""
+
+    def __init__(self, docs: list[np.ndarray], toxic: np.ndarray, share: float, used: np.ndarray | None = None) -> None:
+        self.toxic, n1 = toxic, toxic.sum()
+        self.sizes = np.array([len(d) for d in docs])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        every = np.concatenate(docs)
+        self.used = np.unique(every) if used is None else used
+        self.flat = np.searchsorted(self.used, every)
+        self.weight = np.where(toxic > 0, share * len(docs) / n1, (1 - share) * len(docs) / (len(docs) - n1))
+        each = self.sums(np.repeat(self.weight, self.sizes))
+        self.errors = np.sqrt(share * (1 - share) * each) / len(docs)
+        self.counts = np.bincount(self.flat, minlength=len(self.used))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Values of places added up by bucket."""
+        return np.bincount(self.flat, weights=values, minlength=len(self.used))
+
+    def rows(self, values: np.ndarray) -> np.ndarray:
+        """Values of buckets added up by row."""
+        return np.add.reduceat(values[self.flat], self.starts, axis=0)
+
+    def pairs(self, v: np.ndarray) -> np.ndarray:
+        """What each column of vectors adds to each row: the mean over its terms of half their pairs."""
+        return 0.5 * (self.rows(v) ** 2 - self.rows(v * v)) / self.sizes[:, None]
+
+    def loss(self, z: np.ndarray) -> float:
+        return float((self.weight * (np.logaddexp(0.0, z) - self.toxic * z)).mean())
+
+
 def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, s: Settings = Settings()) -> Machine:
     """Fit on logistic loss; ``share`` is the share of toxic rows to restore.
 
-    All buckets of the sample have parameters. First all weights are learnt together under
-    l1, which holds a weight at zero while what the others leave unexplained is within
-    ``l1`` standard errors of none for it. Then those that aren't zero go on without l1,
-    and with them the vectors of all buckets, which l2 keeps small where pairs tell nothing.
-    Both are repeated, as a weight may count beside its pairs alone.
+    All buckets of the sample have parameters. Weights are learnt together under l1, which
+    holds a weight at zero while what the others leave unexplained is within ``l1`` standard
+    errors of none for it; those that aren't zero go on without l1. Vectors follow from what
+    weights leave: the steepest way to lower the loss by pairs is along the leading
+    eigenvectors of the residuals' co-occurrence matrix, and each is as long as lowers the
+    loss most under l2. How many there are and how strong l2 is, is settled by the loss on
+    rows that the weights and vectors were not fitted on; where pairs tell nothing, that
+    is none. From there weights and vectors go on downhill together, as far as that loss
+    falls.
     """
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
@@ -118,43 +158,169 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, s: Settings = S
     docs, toxic = [bucket(d, s.buckets) for d, _ in zip(docs, toxic, strict=True)], np.asarray(toxic, np.float64)
     some = [len(d) > 0 for d in docs]
     docs, toxic = [d for d, x in zip(docs, some, strict=True) if x], toxic[some]
-    used, flat = np.unique(np.concatenate(docs), return_inverse=True)
-    sizes = np.array([len(d) for d in docs])
-    starts = np.cumsum(sizes) - sizes
-    weight = np.where(toxic > 0, share * len(some) / n1, (1 - share) * len(some) / n0)
-    error = np.sqrt(share * (1 - share) * np.bincount(flat, weights=np.repeat(weight, sizes), minlength=len(used))) / len(docs)
-    rng = np.random.default_rng(s.seed)
-    w, v, bias = np.zeros(len(used)), rng.normal(0, s.spread, (len(used), s.rank)), float(np.log(share / (1 - share)))
-    whole = lambda v: 0.5 * ((np.add.reduceat(v[flat], starts, axis=0) ** 2).sum(1) - np.add.reduceat((v * v).sum(1)[flat], starts)) / sizes
-    for _ in range(s.rounds):  # a weight may only count once the pairs do
-        bias, w = sparse_weights(bias, w, whole(v), flat, starts, sizes, toxic, weight, s.l1 * error, s.sparse_steps)
-        gw, gb, free = np.full(len(used), 1e-8), 1e-6, w != 0
-        for _ in range(max(s.epochs, -(-s.steps * s.batch // len(docs)))):
-            order = rng.permutation(len(docs))
-            for at in range(0, len(docs), s.batch):
-                rows = order[at : at + s.batch]
-                n = sizes[rows]
-                first = np.cumsum(n) - n
-                ids = flat[np.repeat(starts[rows] - first, n) + np.arange(n.sum())]
-                vi = v[ids]
-                sums = np.add.reduceat(vi, first, axis=0)
-                squares = np.add.reduceat((vi * vi).sum(1), first)
-                z = bias + np.add.reduceat(w[ids], first) + 0.5 * ((sums**2).sum(1) - squares) / n
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[rows]) * weight[rows] / len(rows)
-                dw = np.where(free, np.bincount(ids, weights=np.repeat(g, n), minlength=len(used)), 0.0)
-                each = g / n
-                pairs = np.repeat(each[:, None] * sums, n, axis=0) - np.repeat(each, n)[:, None] * vi
-                dv = np.stack([np.bincount(ids, weights=pairs[:, f], minlength=len(used)) for f in range(s.rank)], axis=1)
-                gw += dw * dw
-                gb += g.sum() ** 2
-                w -= s.rate * dw / np.sqrt(gw)
-                v = (v - s.pair_rate * dv) * (1 - s.pair_rate * s.l2)
-                bias -= s.rate * g.sum() / np.sqrt(gb)
+    whole = Sample(docs, toxic, share)
+    rank, l2, steps = settled_pairs(docs, toxic, share, whole.used, s)
+    bias, w = linear_weights(whole, s)
+    v = np.zeros((len(whole.used), s.rank))
+    if rank:
+        found, bias = scaled_vectors(whole, bias, w, leading_vectors(whole, bias, w, s)[:, :rank], l2)
+        bias, w = beside(whole, bias, w, whole.pairs(found).sum(1), s)  # a weight may only count once the pairs do
+        for bias, w, found in islice(refined(whole, bias, w, found, s), steps):
+            pass
+        v[:, : found.shape[1]] = found
     all_w, all_v = np.zeros(s.buckets, np.float32), np.zeros((s.buckets, s.rank), np.float32)
-    all_w[used], all_v[used] = w, v
+    all_w[whole.used], all_v[whole.used] = w, v
     return Machine(bias, all_w, all_v)
 
 
+def settled_pairs(docs: list[np.ndarray], toxic: np.ndarray, share: float, used: np.ndarray, s: Settings) -> tuple[int, float, int]:
+    """Number of vector components, l2 of their first lengths and number of steps after that of the least loss on a part of the rows, the others being fitted on; 0 where pairs don't lower it."""
+    part = np.random.default_rng(s.seed).permutation(len(docs)) % s.folds == 0
+    if any(not toxic[p].sum() or toxic[p].all() for p in (part, ~part)):
+        return 0, 0.0, 0
+    learning, other = (Sample([docs[i] for i in np.flatnonzero(p)], toxic[p], share, used) for p in (~part, part))
+    bias, w = linear_weights(learning, s)
+    v, straight = leading_vectors(learning, bias, w, s), other.rows(w)
+    without, tried = other.loss(bias + straight), []
+    for rank in range(1, v.shape[1] + 1):
+        for l2 in s.l2:
+            scaled, moved = scaled_vectors(learning, bias, w, v[:, :rank], l2)
+            tried.append((other.loss(moved + straight + other.pairs(scaled).sum(1)), -rank, l2))
+    loss, rank, l2 = min(tried, default=(np.inf, 0, 0.0))
+    if loss >= without:
+        return 0, 0.0, 0
+    scaled, moved = scaled_vectors(learning, bias, w, v[:, :-rank], l2)
+    moved, w = beside(learning, moved, w, learning.pairs(scaled).sum(1), s)
+    losses = [loss, *(other.loss(b + other.rows(ws) + other.pairs(vs).sum(1)) for b, ws, vs in islice(refined(learning, moved, w, scaled, s), s.pair_steps))]
+    least = int(np.argmin(losses))
+    return (-rank, l2, least) if losses[least] < without - s.gain else (0, 0.0, 0)
+
+
+def refined(sample: Sample, bias: float, w: np.ndarray, v: np.ndarray, s: Settings) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """Bias, weights and vectors after each downhill step on those that aren't zero, over the whole sample, every bucket at the pace of its count."""
+    n, free, live = len(sample.toxic), w != 0, v != 0
+    pace = n * sample.counts / (sample.counts + s.smoothing) ** 2
+    length, loss = 1.0, np.inf
+    state = bias, w, v
+    while True:
+        bias, w, v = state
+        with np.errstate(over="ignore", invalid="ignore"):
+            sums = sample.rows(v)
+            z = bias + sample.rows(w) + 0.5 * (sums**2 - sample.rows(v * v)).sum(1) / sample.sizes
+            now = sample.loss(z)
+        if not now <= loss:  # too far, or beyond all numbers: back to the last state, with half the step
+            length *= 0.5
+            if length < 1e-6:
+                break
+        else:
+            kept, loss, length = state, now, length * 1.5
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - sample.toxic) * sample.weight / n
+            each = np.repeat(g / sample.sizes, sample.sizes)
+            m = np.repeat((g / sample.sizes)[:, None] * sums, sample.sizes, axis=0)
+            dv = np.stack([sample.sums(m[:, f]) for f in range(v.shape[1])], axis=1) - sample.sums(each)[:, None] * v
+            dw = np.where(free, sample.sums(np.repeat(g, sample.sizes)), 0.0)
+            moves = g.sum(), pace * dw, np.where(live, pace[:, None] * dv, 0.0)
+            yield kept
+        state = tuple(x - length * k * d for x, k, d in zip(kept, (1.0, 0.2, s.pair_rate), moves, strict=True))
+
+
+def linear_weights(sample: Sample, s: Settings) -> tuple[float, np.ndarray]:
+    """Bias and weights: under l1, then those that aren't zero without it."""
+    p = float((sample.weight * sample.toxic).mean())
+    return freed_weights(sample, *beside(sample, float(np.log(p / (1 - p))), np.zeros(len(sample.used)), np.zeros(len(sample.toxic)), s), s)
+
+
+def beside(sample: Sample, bias: float, w: np.ndarray, pairs: np.ndarray, s: Settings) -> tuple[float, np.ndarray]:
+    """Bias and weights under l1, beside what the pairs add."""
+    return sparse_weights(bias, w, pairs, sample.flat, sample.starts, sample.sizes, sample.toxic, sample.weight, s.l1 * sample.errors, s.sparse_steps)
+
+
+def freed_weights(sample: Sample, bias: float, w: np.ndarray, s: Settings) -> tuple[float, np.ndarray]:
+    """Weights that aren't zero go on without l1, in adaptive steps over batches."""
+    free = np.flatnonzero(w)
+    if not len(free):
+        return bias, w
+    place = np.full(len(sample.used), -1)
+    place[free] = np.arange(len(free))
+    at = place[sample.flat]
+    row, column = np.repeat(np.arange(len(sample.toxic)), sample.sizes)[at >= 0], at[at >= 0]
+    own, squared, squared_bias = w[free], np.full(len(free), 1e-8), 1e-6
+    ends = np.searchsorted(row, np.arange(len(sample.toxic) + 1))
+    rng = np.random.default_rng(s.seed)
+    for _ in range(max(s.epochs, -(-s.steps * s.batch // len(sample.toxic)))):
+        order = rng.permutation(len(sample.toxic))
+        for k in range(0, len(order), s.batch):
+            rows = order[k : k + s.batch]
+            n = ends[rows + 1] - ends[rows]
+            first = np.cumsum(n) - n
+            ids = column[np.repeat(ends[rows] - first, n) + np.arange(n.sum())]
+            z = bias + np.bincount(np.repeat(np.arange(len(rows)), n), weights=own[ids], minlength=len(rows))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - sample.toxic[rows]) * sample.weight[rows] / len(rows)
+            dw = np.bincount(ids, weights=np.repeat(g, n), minlength=len(free))
+            squared += dw * dw
+            squared_bias += g.sum() ** 2
+            own = own - s.rate * dw / np.sqrt(squared)
+            bias -= s.rate * g.sum() / np.sqrt(squared_bias)
+    w = w.copy()
+    w[free] = own
+    return float(bias), w
+
+
+def leading_vectors(sample: Sample, bias: float, w: np.ndarray, s: Settings) -> np.ndarray:
+    """Leading eigenvectors, by subspace steps, of the sum over rows of residual / terms times (x xt - diagonal).
+
+    Buckets are scaled by their counts, so that frequent terms don't win by that alone, nor
+    rare ones by rows that happen to share them. Entries within ``l1`` standard deviations of
+    chance are zero, as the many terms that tell nothing must not add up.
+    """
+    z = bias + sample.rows(w)
+    r = (sample.toxic - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * sample.weight / sample.sizes
+    scale = (np.sqrt(sample.counts) / (sample.counts + s.smoothing))[:, None]
+    diagonal = sample.sums(np.repeat(r, sample.sizes))[:, None]
+
+    def times(q: np.ndarray) -> np.ndarray:
+        u = scale * q
+        m = np.repeat(r[:, None] * sample.rows(u), sample.sizes, axis=0)
+        return scale * (np.stack([sample.sums(m[:, f]) for f in range(m.shape[1])], axis=1) - diagonal * u)
+
+    q = np.linalg.qr(np.random.default_rng(s.seed).normal(size=(len(sample.used), min(s.rank + 4, len(sample.used)))))[0]
+    for _ in range(s.subspace_steps):
+        q = np.linalg.qr(times(q))[0]
+    h = q.T @ times(q)
+    values, turned = np.linalg.eigh((h + h.T) / 2)
+    leading = [i for i in np.argsort(-values) if values[i] > 0][: s.rank]  # a pair of like vectors can only add
+    v, chance = q @ turned[:, leading], (sample.counts / (sample.counts + s.smoothing))[:, None]  # how an entry varies by chance, up to a factor
+    there = sample.counts > 0
+    spread = np.median(np.abs(v[there]) / chance[there], axis=0) / 0.6745
+    return scale * np.sign(v) * np.maximum(np.abs(v) - s.l1 * spread * chance, 0.0)
+
+
+def scaled_vectors(sample: Sample, bias: float, w: np.ndarray, v: np.ndarray, l2: float) -> tuple[np.ndarray, float]:
+    """Vectors whose columns are as long as lowers the loss most under l2, never turned round, and the bias beside them: Newton steps on a handful of numbers."""
+    straight, x = sample.rows(w), sample.pairs(v)
+    norm = np.sqrt((sample.weight[:, None] * x * x).mean(0))
+    norm = np.where(norm > 0, norm, 1.0)  # a component without pairs stays as it is
+    x = np.column_stack([np.ones(len(x)), x / norm])
+    a = np.zeros(x.shape[1])
+    a[0] = bias
+    ridge = np.diag([0.0, *[l2] * v.shape[1]])
+    free = np.ones(len(a), bool)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(straight + x @ a, -30, 30)))
+        g = x.T @ (sample.weight * (p - sample.toxic)) / len(x) + ridge @ a
+        free = (a > 0) | (g < 0)
+        free[0] = True
+        h = (x.T * (sample.weight * np.maximum(p * (1 - p), 1e-6))) @ x / len(x) + ridge
+        step = np.zeros(len(a))
+        step[free] = np.linalg.solve(h[np.ix_(free, free)] + 1e-9 * np.eye(free.sum()), g[free])
+        moved = a - step
+        moved[1:] = np.maximum(moved[1:], 0.0)
+        if np.abs(moved - a).max() < 1e-8:
+            break
+        a = moved
+    return v * np.sqrt(a[1:] / norm), float(a[0])
+
+
 def sparse_weights(bias: float, w: np.ndarray, pairs: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, weight: np.ndarray, l1: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
     """Bias and weights, beside what the pairs add, by accelerated proximal gradient steps over the whole sample, each bucket at a pace that bounds its curvature."""
     n, t = len(toxic), 1.0
