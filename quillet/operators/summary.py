@@ -11,12 +11,8 @@ from quillet.operators.boundaries import first_of
 
 MARKER = "<!-- quillet:summary -->"
 
-#: The wording of the summary, as readers of the comments know it.
-HEADING = "## AI Code Review"
-NOTHING = "No issues found."
-ACROSS = " finding(s) across "
-REVIEWED = " reviewed chunk(s)"
-SKIPPED = " skipped"
+HEADING = "## What the review found"
+NOTHING = "Nothing to report on this change."
 SHA_MARKER = r"<!-- quillet:last-reviewed-sha:([0-9a-fA-F]+) -->"
 FINDINGS_MARKER = r"<!-- quillet:findings:([A-Za-z0-9+/=]*) -->"
 
@@ -65,8 +61,8 @@ def render(reviews: DataFrame, findings: DataFrame) -> DataFrame:
     joined = reviews.join(sections, "review_id", "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
     body = F.when(n == 0, F.lit(NOTHING)).otherwise(F.array_join(F.transform("_s", lambda x: x["section"]), "\n"))
-    skipped = F.when(F.col("chunks_skipped") > 0, F.concat(F.lit(", "), "chunks_skipped", F.lit(SKIPPED))).otherwise("")
-    totals = F.concat(F.lit("_"), n, F.lit(ACROSS), "chunks_reviewed", F.lit(REVIEWED), skipped, F.lit("._"))
+    skipped = F.when(F.col("chunks_skipped") > 0, F.concat(F.lit("; cut short or failed: "), "chunks_skipped")).otherwise("")
+    totals = F.concat(F.lit("Findings: "), n, F.lit("; regions looked at: "), "chunks_reviewed", skipped)
     return joined.select("review_id", F.concat(F.lit(f"{MARKER}\n\n{HEADING}\n\n"), body, F.lit("\n"), totals).alias("text"))
 
 

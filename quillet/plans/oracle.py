@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillet.operators.review import DRY_RUN_MESSAGE, PARTIAL_NOTE, REVIEW_REQUEST, VERIFY_REQUEST
-from quillet.operators.summary import MARKER
+from quillet.operators.summary import HEADING, MARKER, NOTHING
 from quillet.plans.code_fixtures import SYNTAX_NODES, with_syntax_sql
 from quillet.plans.fixtures import BOUNDARY_CTES, BUDGET, CTES, sql
 
@@ -34,8 +34,8 @@ _SECTIONS = f"""
 )"""
 _RENDERED = f"""
 , rendered AS (
-  SELECT c.review_id, {_q(MARKER)} || {_NL} || {_NL} || '## AI Code Review' || {_NL} || {_NL} || coalesce(s, 'No issues found.') || {_NL}
-    || '_' || coalesce(n, 0) || ' finding(s) across ' || chunks_reviewed || ' reviewed chunk(s)' || CASE WHEN chunks_skipped > 0 THEN ', ' || chunks_skipped || ' skipped' ELSE '' END || '._' AS text
+  SELECT c.review_id, {_q(MARKER)} || {_NL} || {_NL} || {_q(HEADING)} || {_NL} || {_NL} || coalesce(s, {_q(NOTHING)}) || {_NL}
+    || 'Findings: ' || coalesce(n, 0) || '; regions looked at: ' || chunks_reviewed || CASE WHEN chunks_skipped > 0 THEN '; cut short or failed: ' || chunks_skipped ELSE '' END AS text
   FROM counted c LEFT JOIN (
     SELECT review_id, sum(n) AS n, string_agg(section, {_NL} ORDER BY list_position(['critical', 'warning', 'suggestion', 'info'], severity)) AS s FROM sections GROUP BY review_id
   ) x ON x.review_id = c.review_id

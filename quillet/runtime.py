@@ -40,6 +40,8 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if app not in _own_root:
             _own_root[app] = "file://" + tempfile.mkdtemp(prefix="quillet-")
         shared = _own_root[app]
