@@ -170,8 +170,8 @@ def test_state_codec(spark):
     reviews = spark.createDataFrame([(1, 7, "abc123", 2, 1), (2, 8, "def", 0, 0)], "review_id long, pr_number long, commit_sha string, chunks_reviewed long, chunks_skipped long")
     found = spark.createDataFrame([row(message="a --> b é " + "x" * 200, fix="f", severity="info"), row(message="worse", severity="critical", ord_=1)], ROW)
     bodies = {r.review_id: r.body for r in summary.build_bodies(reviews, found).collect()}
-    assert bodies[1].index("### Critical (1)") < bodies[1].index("### Info (1)") and "_2 finding(s) across 2 reviewed chunk(s), 1 skipped._" in bodies[1]
-    assert "No issues found." in bodies[2]
+    assert bodies[1].index("### Critical (1)") < bodies[1].index("### Info (1)") and "Findings: 2; regions looked at: 2; cut short or failed: 1" in bodies[1]
+    assert "Nothing to report on this change." in bodies[2]
     cases = [(1, bodies[1]), (2, bodies[2]), (3, bodies[1].replace("findings:", "findings:=")), (4, "plain"), (5, "<!-- quillet:findings:aGVsbG8 -->"), (6, "<!-- quillet:findings://///w== -->")]
     back = {r.review_id: r.findings for r in summary.prior_findings(spark.createDataFrame(cases, "review_id long, body string")).collect()}
     assert [f.message for f in back[1]] == ["a --> b é " + "x" * 200, "worse"] and back[1][0].suggested_fix == "f" and back[1][1].suggested_fix is None
@@ -261,7 +261,7 @@ def test_two_runs(spark, checkout, tmp_path, capsys):
     assert main(["pr", "--repo-root", str(root), "--number", "5", "--base", base, "--head", head, "--comments", out, "--out", again, "--min-severity", "info"], spark) == 0
     assert "Reviewed 0 chunk(s)" in capsys.readouterr().out
     bodies = [r.body for r in spark.read.parquet(again).collect()]
-    assert len(bodies) == 1 and "_1 finding(s) across 0 reviewed chunk(s)._" in bodies[0]  # carried over, in the one comment
+    assert len(bodies) == 1 and "Findings: 1; regions looked at: 0" in bodies[0]  # carried over, in the one comment
 
 
 def test_local_results(spark, tmp_path, capsys):

@@ -31,4 +31,4 @@ def test_each_batch_is_a_run(spark, tmp_path):
     run()
     assert seen == [[("aa2", 1)], [("aa3", 0)]]
     (body,) = [r.body for r in state["comments"].collect()]
-    assert "aa3" in body and "_1 finding(s) across 0 reviewed chunk(s)._" in body
+    assert "aa3" in body and "Findings: 1; regions looked at: 0" in body
