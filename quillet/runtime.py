@@ -24,6 +24,7 @@ def build_session(app: str = "quillet", cores: int | str = "*", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
     for k, v in conf.items():
