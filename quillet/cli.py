@@ -8,33 +8,22 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillet.functions.findings import SEVERITIES, at_least
+from quillet.functions.findings import SEVERITIES
 from quillet.functions.text import split_lines
 from quillet.operators.blocks import BlockSyntax
+from quillet.operators.report import run_reports, stored_reports
 from quillet.operators.review import dry_run, dry_run_source, flatten
-from quillet.operators.summary import ORDER, apply_upserts
+from quillet.operators.summary import apply_upserts
 from quillet.plans.review import needed_files, review_changes
 from quillet.runtime import build_session, materialize
-from quillet.sources.files import COMMENTS, read_results, result_findings
+from quillet.sources.files import COMMENTS, read_results
 from quillet.sources.git import GitDiffSource, read_committed
 
 
 def local(spark: SparkSession, path: str, min_severity: str = "suggestion") -> tuple[int, list[str]]:
     """Exit code and lines for a stored result."""
-    result = read_results(spark, path)
-    if not result.filter("is_valid").head(1):
-        return 1, ["The result breaks the schema."]
-    found = result_findings(result)
-    total = found.count()
-    shown = found.filter(at_least(F.col("severity"), min_severity)).orderBy(*ORDER).collect()  # one stored result
-    if not shown:
-        return 0, [f"Nothing of severity {min_severity} or more."]
-    out = []
-    for f in shown:
-        out += [f"[{f.severity.upper()}] {f.file}:{f.line_start}", f"  {f.message}"]
-        out += [f"  suggested fix: {f.suggested_fix}"] if f.suggested_fix else []
-        out += [f"  confidence: {f.confidence:.2f}", ""]
-    return 0, [*out, f"Listed {len(shown)} of {total}."]
+    reports = stored_reports(read_results(spark, path), min_severity).collect()  # one stored result
+    return max(r.code for r in reports), [line for r in reports for line in r.text.split("\n")]
 
 
 def try_file(spark: SparkSession, path: str) -> tuple[int, list[str]]:
@@ -60,9 +49,7 @@ def change(spark: SparkSession, args: argparse.Namespace) -> tuple[int, list[str
     made = review_changes(reviews, comments, diffs, files, provider=BlockSyntax(), min_severity=args.min_severity)
     if args.out and not args.no_post:
         apply_upserts(comments, made.plan.select("review_id", "action", "ord", "body")).write.parquet(args.out)
-    r = made.results.first()
-    rows = made.findings.orderBy(*ORDER).collect()  # one change
-    return 0, [f"Reviewed {r.chunks_reviewed} chunk(s) of {r.commit_sha[:8]}, {r.chunks_skipped} skipped.", *[f"[{f.severity}] {f.file}:{f.line_start} {f.message}" for f in rows]]
+    return 0, run_reports(made.results, made.findings).first().text.split("\n")  # one change
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillet.operators.report import BROKEN
 from quillet.operators.review import DRY_RUN_MESSAGE, PARTIAL_NOTE, REVIEW_REQUEST, VERIFY_REQUEST
 from quillet.operators.summary import HEADING, MARKER, NOTHING
 from quillet.plans.code_fixtures import SYNTAX_NODES, with_syntax_sql
@@ -126,3 +127,32 @@ ORACLE_SQL |= {"syntax_nodes": SYNTAX_NODES, "review_with_syntax": with_syntax_s
 ORACLE_SQL["lines_by_block"] = sql("""SELECT a.review_id, a.path, low, high, string_agg(line, chr(10) ORDER BY line_no) AS context
 FROM (SELECT DISTINCT review_id, path, greatest(1, line_no - 9) AS low, least(n_lines, line_no + 9) AS high FROM c) a
 JOIN l ON l.review_id = a.review_id AND l.path = a.path AND l.line_no BETWEEN low AND high GROUP BY a.review_id, a.path, low, high""")
+
+ORACLE_SQL["review_from_ledger"] = sql("SELECT review_id, chunk_id, start_line % 5 = 0 AS is_failed, CASE WHEN start_line % 5 = 0 THEN 0 ELSE start_line % 2 + 1 END AS n_findings FROM chunks")
+ORACLE_SQL["posted_comments"] = _with(
+    _COUNTED + _SECTIONS + _RENDERED,
+    """SELECT review_id, CAST(1 AS BIGINT) AS ord, 'plain' AS body FROM reviews
+UNION ALL SELECT review_id, CAST(2 AS BIGINT), text FROM rendered""",
+)
+_STORED = f"""
+, sf AS (SELECT *, CAST((conv_id * 37 + turn * 11) % 1001 AS DOUBLE) / CAST(1000 AS DOUBLE) AS conf FROM f WHERE review_id % 7 <> 5),
+sr AS (
+  SELECT review_id, count(*) AS n, count(*) FILTER (sev >= 3) AS shown,
+    string_agg('[' || upper(severity) || '] ' || file || ':' || line_start || {_NL} || '  ' || message || {_NL} || CASE WHEN coalesce(suggested_fix, '') <> '' THEN '  suggested fix: ' || suggested_fix || {_NL} ELSE '' END
+      || '  confidence: ' || format('{{:.2f}}', conf) || {_NL}, {_NL} ORDER BY conv_id, turn) FILTER (sev >= 3) AS listed
+  FROM sf GROUP BY review_id
+),
+st AS (SELECT r.review_id, CASE WHEN r.review_id % 7 <> 3 THEN pr_number END AS pr_number, commit_sha, coalesce(n, 0) AS n, coalesce(shown, 0) AS shown, listed FROM reviews r LEFT JOIN sr ON sr.review_id = r.review_id)"""
+ORACLE_SQL["stored_results"] = _with(_STORED, "SELECT review_id, pr_number, commit_sha, CAST(0 AS BIGINT) AS chunks_reviewed, CAST(0 AS BIGINT) AS chunks_skipped, n, pr_number IS NOT NULL AS is_valid FROM st")
+ORACLE_SQL["stored_reports"] = _with(
+    _STORED,
+    f"""SELECT review_id, CAST(CASE WHEN pr_number IS NULL THEN 1 ELSE 0 END AS BIGINT) AS code, CASE WHEN pr_number IS NULL THEN {_q(BROKEN)} WHEN shown = 0 THEN 'Nothing of severity warning or more.'
+  ELSE listed || {_NL} || 'Listed ' || shown || ' of ' || n || '.' END AS text FROM st""",
+)
+ORACLE_SQL["run_reports"] = _with(
+    _COUNTED,
+    f"""SELECT c.review_id, 'Reviewed ' || chunks_reviewed || ' chunk(s) of ' || substr(commit_sha, 1, 8) || ', ' || chunks_skipped || ' skipped.' || coalesce({_NL} || x.t, '') AS text FROM counted c
+LEFT JOIN (SELECT review_id, string_agg('[' || upper(severity) || '] ' || file || ':' || line_start || ' ' || message, {_NL} ORDER BY origin, conv_id, turn) AS t FROM all_found GROUP BY review_id) x ON x.review_id = c.review_id""",
+)
+ORACLE_SQL["dry_run_files"] = sql(f"""SELECT review_id, path AS file, 'dry-run-0' AS chunk_id, CAST(1 AS BIGINT) AS line_start, {_q(DRY_RUN_MESSAGE)} AS message, max(CASE WHEN line_no = 1 THEN line END) AS code_snippet, max(n_lines) AS end_line,
+  CAST(sum(length(line) + 1) - 1 AS BIGINT) AS n_chars FROM l GROUP BY review_id, path""")

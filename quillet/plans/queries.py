@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillet.functions.findings import FIELDS, at_least, decode_findings, violations
+from quillet.functions.findings import FIELDS, FINDING, at_least, decode_findings, violations
 from quillet.functions.text import split_lines, token_estimate
-from quillet.operators import blocks, boundaries, carry, chunk, diff, ground, review, summary
+from quillet.operators import blocks, boundaries, carry, chunk, diff, ground, ledger, report, review, summary
 from quillet.plans import code_fixtures as code
 from quillet.plans import fixtures as fx
 from quillet.plans.review import review_changes
-from quillet.runtime import materialize
+from quillet.runtime import materialize, scratch_path
+from quillet.sources import comments
+from quillet.sources.files import read_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 _KEYS = ["review_id", "conv_id", "turn"]
@@ -285,6 +288,65 @@ def _no_wait(seconds: float) -> None:
     """The scripted transport needs no delay between attempts."""
 
 
+class _Closed:
+    """A transport that answers nothing."""
+
+    def complete(self, *_: object) -> str:
+        raise review.RateLimited
+
+
+def review_from_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live review again, from the replies that a first run left: half of them folded into a table, half in files."""
+    kept, chunks = ledger.Ledger(scratch_path(spark, "ledger"), "scripted"), _for_review(spark, sf_dir)
+    for half in (0, 1):
+        materialize(review.live_review(chunks.filter(F.col("chunk_ord") % 2 == half), fx.ScriptedTransport, sleep=_no_wait, ledger=kept), "first-run")
+        if half == 0:
+            kept.compact(spark)
+    again = review.live_review(chunks, _Closed, sleep=_no_wait, ledger=kept)
+    return again.select("review_id", "chunk_id", "is_failed", F.size("findings").cast("long").alias("n_findings"))
+
+
+def posted_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments of a folder after two writes of the same summaries."""
+    path = scratch_path(spark, "comments")
+    summaries = materialize(summary.render(_counted(spark, sf_dir), _all_found(spark, sf_dir)).withColumnRenamed("text", "body"), "summaries")
+    for rows in (_comments(spark, sf_dir).filter("ord < 3"), summaries, summaries):
+        comments.write_comments(rows, "quillet.sources.comments:FolderComments", path=path)
+    return comments.read_folder(spark, path)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each review's findings as a stored result, one file each; some lack their number, some have no findings."""
+    path = scratch_path(spark, "results")
+    found = fx.findings(spark, sf_dir).withColumn("confidence", ((F.col("chunk_ord") * 37 + F.col("finding_ord") * 11) % 1001).cast("double") / F.lit(1000.0))
+    rows = fx.reviews(spark, sf_dir).join(summary.finding_arrays(found.filter("review_id % 7 <> 5")), "review_id", "left")
+    number = F.when(F.col("review_id") % 7 != 3, F.col("pr_number"))
+    text = F.to_json(F.struct(number.alias("pr_number"), "commit_sha", F.coalesce("findings", F.array().cast(T.ArrayType(FINDING))).alias("findings")))
+    rows.select(F.col("review_id").alias("of"), text.alias("value")).repartition("of").write.partitionBy("of").text(path)
+    return read_results(spark, path).withColumn("review_id", F.regexp_extract("path", r"/of=(\d+)/", 1).cast("long"))
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).select("review_id", "pr_number", "commit_sha", "chunks_reviewed", "chunks_skipped", F.size("findings").cast("long").alias("n"), "is_valid")
+
+
+def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = _stored(spark, sf_dir)
+    return report.stored_reports(results, "warning").join(results.select("path", "review_id"), "path").drop("path")
+
+
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.run_reports(_counted(spark, sf_dir), _all_found(spark, sf_dir))
+
+
+def dry_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files through the dry run."""
+    source = materialize(review.dry_run_source(fx.files(spark, sf_dir)), "sources")
+    made = review.dry_run(source).select("review_id", "chunk_id", F.explode("findings").alias("f"))
+    found = made.select("review_id", "chunk_id", F.col("f.file").alias("file"), F.col("f.line_start").alias("line_start"), F.col("f.message").alias("message"), F.col("f.code_snippet").alias("code_snippet"))
+    return found.join(source.select("review_id", "file", "end_line", F.length("content").cast("long").alias("n_chars")), ["review_id", "file"])
+
+
 def lax_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as JSON arrays of two, with values that are read leniently and values that aren't."""
     found = fx.findings(spark, sf_dir)
@@ -332,6 +394,12 @@ QUERIES: dict[str, Query] = {
     "upsert_plan": upsert_plan,
     "review_end_to_end": review_end_to_end,
     "live_review": live_review,
+    "review_from_ledger": review_from_ledger,
+    "posted_comments": posted_comments,
+    "stored_results": stored_results,
+    "stored_reports": stored_reports,
+    "run_reports": run_reports,
+    "dry_run_files": dry_run_files,
     "lax_decode": lax_decode,
     "python_boundaries": python_boundaries,
     "syntax_nodes": syntax_nodes,

@@ -49,10 +49,15 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/quillet-{app}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the scratch folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the scratch folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
