@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillet.functions.text import is_blank, split_lines
+from quillet.runtime import materialize
 
 # Header formats of unified diffs.
 FILE_HEADER = r"^\+\+\+ (.+)$"
@@ -78,13 +79,15 @@ def changed_lines_in_slices(lines: DataFrame, slice_no: Column | None = None) ->
     """
     of = ["review_id", "_slice"]
     at = F.floor(F.col("ord") / SLICE_LINES) if slice_no is None else slice_no
-    header, hunk = F.regexp_extract("line", FILE_HEADER, 1), F.regexp_extract("line", HUNK_HEADER, 1)
-    kinds = lines.select("review_id", "ord", "line", at.cast("long").alias("_slice")).withColumns({"_file": F.when(header != "", header), "_start": F.when((header == "") & (hunk != ""), hunk.cast("long"))})
+    text, first = F.col("line"), F.substring("line", 1, 1)
+    header = F.when(text.startswith("+++ "), F.regexp_extract("line", FILE_HEADER, 1)).otherwise("")  # most lines spare the patterns
+    hunk = F.when(text.startswith("@@ -"), F.regexp_extract("line", HUNK_HEADER, 1)).otherwise("")
+    kinds = lines.select("review_id", "ord", at.cast("long").alias("_slice"), F.nullif(header, F.lit("")).alias("_file"), F.nullif(hunk, F.lit("")).cast("long").alias("_start"), (first == "+").alias("_plus"), ~text.startswith("+++") & ~text.startswith("---") & (first.isin("+", " ") | (text == "")))
+    kinds = materialize(kinds.toDF(*kinds.columns[:-1], "_body"), "diff-kinds")  # texts end here: what is sorted and chained are signs and numbers
     within = Window.partitionBy(*of).orderBy("ord")
     counted = kinds.withColumns({"_files": F.count("_file").over(within), "_hunks": F.count("_start").over(within)})
-    first, text = F.col("_line1"), F.col("line")
-    counted = counted.withColumns({"_own": new_path(F.max("_file").over(Window.partitionBy(*of, "_files"))), "_base": F.max("_start").over(Window.partitionBy(*of, "_hunks")), "_line1": F.substring("line", 1, 1)})
-    moves = F.col("_file").isNull() & F.col("_start").isNull() & ~text.startswith("+++") & ~text.startswith("---") & (first.isin("+", " ") | (text == ""))
+    counted = counted.withColumns({"_own": new_path(F.max("_file").over(Window.partitionBy(*of, "_files"))), "_base": F.max("_start").over(Window.partitionBy(*of, "_hunks"))})
+    moves = F.col("_file").isNull() & F.col("_start").isNull() & F.col("_body")
     known, open_ = (moves & (F.col("_files") > 0) & F.col("_own").isNotNull()).cast("long"), (moves & (F.col("_files") == 0)).cast("long")
     stepped = counted.withColumns({"_known": known, "_open": open_})
     before = Window.partitionBy(*of, "_hunks").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +95,7 @@ def changed_lines_in_slices(lines: DataFrame, slice_no: Column | None = None) ->
 
     entered = _entered_states(stepped)
     joined = stepped.join(entered, of)
-    added = joined.filter((first == "+") & ((F.col("_known") == 1) | ((F.col("_open") == 1) & F.col("_in_path").isNotNull())))
+    added = joined.filter(F.col("_plus") & ((F.col("_known") == 1) | ((F.col("_open") == 1) & F.col("_in_path").isNotNull())))
     number = F.coalesce("_base", "_in_counter") + F.col("_known_before") + F.when(F.col("_in_path").isNotNull(), F.col("_open_before")).otherwise(0)
     path = F.when(F.col("_files") > 0, F.col("_own")).otherwise(F.col("_in_path"))
     return added.select("review_id", (F.col("_in_files") + F.col("_files")).cast("long").alias("file_seq"), path.alias("path"), number.alias("line_no")).distinct()

@@ -65,7 +65,7 @@ def review_changes(
     due = state.join(diffs, ["review_id", "from_sha"], "left").withColumn("changed", has_changes(F.col("diff_text")))
     due = materialize(due, "due")
 
-    changed = changed_lines_in_slices(diff_lines(due.filter("changed")))
+    changed = materialize(changed_lines_in_slices(diff_lines(due.filter("changed"))), "changed")  # each diff is scanned once
     chunks = materialize(chunk_changes(changed, files, provider, token_budget), "chunks")
     results = materialize(reviewer(chunks.withColumnRenamed("path", "file")), "chunk-results")
     grounded = materialize(ground(flatten(results), files, verifier), "grounded")
