@@ -17,6 +17,7 @@ its brace.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,19 +78,32 @@ def _constant(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+_MARK = "\x00"
+
+
+def _cut(parts: tuple[str, ...]) -> str:
+    """A pattern of what is plain before a comment or string, and of that or the text's end; plain text is passed word by word."""
+    opaque = "|".join(parts)
+    ahead = opaque
+    for name in set(re.findall(r"\?<(\w)>", opaque)):
+        ahead = ahead.replace(f"?<{name}>", f"?<{name}{name}>").replace(f"\\k<{name}>", f"\\k<{name}{name}>")
+    return rf"(?<plain>(?:(?!{ahead})(?:\w++|[^\S\n]++|[\s\S]))*+)(?<opaque>{opaque}|\z)"
+
+
 def masked(text: Column, lang: Column) -> Column:
     """A text of the same length and lines whose comments are blanks and whose strings are \\x02 and \\x01 signs."""
-    patterns = _constant({k: "|".join([*parts, r"\w++", r"[^\S\n]++", r"[\s\S]"]) for k, parts in OPAQUE.items()}, "map<string,string>")
-    tokens = F.regexp_extract_all(text, F.try_element_at(patterns, lang), F.lit(0))
+    patterns = _constant({k: _cut(parts) for k, parts in OPAQUE.items()}, "map<string,string>")
+    marked = F.call_function("regexp_replace", F.replace(text, F.lit(_MARK), F.lit("\x03")), F.try_element_at(patterns, lang), F.lit(f"${{plain}}{_MARK}${{opaque}}{_MARK}"))
+    tokens = F.split(marked, _MARK, -1)  # plain and opaque in turn
 
     def filled(t: Column, sign: str) -> Column:
         lines = F.transform(F.split(t, "\n", -1), lambda x: F.repeat(F.lit(sign), F.length(x)))
         return F.when(F.contains(t, F.lit("\n")), F.array_join(lines, "\n")).otherwise(F.repeat(F.lit(sign), F.length(t)))
 
-    def mask(t: Column) -> Column:
+    def mask(t: Column, i: Column) -> Column:
         comment = t.rlike(r"^(?://|/\*|[ \t]*#[\s\S]|=begin)")
         string = F.concat(F.lit(_STRING), filled(F.substring(t, 2, 2**31 - 1), _WITHIN))
-        return F.when((F.length(t) < 2) | t.rlike(r"^(?:\w+|[^\S\n]+)$"), t).when(comment, filled(t, " ")).otherwise(string)
+        return F.when((i % 2 == 0) | (F.length(t) < 2), t).when(comment, filled(t, " ")).otherwise(string)
 
     return F.array_join(F.transform(tokens, mask), "")
 
@@ -144,101 +158,113 @@ _PYTHON_HEAD = r"^[ \t]*((?:async[ \t]+)?def|class)\b"
 
 def _with_node(rows: DataFrame, code: Column) -> DataFrame:
     """Add ``node_type`` and ``_decl``, the text from a node's beginning to its brace; null where ``code`` heads no node."""
-    tables = _constant({k: [{"kind": kind, "pattern": p} for kind, p in table] for k, table in HEADERS.items()}, "map<string,array<struct<kind:string,pattern:string>>>")
-    tried = F.transform(F.try_element_at(tables, F.col("lang")), lambda h: F.struct(h["kind"].alias("node_type"), F.call_function("regexp_extract", code, h["pattern"], F.lit(1)).alias("_decl")))
-    return rows.select("*", F.inline_outer(F.slice(F.filter(tried, lambda t: t["_decl"] != ""), 1, 1)))  # the first that matches, tried once
+    found = None
+    for k, table in HEADERS.items():  # each pattern is a literal, so it is compiled once
+        tried = F.array(*[F.struct(F.lit(kind).alias("node_type"), F.regexp_extract(code, p, 1).alias("_decl")) for kind, p in table])
+        found = F.when(F.col("lang") == k, tried) if found is None else found.when(F.col("lang") == k, tried)
+    first = F.get(F.filter(F.when(code != "", found), lambda t: t["_decl"] != ""), F.lit(0))
+    return rows.withColumn("_head", first).select("*", F.col("_head.node_type").alias("node_type"), F.col("_head._decl").alias("_decl")).drop("_head")
 
 
 # --- blocks ------------------------------------------------------------------------------------------------------------------------
 
 
 def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, "\n", ""))
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _pieces(files: DataFrame, pattern: str) -> DataFrame:
-    """A row per match of a pattern that covers a masked text, with its place: ``_at, _line, _col`` of its first sign, ``_line`` from 1 and ``_col`` from 0."""
-    rows = files.select(*_FILE, "lang", F.posexplode(F.regexp_extract_all("code", F.lit(pattern), F.lit(0))).alias("i", "piece"))
-    order = Window.partitionBy(*_FILE).orderBy("i")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_nl", _newlines(F.col("piece"))).withColumn("_at", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-    tail = F.col("_at") + F.length("piece") - F.length(F.substring_index("piece", "\n", -1))
-    start = F.coalesce(F.max(F.when(F.col("_nl") > 0, tail)).over(before), F.lit(0))
-    return rows.withColumns({"_line": F.coalesce(F.sum("_nl").over(before), F.lit(0)) + 1, "_col": F.col("_at") - start})
+_ENDS = ["n_lines", "last_col"]  # of a file, where a block ends that nothing closes
+
+
+def _last_line(text: Column) -> Column:
+    return F.length(F.substring_index(text, "\n", -1))
 
 
 def _brace_events(files: DataFrame) -> DataFrame:
-    """Opening and closing braces in order, ``step`` 1 or -1, and the node that a brace or, for a structure without one, a semicolon ends the header of."""
-    rows = _pieces(files, "[^{};]*+[{};]|[^{};]++")
-    sign = F.expr("right(piece, 1)")
-    rows = rows.withColumns({"sign": sign, "_code": F.expr("substring(piece, 1, length(piece) - 1)")})
-    rows = rows.filter(F.col("sign").isin("{", "}") | ((F.col("sign") == ";") & (F.col("lang") == "rust") & F.col("_code").rlike(r"\bstruct\b")))
-    rows = _with_node(rows, F.when(F.col("sign") != "}", F.expr(f"right(_code, {HEADER})")).otherwise(""))
-    lead_in = F.expr("substring(_code, 1, length(_code) - length(_decl))")
-    in_line = F.when(_newlines(lead_in) > 0, F.length(F.substring_index(lead_in, "\n", -1))).otherwise(F.col("_col") + F.length(lead_in))
-    end_col = F.when(_newlines(F.col("piece")) > 0, F.length(F.substring_index("piece", "\n", -1))).otherwise(F.col("_col") + F.length("piece"))
+    """Opening and closing braces in order, ``step`` 1 or -1, and the node that a brace or, for a structure without one, a semicolon ends the header of.
+
+    Of each piece of a text only lengths and counts of lines are sorted; its place follows from those before it.
+    """
+    rows = files.select(*_FILE, *_ENDS, "lang", F.posexplode(F.regexp_extract_all("code", F.lit("[^{};]*+[{};]|[^{};]++"), F.lit(0))).alias("i", "piece"))
+    rows = rows.withColumns({"sign": F.expr("right(piece, 1)"), "_code": F.expr("substring(piece, 1, length(piece) - 1)")})
+    ends_header = (F.col("sign") == ";") & (F.col("lang") == "rust") & F.col("_code").rlike(r"\bstruct\b")
+    rows = rows.withColumn("step", F.when(F.col("sign") == "{", 1).when(F.col("sign") == "}", -1).when(ends_header, 0))
+    rows = _with_node(rows, F.when(F.col("step") >= 0, F.expr(f"right(_code, {HEADER})")).otherwise(""))
+    rows = rows.withColumn("_lead", F.expr("substring(_code, 1, length(_code) - length(_decl))"))
+    rows = rows.select(
+        *_FILE, *_ENDS, "i", "step", "node_type", F.length("piece").alias("_len"), _newlines(F.col("piece")).alias("_nl"), _last_line(F.col("piece")).alias("_tail"),
+        _newlines(F.col("_lead")).alias("_lead_nl"), _last_line(F.col("_lead")).alias("_lead_tail"),
+    )
+    order = Window.partitionBy(*_FILE).orderBy("i")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_at", F.coalesce(F.sum("_len").over(before), F.lit(0)))
+    start = F.coalesce(F.max(F.when(F.col("_nl") > 0, F.col("_at") + F.col("_len") - F.col("_tail"))).over(before), F.lit(0))
+    rows = rows.withColumns({"_line": F.coalesce(F.sum("_nl").over(before), F.lit(0)) + 1, "_col": F.col("_at") - start}).filter("step IS NOT NULL")
+    in_line = F.when(F.col("_lead_nl") > 0, F.col("_lead_tail")).otherwise(F.col("_col") + F.col("_lead_tail"))
+    end_col = F.when(F.col("_nl") > 0, F.col("_tail")).otherwise(F.col("_col") + F.col("_len"))
     return rows.select(
-        *_FILE, "i", F.when(F.col("sign") == "{", 1).when(F.col("sign") == "}", -1).otherwise(0).alias("step"), "node_type",
-        (F.col("_line") + _newlines(lead_in)).alias("start_line"), in_line.alias("start_col"), (F.col("_line") + F.col("_nl")).alias("end_line"), end_col.alias("end_col"),
+        *_FILE, *_ENDS, "i", "step", "node_type", (F.col("_line") + F.col("_lead_nl")).alias("start_line"), in_line.alias("start_col"), (F.col("_line") + F.col("_nl")).alias("end_line"), end_col.alias("end_col"),
     )
 
 
 def _ruby_events(files: DataFrame) -> DataFrame:
     """The same of lines that open a block and of ``end`` lines."""
-    rows = _pieces(files, r"[^\n]*+\n|[^\n]++").withColumn("_code", F.regexp_replace("piece", "\n", ""))
+    rows = files.select(*_FILE, *_ENDS, "lang", F.posexplode(F.split("code", "\n", -1)).alias("i", "_code"))
     opens, closes = F.col("_code").rlike(_RUBY_OPENS) & ~F.col("_code").rlike(_RUBY_ONE_LINE), F.col("_code").rlike(r"^[ \t]*end\b(?![:?!])")
     rows = _with_node(rows.filter(opens | closes).withColumn("_closes", closes), F.when(closes, "").otherwise(F.col("_code")))
-    start = F.length("_code") - F.length("_decl")
-    end = F.length(F.regexp_extract("_code", r"^([ \t]*end)\b", 1))
-    return rows.select(*_FILE, "i", F.when(F.col("_closes"), -1).otherwise(1).alias("step"), "node_type", F.col("_line").alias("start_line"), start.alias("start_col"), F.col("_line").alias("end_line"), end.alias("end_col"))
+    line, start = (F.col("i") + 1).cast("long"), (F.length("_code") - F.length("_decl")).cast("long")
+    end = F.length(F.regexp_extract("_code", r"^([ \t]*end)\b", 1)).cast("long")
+    return rows.select(*_FILE, *_ENDS, "i", F.when(F.col("_closes"), -1).otherwise(1).alias("step"), "node_type", line.alias("start_line"), start.alias("start_col"), line.alias("end_line"), end.alias("end_col"))
 
 
-def _paired(events: DataFrame, files: DataFrame) -> DataFrame:
+def _paired(events: DataFrame) -> DataFrame:
     """Blocks of events: ``id`` and ``close`` are the event that opens a block and the one that closes it."""
     order = Window.partitionBy(*_FILE).orderBy("i")
-    level = F.sum("step").over(order) + F.when(F.col("step") == -1, 1).otherwise(0)
+    level = F.when(F.col("step") != 0, F.sum("step").over(order) + F.when(F.col("step") == -1, 1).otherwise(0))
     level_order = Window.partitionBy(*_FILE, "_level").orderBy("i")
-    alone = events.filter("step = 0").select(*_FILE, F.col("i").alias("id"), F.col("i").alias("close"), "node_type", "start_line", "start_col", "end_line", "end_col")
-    leveled = events.filter("step <> 0").withColumn("_level", level).withColumn("_next", F.lead(F.struct("step", "i", "end_line", "end_col")).over(level_order))
-    closed = F.when(F.col("_next.step") == -1, F.col("_next"))
-    opened = leveled.filter("step = 1").select(*_FILE, F.col("i").alias("id"), closed["i"].alias("close"), "node_type", "start_line", "start_col", closed["end_line"].alias("end_line"), closed["end_col"].alias("end_col"))
-    return opened.unionByName(alone).join(files, _FILE).select(
-        *_FILE, "id", F.coalesce("close", F.lit(2**31 - 1)).alias("close"), "node_type", "start_line", "start_col", F.coalesce("end_line", "n_lines").alias("end_line"), F.coalesce("end_col", "last_col").alias("end_col")
+    own = F.struct("step", "i", "end_line", "end_col")
+    leveled = events.withColumn("_level", level).withColumn("_next", F.lead(own).over(level_order)).filter("step >= 0")
+    closed = F.when(F.col("step") == 0, own).when(F.col("_next.step") == -1, F.col("_next"))
+    return leveled.select(
+        *_FILE, F.col("i").alias("id"), F.coalesce(closed["i"], F.lit(2**31 - 1)).alias("close"), "node_type", "start_line", "start_col", F.coalesce(closed["end_line"], "n_lines").alias("end_line"), F.coalesce(closed["end_col"], "last_col").alias("end_col")
     )
 
 
 def _indented(files: DataFrame) -> DataFrame:
     """Blocks of Python: from a header to the last line with code before the next statement that is indented as little."""
     rows = files.select(*_FILE, F.posexplode(F.split("code", "\n", -1)).alias("i", "line"))
-    order = Window.partitionBy(*_FILE).orderBy("i")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    bracket = F.length(F.regexp_replace("line", r"[^(\[{]", "")) - F.length(F.regexp_replace("line", r"[^)\]}]", ""))
-    code = F.trim(F.translate("line", "\t\x0c", "")) != ""
-    rows = rows.withColumns({"_code": code, "_depth": F.coalesce(F.sum(bracket).over(before), F.lit(0))})
-    rows = rows.withColumn("_last", F.max(F.when(F.col("_code"), F.struct("i", F.length("line").alias("n")))).over(before))
-    indent = F.length(F.regexp_extract("line", r"^([ \t]*)", 1))
+    without = lambda signs: sum((F.length(F.replace("line", F.lit(x), F.lit(""))) for x in signs), F.lit(0))
+    bracket = without(")]}") - without("([{")
+    code = F.col("line").rlike(r"[^ \t\x0c]")
     head = F.regexp_extract("line", _PYTHON_HEAD, 1)
-    statements = rows.filter(F.col("_code") & ~F.col("line").startswith(_WITHIN) & (F.col("_depth") <= 0)).select(*_FILE, "i", "_last", indent.alias("indent"), F.when(head == "class", "class_definition").when(head != "", "function_definition").alias("node_type"))
+    kind = F.when(head == "class", "class_definition").when(head != "", "function_definition")
+    rows = rows.select(*_FILE, "i", bracket.alias("_bracket"), code.alias("_code"), F.when(code, F.struct("i", F.length("line").alias("n"))).alias("_end_of"), F.length(F.regexp_extract("line", r"^([ \t]*)", 1)).alias("indent"), (code & ~F.col("line").startswith(_WITHIN)).alias("_begins"), kind.alias("node_type"))
+    file = Window.partitionBy(*_FILE)
+    before = file.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_depth": F.coalesce(F.sum("_bracket").over(before), F.lit(0)), "_last": F.max("_end_of").over(before), "_final": F.max("_end_of").over(file)})
+    statements = rows.filter(F.col("_begins") & (F.col("_depth") <= 0)).select(*_FILE, "i", "_last", "_final", "indent", "node_type")
     levels = F.collect_set(F.when(F.col("node_type").isNotNull(), F.col("indent"))).over(Window.partitionBy(*_FILE))
     each = statements.withColumn("_levels", levels).withColumn("_level", F.explode(F.filter("_levels", lambda k: k >= F.col("indent")))).drop("_levels")
     after = F.lead("_last").over(Window.partitionBy(*_FILE, "_level").orderBy("i"))
     blocks = each.withColumn("_end", after).filter(F.col("node_type").isNotNull() & (F.col("_level") == F.col("indent")))
-    final = rows.groupBy(*_FILE).agg(F.max(F.when(F.col("_code"), F.struct("i", F.length("line").alias("n")))).alias("_final"))
     end = F.coalesce("_end", "_final")
-    return blocks.join(final, _FILE).select(
-        *_FILE, (F.col("i") * 2).alias("id"), (end["i"] * 2 + 1).alias("close"), "node_type", (F.col("i") + 1).alias("start_line"), F.col("indent").alias("start_col"), (end["i"] + 1).alias("end_line"), end["n"].alias("end_col")
+    return blocks.select(
+        *_FILE, (F.col("i") * 2).alias("id"), (end["i"] * 2 + 1).alias("close"), "node_type", (F.col("i") + 1).cast("long").alias("start_line"), F.col("indent").cast("long").alias("start_col"), (end["i"] + 1).cast("long").alias("end_line"), end["n"].cast("long").alias("end_col")
     )
 
 
 def _with_parents(blocks: DataFrame) -> DataFrame:
     """Add ``parent``, the ``id`` of the block around each: the last one that began a level further out."""
-    ends = F.array(F.struct(F.col("id").alias("at"), F.lit(1).alias("step")), F.struct(F.col("close").alias("at"), F.lit(-1).alias("step")))
+    rest = F.struct("node_type", "start_line", "start_col", "end_line", "end_col")
+    none = F.lit(None).cast("int")
+    ends = F.array(F.struct(F.col("id").alias("at"), F.lit(1).alias("step"), rest.alias("_rest")), F.struct(F.col("close").alias("at"), F.lit(-1).alias("step"), F.lit(None).alias("_rest")))
     events = blocks.select(*_FILE, "id", F.explode(ends).alias("e")).select(*_FILE, "id", "e.*")
     depth = events.withColumn("_level", F.sum("step").over(Window.partitionBy(*_FILE).orderBy("at", F.desc("step"), "id"))).filter("step = 1")
-    asked = F.array(F.struct(F.col("_level").alias("level"), F.col("id").alias("own"), F.lit(None).cast("int").alias("child")), F.struct((F.col("_level") - 1).alias("level"), F.lit(None).cast("int").alias("own"), F.col("id").alias("child")))
-    rows = depth.select(*_FILE, "id", F.explode(asked).alias("q")).select(*_FILE, F.col("id").alias("_at"), "q.*")
+    own = F.struct(F.col("_level").alias("level"), F.col("id").alias("own"), none.alias("child"), F.lit(None).alias("_rest"))
+    asked = F.struct((F.col("_level") - 1).alias("level"), none.alias("own"), F.col("id").alias("child"), "_rest")
+    rows = depth.select(*_FILE, F.col("id").alias("_at"), F.explode(F.array(own, asked)).alias("q")).select(*_FILE, "_at", "q.*")
     parent = rows.withColumn("parent", F.last("own", ignorenulls=True).over(Window.partitionBy(*_FILE, "level").orderBy("_at"))).filter("child IS NOT NULL")
-    return blocks.join(parent.select(*_FILE, F.col("child").alias("id"), "parent"), [*_FILE, "id"], "left")
+    return parent.select(*_FILE, F.col("child").alias("id"), "parent", "_rest.*")
 
 
 class BlockSyntax:
@@ -251,9 +277,8 @@ class BlockSyntax:
         text = F.array_join("lines", "\n")
         code = files.filter(lang.isin(*self.languages)).select(*_FILE, lang.alias("lang"), masked(text, lang).alias("code"), F.greatest(F.size("lines"), F.lit(1)).alias("n_lines"), F.coalesce(F.length(F.try_element_at("lines", F.lit(-1))), F.lit(0)).alias("last_col"))
         braced, ruby = code.filter(~F.col("lang").isin("ruby", "python")), code.filter("lang = 'ruby'")
-        events = materialize(_brace_events(braced).unionByName(_ruby_events(ruby)), "brace-events")  # a row per brace; each text is masked once
-        blocks = materialize(_paired(events, code.select(*_FILE, "n_lines", "last_col")).unionByName(_indented(code.filter("lang = 'python'"))), "blocks")
-        found = _with_parents(blocks).filter("node_type IS NOT NULL")
+        blocks = _paired(_brace_events(braced)).unionByName(_paired(_ruby_events(ruby))).unionByName(_indented(code.filter("lang = 'python'")))
+        found = _with_parents(materialize(blocks, "blocks")).filter("node_type IS NOT NULL")
         names = [c.split()[0] for c in BOUNDARY_SCHEMA.split(", ")]
         number = found.withColumns({"node_id": F.col("id") + 1, "parent_id": F.coalesce(F.col("parent") + 1, F.lit(0))})
         whole = code.select(*_FILE, F.lit(0).alias("node_id"), F.lit(None).alias("parent_id"), F.lit("program").alias("node_type"), F.lit(1).alias("start_line"), F.lit(0).alias("start_col"), F.col("n_lines").alias("end_line"), F.col("last_col").alias("end_col"))

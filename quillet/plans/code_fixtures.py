@@ -45,7 +45,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split("text", "\n").alias("arr"))
     k = (F.col("doc_id") % len(SHAPES)).cast("int")
     pick = lambda name: F.get(F.array(*[F.lit(getattr(s, name)) for s in SHAPES]), k)
-    plain = lambda t: F.translate(F.replace(t, F.lit("*/"), F.lit("")), '"\\', "")
+    plain = lambda t: F.replace(F.replace(F.replace(t, F.lit("*/"), F.lit("")), F.lit('"'), F.lit("")), F.lit("\\"), F.lit(""))
     put = lambda name, t, i: F.replace(F.replace(pick(name), F.lit("{t}"), plain(t)), F.lit("{i}"), (i + 1).cast("string"))
     body = F.flatten(F.transform("arr", lambda t, i: F.array(put("head", F.lit(""), i), F.replace(pick("comment"), F.lit("{t}"), plain(t)), F.replace(pick("string"), F.lit("{t}"), plain(t)), pick("end"))))
     path = F.concat(F.lit("src/c"), "doc_id", F.lit("."), pick("suffix"))
