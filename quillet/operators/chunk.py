@@ -23,17 +23,19 @@ def heuristic_ranges(changed: DataFrame, lines: DataFrame) -> DataFrame:
     """Each changed line with the block between the blank lines around it.
 
     The neighbouring blanks exclude the line itself, so a blank changed line takes
-    both blocks; lines outside the file are dropped.
+    both blocks; lines outside the file are dropped. Only changed lines, blank ones
+    and each file's last are sorted, without their texts.
     """
-    order = Window.partitionBy("review_id", "path").orderBy("line_no")
-    blank = F.when(is_blank(F.col("line")), F.col("line_no"))
-    around = lines.withColumns(
-        {
-            "start_line": F.coalesce(F.max(blank).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1,
-            "end_line": F.coalesce(F.min(blank).over(order.rowsBetween(1, Window.unboundedFollowing)), F.col("n_lines") + 1) - 1,
-        }
-    )
-    return changed.select(*FILE, "line_no").join(around.select("review_id", "path", "line_no", "start_line", "end_line"), ["review_id", "path", "line_no"]).select(*FILE, "line_no", "start_line", "end_line")
+    file = ["review_id", "path"]
+    blank = is_blank(F.col("line"))
+    marks = lines.filter(blank | (F.col("line_no") == F.col("n_lines"))).select(*file, F.lit(None).cast("long").alias("file_seq"), "line_no", F.when(blank, F.col("line_no")).alias("_blank"), "n_lines")
+    asked = changed.select(*file, "file_seq", "line_no", F.lit(None).cast("long").alias("_blank"), F.lit(None).cast("long").alias("n_lines"))
+    down, up = Window.partitionBy(*file).orderBy("line_no"), Window.partitionBy(*file).orderBy(F.desc("line_no"))  # a frame that grows costs each line once
+    start = F.coalesce(F.max("_blank").over(down.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    last = F.max("n_lines").over(up.rangeBetween(Window.unboundedPreceding, 0))
+    end = F.coalesce(F.min("_blank").over(up.rangeBetween(Window.unboundedPreceding, -1)), last + 1) - 1
+    around = marks.unionByName(asked).withColumn("start_line", start).withColumns({"end_line": end, "_last": last})
+    return around.filter((F.col("file_seq").isNotNull()) & F.col("_last").isNotNull() & (F.col("line_no") >= 1)).select(*FILE, "line_no", "start_line", "end_line")
 
 
 def merge_ranges(ranges: DataFrame, keys: list[str] = FILE) -> DataFrame:
