@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,9 +71,24 @@ class Ledger:
 
     def replies(self, spark: SparkSession) -> DataFrame:
         """``key, nth, reply`` of everything that was kept."""
-        fresh = spark.read.schema(REPLY).option("recursiveFileLookup", "true").json(f"{self.root}/calls") if self._has("calls") else spark.createDataFrame([], REPLY)
+        fresh = spark.range(0, 256, 1, 64).mapInArrow(self._read_calls, REPLY) if self._has("calls") else spark.createDataFrame([], REPLY)
         return self._table(spark).unionByName(fresh).dropDuplicates(["key", "nth"])
 
+    def _read_calls(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The files of some of the 256 folders: a task reads many, and nothing lists them all."""
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                fs, path = self._at("calls", f"{number:02x}")
+                kept = []
+                for i in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+                    if i.base_name.endswith(".json") and not i.base_name.startswith("_"):
+                        with fs.open_input_stream(i.path) as f:
+                            kept.append(json.loads(f.read()))
+                    if len(kept) == 1000:
+                        yield _replies(kept)
+                        kept = []
+                yield _replies(kept)
+
     def compact(self, spark: SparkSession) -> None:
         """Fold the small files into a new table. No run may be writing meanwhile; a failure on the way loses nothing."""
         if self._has("calls"):
@@ -86,6 +102,10 @@ class Ledger:
         return requests.join(known, "_key", "left").withColumn("_known", F.coalesce(F.transform("_a", lambda x: x["reply"]), F.array().cast("array<string>"))).drop("_a")
 
 
+def _replies(kept: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k["key"] for k in kept], pa.string()), pa.array([k["nth"] for k in kept], pa.int32()), pa.array([k["reply"] for k in kept], pa.string())], names=["key", "nth", "reply"])
+
+
 def remembered(call: Callable[[], str], ledger: Ledger | None, key: str | None, known: list[str]) -> Callable[[], str]:
     """``call`` for one request: its replies are first those that are known, then those in the ledger's files, then new ones."""
     if ledger is None:
