@@ -38,6 +38,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import struct
 import zlib
@@ -284,6 +285,7 @@ def winnowed(words: np.ndarray, counts: np.ndarray, run: int, shingle: int) -> t
 
 
 _ENTRY = "key long, line long, place int"
+_DEALT = "bucket int, key array<long>, line array<long>, place array<int>"
 
 
 def _entries(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
@@ -325,37 +327,82 @@ def _entries(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordB
             out.append((key ^ np.uint64(run), part.line[rows][owner], at - first[owner]))
         if out:
             key, line, place = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line), pa.array(place.astype(np.int32))], names=["key", "line", "place"])
+            yield _entry_batch([key.view(np.int64), line, place.astype(np.int32)])
+
+
+def _entry_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "line", "place"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], buckets: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Entries as a row of arrays for each bucket of keys, some ``most`` entries at a time: most keys are met once, so rows of their own would cost more than they tell."""
+    held, size = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            size += batch.num_rows
+        if size and (batch is None or size >= most):
+            columns = [np.concatenate(x) for x in zip(*([c.to_numpy() for c in b.columns] for b in held), strict=True)]
+            bucket = ((columns[0].view(np.uint64) >> np.uint64(17)) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
+            order, counts = np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
+            some = np.flatnonzero(counts)
+            ends = pa.array(np.append(0, np.cumsum(counts[some])).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists], names=["bucket", "key", "line", "place"])
+            held, size = [], 0
+
+
+def _split(entries: list[list[np.ndarray]], known: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Entries of keys that several lines have or that are ``known`` to be such, once for each line, by key and line; and the others."""
+    key, line, place = (np.concatenate(x) for x in zip(*entries, strict=True))
+    order = np.argsort(key)
+    several = _several(key[order], known)
+    alone, order = order[~several], order[several]
+    order = order[np.lexsort((line[order], key[order]))]
+    rest, (key, line, place) = [c[alone] for c in (key, line, place)], [c[order] for c in (key, line, place)]
+    if len(key):
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
+        least, most = np.minimum.reduceat(place, start), np.maximum.reduceat(place, start)
+        key, line, place = key[start], line[start], np.where((least == most) | (least < 0), least, _ANYWHERE).astype(np.int32)
+    several = _several(key, known)
+    return [c[several] for c in (key, line, place)], [np.concatenate([x, c[~several]]) for x, c in zip(rest, (key, line, place), strict=True)]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key and line, those of keys that several lines have, once for each line."""
-    held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]  # the last line, which may go on
-    before = None  # the key of the line before it
+def _several(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of sorted keys occur again, or are known."""
+    if not len(key):
+        return np.empty(0, bool)
+    same = key[1:] == key[:-1]
+    again = np.append(same, False) | np.append(False, same)
+    return again | np.isin(key, known) if len(known) else again
 
-    def several(key: np.ndarray) -> np.ndarray:
-        same = key[1:] == key[:-1]
-        out = np.append(same, False)
-        out[1:] |= same
-        if len(key) and key[0] == before:
-            out[0] = True
-        return out
 
-    batch_of = lambda columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "line", "place"])
+def _shared(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Of entries, those of keys that several lines have, once for each line. They come in order of buckets, or as plain rows of one bucket.
+
+    A bucket is held. Beyond ``most`` entries those of keys that are known to have several
+    lines don't stay, so a very common key isn't held; a line of it may come twice then.
+    """
+    held, size, bound, bucket, known = [], 0, most, None, np.empty(0, np.int64)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, line, place = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True))
-        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
-        least, most = np.minimum.reduceat(place, start), np.maximum.reduceat(place, start)
-        key, line, place = key[start], line[start], np.where((least == most) | (least < 0), least, _ANYWHERE).astype(np.int32)
-        keep = np.flatnonzero(several(key)[:-1])
-        if len(key) > 1:
-            before = key[-2]
-        held = [key[-1:], line[-1:], place[-1:]]
-        yield batch_of([key[keep], line[keep], place[keep]])
-    keep = np.flatnonzero(several(held[0]))
-    yield batch_of([h[keep] for h in held])
+        dealt = "bucket" in batch.schema.names
+        number = batch.column("bucket").to_numpy() if dealt else np.zeros(min(1, batch.num_rows), np.int32)
+        starts = np.flatnonzero(np.append(True, number[1:] != number[:-1])).tolist() if len(number) else []
+        for a, b in itertools.pairwise([*starts, len(number)]):
+            if held and number[a] != bucket:
+                yield _entry_batch(_split(held, known)[0])
+                held, size, bound, known = [], 0, most, known[:0]
+            bucket = number[a]
+            columns = [batch.column(n) for n in ("key", "line", "place")]
+            held.append([(c.slice(a, b - a).flatten() if dealt else c).to_numpy(zero_copy_only=False) for c in columns])
+            size += len(held[-1][0])
+            if size >= bound:
+                shared, rest = _split(held, known)
+                yield _entry_batch(shared)
+                held, size, known = [rest], len(rest[0]), np.union1d(known, shared[0])
+                bound = max(most, 2 * size)
+    if held:
+        yield _entry_batch(_split(held, known)[0])
 
 
 _MEMBER = "key long, line long, mark long, place int, doc_id long, line_no int, words int, odd int, p long, q long"
@@ -647,7 +694,8 @@ def _search(table: pa.Table, s: Lines) -> pa.Table:
 def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
     """Links (line, mark, c_line, c_mark) of line classes to earlier ones: to the earliest within the threshold, if any, and maybe more."""
     texts = docs.select("doc_id", "text")
-    entries = texts.mapInArrow(lambda it: _entries(it, s), _ENTRY).repartition("key").sortWithinPartitions("key", "line")
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = texts.mapInArrow(lambda it: _dealt(_entries(it, s), buckets), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
     shared = materialize(entries.mapInArrow(_shared, _ENTRY), "line-keys")
     about = classes.select("line", "mark", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "words", "odd", "p", "q")
     members = shared.join(about, "line").select(*_NAMES).repartition("key").sortWithinPartitions("key", "doc_id", "line_no")
