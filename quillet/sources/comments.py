@@ -8,14 +8,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from quillet.operators.summary import MARKER
 
 _ORD_DIGITS = 10
+_FOLDERS = 256
+_BATCH_CHARS = 4_000_000
+COMMENT = "review_id long, ord long, body string"
+_ROWS = pa.schema([("review_id", pa.int64()), ("ord", pa.int64()), ("body", pa.string())])
 
 
 class CommentService(Protocol):
@@ -105,9 +109,9 @@ class _Writer(DataSourceWriter):
 
 
 class FolderComments:
-    """A shared folder as the service: ``path/<review>/<ord>-<key>.txt``, any URI that pyarrow reads.
+    """A shared folder as the service: ``path/<xx>/<review>/<ord>-<key>.txt``, any URI that pyarrow reads.
 
-    A name holds number and key, so two creators of the same comment that see the
+    ``xx`` is one of 256 folders, by the review's number, so that many tasks can each read some. A name holds number and key, so two creators of the same comment that see the
     same folder write the same file.
     """
 
@@ -115,12 +119,23 @@ class FolderComments:
         self.fs, self.root = pafs.FileSystem.from_uri(options["path"])
 
     def _folder(self, review_id: int) -> str:
-        return f"{self.root.rstrip('/')}/{review_id}"
+        return f"{self.root.rstrip('/')}/{review_id % _FOLDERS:02x}/{review_id}"
 
     def _names(self, review_id: int) -> list[str]:
         inside = self.fs.get_file_info(pafs.FileSelector(self._folder(review_id), allow_not_found=True))
         return sorted(i.base_name for i in inside if i.base_name.endswith(".txt") and not i.base_name.startswith("_"))
 
+    def reviews(self, folder: int) -> list[int]:
+        """Reviews that have comments in one of the 256 folders."""
+        inside = self.fs.get_file_info(pafs.FileSelector(f"{self.root.rstrip('/')}/{folder:02x}", allow_not_found=True))
+        return [int(i.base_name) for i in inside if i.type == pafs.FileType.Directory]
+
+    def comments(self, review_id: int) -> Iterator[tuple[int, str]]:
+        """Number and text of each comment of a review."""
+        for name in self._names(review_id):
+            with self.fs.open_input_stream(f"{self._folder(review_id)}/{name}") as f:
+                yield int(name[:_ORD_DIGITS]), f.read().decode(errors="replace")
+
     def _put(self, review_id: int, name: str, body: str) -> None:
         self.fs.create_dir(self._folder(review_id), recursive=True)
         draft, path = f"{self._folder(review_id)}/_{name}", f"{self._folder(review_id)}/{name}"
@@ -137,19 +152,41 @@ class FolderComments:
 
     def edit(self, review_id: int, ord: int, body: str) -> None:
         name = next(n for n in self._names(review_id) if int(n[:_ORD_DIGITS]) == ord)
-        self._put(review_id, name, body)
+        with self.fs.open_input_stream(f"{self._folder(review_id)}/{name}") as f:
+            same = f.read() == body.encode()
+        if not same:  # to replace a file waits for the disk
+            self._put(review_id, name, body)
 
 
-def write_comments(rows: DataFrame, service: str, **options: str) -> None:
-    """Post ``rows(review_id, body[, ord])``. Each review is in one task, its rows in the order of ``ord``."""
-    rows.sparkSession.dataSource.register(ReviewCommentsSink)
+def write_comments(rows: DataFrame, service: str, tasks: int | None = None, **options: str) -> None:
+    """Post ``rows(review_id, body[, ord])``. Each review is in one task, its rows in the order of ``ord``.
+
+    ``tasks`` (by default the session's shuffle partitions) post at a time at most: what
+    posting takes is calls, not bytes, so few bytes are no reason for few tasks.
+    """
+    spark = rows.sparkSession
+    spark.dataSource.register(ReviewCommentsSink)
     order = ["review_id", "ord"] if "ord" in rows.columns else ["review_id"]
-    placed = rows.repartition("review_id").sortWithinPartitions(*order).select("review_id", "body")
+    placed = rows.repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")), "review_id").sortWithinPartitions(*order).select("review_id", "body")
     placed.write.format("review_comments").options(service=service, **options).mode("append").save()
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """``review_id, ord, body`` of a folder of comments."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"/(-?\d+)/(\d+)-[^/]*$", 1), F.regexp_extract(F.col("_metadata.file_path"), r"/(-?\d+)/(\d+)-[^/]*$", 2)
-    return raw.select(name[0].cast("long").alias("review_id"), name[1].cast("long").alias("ord"), F.col("value").alias("body"))
+    """``review_id, ord, body`` of a folder of comments: a task reads some of its 256 folders, and nothing lists them all."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        service = FolderComments({"path": path})
+        of = lambda rows: pa.RecordBatch.from_pylist([dict(zip(("review_id", "ord", "body"), r, strict=True)) for r in rows], _ROWS)
+        for batch in batches:
+            found, size = [], 0
+            for folder in batch.column("id").to_pylist():
+                for review_id in service.reviews(folder):
+                    for ord_, body in service.comments(review_id):
+                        found.append((review_id, ord_, body))
+                        size += len(body)
+                        if size > _BATCH_CHARS or len(found) == 1000:
+                            yield of(found)
+                            found, size = [], 0
+            yield of(found)
+
+    return spark.range(0, _FOLDERS, 1, 64).mapInArrow(read, COMMENT)
