@@ -9,13 +9,16 @@ edit, however long it is. Equal lines are one class.
 
 A line of length l is split into edits + 1 segments; a line within the threshold
 has one of them as a substring near its place, so each line probes keys of
-(length, segment number, segment) with the few substrings that can match
-(multi-match-aware selection), its own segments among them. Word edits may be many,
-so their segments aren't numbered: e edits leave one of e + 1 runs of at least
-(n - e) / (e + 1) words untouched. Of every window of that many words the shingle
-of least hash is a key (winnowing), so lines within the threshold share one, at
-places and with word counts that differ by at most e. Edits of characters touch few
-words, so lines of many words meet by these keys alone.
+(segment number, segment) with the few substrings that can match
+(multi-match-aware selection), its own segments among them. Most substrings serve
+for more than one length, so lengths aren't part of the key but compared where lines
+meet. One edit of a word leaves one half of a line, so the halves are keys in the
+same way. Where more word edits are allowed their segments aren't numbered: e edits
+leave one of e + 1 runs of at least (n - e) / (e + 1) words untouched. Of every
+window of that many words the shingle of least hash is a key (winnowing), so lines
+within the threshold share one, at places and with word counts that differ by at
+most e. Edits of characters touch few words, so lines of many words meet by these
+keys alone.
 
 Nothing emits the pairs of a key. A key's lines are read in order of their first
 occurrence, and each line is paired with the earliest one that may be within
@@ -44,7 +47,7 @@ import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,9 +101,9 @@ def _run_after_edits(words: int, s: Lines) -> int:
 
 
 def run_classes(s: Lines) -> list[tuple[int, float, int]]:
-    """Least and largest word count of lines that share a run of so many words, for one, two or more edits of the shorter."""
+    """Least and largest word count of lines that share a run of so many words, for two, three or more edits of the shorter."""
     n, last, out = s.words_per_edit, max(3, s.many_words // s.words_per_edit), []
-    for e in range(1, last + 1):
+    for e in range(2, last + 1):
         run = -(-(e * n - e) // (e + 1))
         if e * n >= s.many_words:
             run = min(run, _run_after_edits(e * n, s))
@@ -129,22 +132,50 @@ def probes(length: int, indexed: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-#: What the ``place`` of an entry says if it isn't the place of a run of words.
-_PROBE, _SEGMENT, _ANYWHERE = -1, -2, -3
+def cuts(length: int, least: int, most: int, edits: int) -> list[tuple[int, int, int]]:
+    """The probes of a line for all lines of ``least`` to ``most`` that aren't longer, each once: many are the same for several lengths."""
+    return sorted({cut for indexed in range(max(least, length - edits), min(most, length) + 1) for cut in probes(length, indexed, edits)})
 
-_plans: dict[tuple[int, int], np.ndarray] = {}
+
+#: What the ``place`` of an entry says if it isn't the place of a run of words: that it is one of words, or else
+#: (from ``_LENGTH`` down) that it is one of characters, the line's length and whether it is the line's own segment.
+_ANYWHERE, _LENGTH = -3, -4
+
+
+def _char_place(length: int, own: bool) -> int:
+    return _LENGTH - 2 * length - own
+
+
+_plans: dict[tuple, np.ndarray] = {}
 register("lines", _plans.clear)
 
 
 def _plan(length: int, s: Lines) -> np.ndarray:
-    """Seed, from, to and place of the probes of a line of this length; those that are its own segments say so."""
-    if (length, s.edits) not in _plans:
-        own = set(segments(length, s.edits))
-        rows = [(k * 16 + i, a, a + n, _SEGMENT if k == length and (a, n) in own and segments(length, s.edits)[i] == (a, n) else _PROBE) for k in range(max(s.least_chars, length - s.edits), length + 1) for i, a, n in probes(length, k, s.edits)]
+    """Seed, from, to and place of the probes of a line of so many characters; those that are its own segments say so."""
+    if (length, s) not in _plans:
+        own = segments(length, s.edits)
+        rows = [(i, a, a + n, _char_place(length, own[i] == (a, n))) for i, a, n in cuts(length, s.least_chars, length, s.edits)]
         if len(_plans) > 5000:
             _plans.clear()
-        _plans[length, s.edits] = np.array(rows, np.int64).reshape(-1, 4).T
-    return _plans[length, s.edits]
+        _plans[length, s] = np.array(rows, np.int64).reshape(-1, 4).T
+    return _plans[length, s]
+
+
+def _halves(words: int, s: Lines) -> np.ndarray:
+    """Seed, from, to and place of the halves of a line of so many words."""
+    if ("halves", words, s) not in _plans:
+        rows = [(i, a, a + n, _ANYWHERE) for i, a, n in cuts(words, s.words_per_edit, 2 * s.words_per_edit - 1, 1)]
+        _plans["halves", words, s] = np.array(rows, np.int64).reshape(-1, 4).T
+    return _plans["halves", words, s]
+
+
+def _cut_all(sizes: np.ndarray, plan: Callable[[int, Lines], np.ndarray], s: Lines) -> tuple[np.ndarray, ...]:
+    """The item, seed, from, to and place of all parts of items of these sizes."""
+    kinds, kind = np.unique(sizes, return_inverse=True)
+    plans = [plan(n, s) for n in kinds.tolist()]
+    counts = np.array([p.shape[1] for p in plans])
+    owner, k = _spread(counts[kind])
+    return owner, *np.concatenate(plans, axis=1)[:, (np.cumsum(counts) - counts)[kind][owner] + k]
 
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -153,9 +184,12 @@ _powers: list[np.ndarray] = []
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _M1
-    h = (h ^ (h >> np.uint64(29))) * _M2
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(31))
+    h *= _M1
+    h ^= h >> np.uint64(29)
+    h *= _M2
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _powers_up_to(n: int) -> list[np.ndarray]:
@@ -167,6 +201,26 @@ def _powers_up_to(n: int) -> list[np.ndarray]:
 register("line powers", _powers.clear)
 
 
+_marks: list[np.ndarray] = []
+
+
+def _char_hashes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of characters, read from a table unless there are others than its 65,536."""
+    if not _marks:
+        _marks.append(_mix(np.arange(1 << 16, dtype=np.uint64) + _M2))
+    if len(codes) and codes.max() >= 1 << 16:
+        return _mix(codes.astype(np.uint64) + _M2)
+    return _marks[0].take(codes)
+
+
+def _sums(values: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Sums of which ``(sums[end] - sums[start]) * power[start]`` depends on the values from start to end alone."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.multiply(values, inverse, out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    return sums
+
+
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For items of so many parts: the item of each part, and the part's number within it."""
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -181,15 +235,16 @@ class Part:
 
     def __init__(self, ids: list[int], firsts: list[int], texts: list[str], s: Lines) -> None:
         self.codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        space = np.concatenate([[True], (self.codes == 32) | ((self.codes >= 9) & (self.codes <= 13)), [True]])
+        space = np.ones(len(self.codes) + 2, bool)
+        np.less(self.codes - np.uint32(9), 5, out=space[1:-1])
+        space[1:-1] |= self.codes == 32
         change = np.flatnonzero(space[1:] != space[:-1])
         self.word_start, self.word_end = change[::2], change[1::2]
         breaks = np.flatnonzero(self.codes == 10)
-        line_of = np.searchsorted(breaks, self.word_start)
-        line, first = np.unique(line_of, return_index=True)
-        words = np.diff(np.append(first, len(line_of)))
-        long_enough = words >= s.least_words
-        line, self.first, self.words = line[long_enough], first[long_enough], words[long_enough]
+        first = np.concatenate([[0], np.searchsorted(self.word_start, breaks)])
+        words = np.diff(np.append(first, len(self.word_start)))
+        line = np.flatnonzero((words >= s.least_words) & (words > 0))
+        self.first, self.words = first[line], words[line]
         self.start, self.end = self.word_start[self.first], self.word_end[self.first + self.words - 1]
         sizes = np.array([len(t) for t in texts])
         text_start = np.cumsum(sizes + 1) - sizes - 1
@@ -211,7 +266,7 @@ class Part:
     def hash_all(self) -> None:
         power, inverse = _powers_up_to(len(self.codes) + 1)
         n = len(self.codes)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(self.codes.astype(np.uint64) + _M2) * inverse[:n], dtype=np.uint64)])
+        self.sums = _sums(_char_hashes(self.codes), inverse[:n])
         self.power = power
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -267,21 +322,31 @@ def _lines(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _LINE.split(", ")])
 
 
-def winnowed(words: np.ndarray, counts: np.ndarray, run: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place (among all words) of the shingles kept of lines of ``counts`` hashed words, such that equal runs of ``run`` words share one."""
-    size, window = len(words) - shingle + 1, run - shingle + 1
+#: Windows compare so much of a shingle's hash, then its place.
+_PLACE = np.uint64((1 << 32) - 1)
+
+
+def winnowed(words: np.ndarray, counts: np.ndarray, classes: list[tuple[int, float, int]], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Hash and place (among all words) of the shingles kept of lines of ``counts`` hashed words, for each class of lines, such that equal runs of ``run`` words share one."""
+    size = len(words) - shingle + 1
     hashed = np.zeros(size, np.uint64)
     for i in range(shingle):
-        hashed = (hashed ^ words[i : i + size]) * _M1
+        hashed ^= words[i : i + size]
+        hashed *= _M1
         hashed ^= hashed >> np.uint64(29)
-    starts = size - window + 1
-    least, at = hashed[:starts].copy(), np.arange(starts)
-    for i in range(1, window):
-        less = hashed[i : i + starts] < least
-        least[less], at[less] = hashed[i : i + starts][less], np.flatnonzero(less) + i
-    ends = np.repeat(np.cumsum(counts), counts)
-    at = np.unique(at[np.arange(starts) + run <= ends[:starts]])
-    return hashed[at], at
+    least = {1: (hashed & ~_PLACE) | np.arange(size, dtype=np.uint64)}  # least of so many shingles from each on
+    ends, of_line = np.repeat(np.cumsum(counts), counts), np.repeat(counts, counts)
+    for low, high, run in classes:
+        window = run - shingle + 1
+        half = 1 << (window.bit_length() - 1)
+        for n in [1 << i for i in range(1, window.bit_length())]:
+            if n not in least:
+                least[n] = np.minimum(least[n // 2][: -(n // 2)], least[n // 2][n // 2 :])
+        starts = size - window + 1
+        whole = (np.arange(run, starts + run) <= ends[:starts]) & (of_line[:starts] >= low) & (of_line[:starts] <= high)
+        at = (np.minimum(least[half][:starts], least[half][window - half :])[whole] & _PLACE).astype(np.int64)
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at  # they only go forward
+        yield hashed[at], at, run
 
 
 _ENTRY = "key long, line long, place int"
@@ -307,24 +372,26 @@ def _entries(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordB
         length = part.end - part.start
         few = np.flatnonzero((length >= s.least_chars) & (part.words < s.many_words + s.edits)) if s.edits else np.empty(0, np.int64)
         if len(few):
-            sizes, kind = np.unique(length[few], return_inverse=True)
-            plans = [_plan(n, s) for n in sizes.tolist()]
-            counts = np.array([p.shape[1] for p in plans])
-            seed, a, b, place = np.concatenate(plans, axis=1)
-            owner, k = _spread(counts[kind])
-            at = (np.cumsum(counts) - counts)[kind][owner] + k
+            owner, seed, a, b, place = _cut_all(length[few], _plan, s)
             start = part.start[few][owner]
-            key = _mix(part.slices(start + a[at], start + b[at]) ^ _mix(seed[at].astype(np.uint64)))
-            out.append((key, part.line[few][owner], place[at]))
-        for low, high, run in classes:
-            rows = np.flatnonzero((part.words >= low) & (part.words <= high))
-            if not len(rows):
-                continue
+            out.append((_mix(part.slices(start + a, start + b) ^ _mix(seed.astype(np.uint64))), part.line[few][owner], place))
+        one = np.flatnonzero((part.words >= s.words_per_edit) & (part.words <= 2 * s.words_per_edit))
+        if len(one):
+            hashed, counts = part.word_rows(one)
+            power, inverse = _powers_up_to(len(hashed) + 1)
+            sums = _sums(hashed, inverse[: len(hashed)])
+            owner, seed, a, b, place = _cut_all(counts, _halves, s)
+            start = (np.cumsum(counts) - counts)[owner]
+            half = _mix((sums[start + b] - sums[start + a]) * power[start + a])
+            out.append((_mix(half ^ _mix(seed.astype(np.uint64) + _M1)), part.line[one][owner], place))
+        rows = np.flatnonzero(part.words >= classes[0][0])
+        if len(rows):
             hashed, counts = part.word_rows(rows)
-            key, at = winnowed(hashed, counts, run, s.shingle)
             first = np.cumsum(counts) - counts
-            owner = np.searchsorted(first, at, "right") - 1
-            out.append((key ^ np.uint64(run), part.line[rows][owner], at - first[owner]))
+            line_of, _ = _spread(counts)
+            for key, at, run in winnowed(hashed, counts, classes, s.shingle):
+                owner = line_of[at]
+                out.append((key ^ np.uint64(run), part.line[rows][owner], at - first[owner]))
         if out:
             key, line, place = (np.concatenate(x) for x in zip(*out, strict=True))
             yield _entry_batch([key.view(np.int64), line, place.astype(np.int32)])
@@ -443,14 +510,17 @@ class Members:
         drift = np.where(least >= s.many_words, np.maximum(edits, s.edits), edits)
         anywhere = (x["place"] == _ANYWHERE) | (y["place"] == _ANYWHERE)
         run = (np.abs(x["words"] - y["words"]) <= drift) & (anywhere | (np.abs(x["place"] - y["place"]) <= drift)) & (bits("p", np.uint64) + bits("q", np.uint64) <= self.changed_words(least, s))
-        by_run = ((x["place"] >= 0) | (x["place"] == _ANYWHERE)) & ((y["place"] >= 0) | (y["place"] == _ANYWHERE)) & run
-        by_segment = ((x["place"] == _SEGMENT) & ((y["place"] == _SEGMENT) | (y["place"] == _PROBE)) | (x["place"] == _PROBE) & (y["place"] == _SEGMENT)) & (bits("odd", np.uint32) <= 2 * s.edits)
+        by_run = (x["place"] >= _ANYWHERE) & (y["place"] >= _ANYWHERE) & run
+        chars = (x["place"] <= _LENGTH) & (y["place"] <= _LENGTH) & ((x["place"] | y["place"]) & 1 == 1)  # one's own segment
+        by_segment = chars & (np.abs((x["place"] + 1 >> 1) - (y["place"] + 1 >> 1)) <= s.edits) & (bits("odd", np.uint32) <= 2 * s.edits)
         return (by_run | by_segment) & ((x["line"] != y["line"]) | (x["mark"] != y["mark"]))
 
 
 #: kind 0: a line and the earliest of a key that it may be near to; 1: a line that may have others there
-#: (place: order of the last one seen); 2: a line of a key that has such ones.
-_MET = "kind int, key long, block int, line long, mark long, place int, c_line long, c_mark long, last_doc long, last_no int"
+#: (last_doc, last_no: place of the last one seen); 2: a line of a key that has such ones. Each says where its line and its partner
+#: occur first, and what else the search needs to know of it, so the classes of all lines aren't joined again.
+_MET = "kind int, key long, block int, line long, mark long, place int, doc_id long, line_no int, words int, odd int, p long, q long, c_line long, c_mark long, last_doc long, last_no int"
+_FACTS = ("words", "odd", "p", "q")
 
 
 def _met(kind: int, rows: Members, block: np.ndarray | int, other: Members | None = None) -> pa.RecordBatch:
@@ -458,7 +528,8 @@ def _met(kind: int, rows: Members, block: np.ndarray | int, other: Members | Non
     none = lambda t: pa.nulls(n, t)
     y = other.columns if other is not None else None
     columns = [
-        pa.array(np.full(n, kind, np.int32)), pa.array(x["key"]), pa.array(np.broadcast_to(np.asarray(block, np.int32), n).copy()), pa.array(x["line"]), pa.array(x["mark"]), pa.array(x["place"]),
+        pa.array(np.full(n, kind, np.int32)), pa.array(x["key"]), pa.array(np.broadcast_to(np.asarray(block, np.int32), n).copy()), *(pa.array(x[c]) for c in ("line", "mark", "place", "doc_id", "line_no")),
+        *(pa.array(x[c]) if kind else none(pa.int32() if c in ("words", "odd") else pa.int64()) for c in _FACTS),
         none(pa.int64()) if y is None else pa.array(y["line"]), none(pa.int64()) if y is None else pa.array(y["mark"]), none(pa.int64()) if y is None else pa.array(y["doc_id"]), none(pa.int32()) if y is None else pa.array(y["line_no"]),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _MET.split(", ")])
@@ -573,30 +644,34 @@ def within(a: str | list[bytes], b: str | list[bytes], edits: int) -> bool:
 def banded(a: str | list[bytes], b: str | list[bytes], edits: int) -> int:
     """Edit distance if at most ``edits``, else edits + 1.
 
-    Bit d of ``reach[e]`` tells that with e edits the diagonal d (b's place minus
-    a's, plus edits) is alive at the current character of ``a``; a step over one
-    character moves every diagonal at once.
+    Bit d of lane e of ``reach`` tells that with e edits the diagonal d (b's place
+    minus a's, plus edits) is alive at the current character of ``a``; a step over
+    one character moves every diagonal of every lane at once. Lanes are one bit apart.
     """
     width, m = 2 * edits + 1, len(b)
+    lane = width + 1
+    ones = ((1 << lane * (edits + 1)) - 1) // ((1 << lane) - 1)
     full = (1 << width) - 1
+    every = full * ones
+    skips = [(ones * (full >> n) & every, n * (lane + 1)) for n in (1 << i for i in range(edits.bit_length()))]  # n characters of b left out, in n lanes more
     where: dict[str | bytes, int] = {}
-    for j, c in enumerate(b):
+    for j, c in enumerate(b[:edits]):
         where[c] = where.get(c, 0) | 1 << (j + edits)
-    reach = [0] * (edits + 1)
-    reach[0] = 1 << edits
-    for e in range(1, edits + 1):
-        reach[e] = reach[e - 1] | reach[e - 1] << 1 & full
+    reach = 1 << edits
+    for stays, by in skips:
+        reach |= (reach & stays) << by & every
     for i, c in enumerate(a):
+        if i + edits < m:  # no further ahead than the band: unlike texts end early
+            y = b[i + edits]
+            where[y] = where.get(y, 0) | 1 << (i + 2 * edits)
         match = where.get(c, 0) >> i & full
-        before = reach[:]
-        reach[0] = before[0] & match
-        for e in range(1, edits + 1):
-            kept = before[e] & match | before[e - 1] | before[e - 1] >> 1
-            reach[e] = (kept | reach[e - 1] << 1) & full
-        if not reach[edits]:
+        reach = reach & match * ones | (reach | reach >> 1 & every) << lane & every
+        if not reach:
             return edits + 1
+        for stays, by in skips:
+            reach |= (reach & stays) << by & every
     end = m - len(a) + edits
-    return next((e for e in range(edits + 1) if 0 <= end < width and reach[e] >> end & 1), edits + 1)
+    return next((e for e in range(edits + 1) if 0 <= end < width and reach >> e * lane + end & 1), edits + 1)
 
 
 def near_lines(a: str, b: str, s: Lines) -> bool:
@@ -606,15 +681,18 @@ def near_lines(a: str, b: str, s: Lines) -> bool:
     edits = word_edits(min(len(x), len(y)), s)
     if not edits or abs(len(x) - len(y)) > edits:
         return False
-    more = Counter(x)
-    more.subtract(y)
-    return max(sum(n for n in more.values() if n > 0), -sum(n for n in more.values() if n < 0)) <= edits and within(x, y, edits)  # an edit is one word more or less on either side
+    m, n = Counter(x), Counter(y)
+    apart = {w for w, _ in m.items() ^ n.items()}
+    if len(apart) > 2 * edits:
+        return False
+    more = [m[w] - n[w] for w in apart]
+    return max(sum(k for k in more if k > 0), -sum(k for k in more if k < 0)) <= edits and within(x, y, edits)  # an edit is one word more or less on either side
 
 
 def _verify(batches: Iterator[pa.RecordBatch], s: Lines) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = [near_lines(a, b, s) for a, b in zip(batch.column("t_x").to_pylist(), batch.column("t_c").to_pylist(), strict=True)]
-        yield batch.select(["line", "mark", "c_line", "c_mark"]).filter(pa.array(near, pa.bool_()))
+        yield batch.select([c.split()[0] for c in _FOUND.split(", ")]).filter(pa.array(near, pa.bool_()))
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -632,16 +710,16 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(mark, pa.int64()), pa.array(text, pa.string())], names=["line", "mark", "t"])
 
 
-def line_texts(docs: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """``line, mark, t`` of the lines listed (line, mark), read again from the documents that have them first."""
-    at = classes.join(lines, ["line", "mark"], "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.struct("first.line_no", "line", "mark").alias("x"))
+def line_texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``line, mark, t`` of the lines listed (line, mark, doc_id, line_no), read again from the documents that have them first."""
+    at = lines.select("doc_id", F.struct("line_no", "line", "mark").alias("x"))
     at = materialize(at.groupBy("doc_id").agg(F.collect_list("x").alias("wanted")), "line-wanted")  # bounded by the document's lines
     n = at.agg(F.sum(F.size("wanted"))).first()[0] or 0
     found = docs.join(F.broadcast(at) if n <= BROADCAST_LINES else at, "doc_id").select("text", "wanted")
     return materialize(found.mapInArrow(_wanted, "line long, mark long, t string").dropDuplicates(["line", "mark"]), "line-texts")
 
 
-_FOUND = "line long, mark long, c_line long, c_mark long"
+_FOUND = "line long, mark long, doc_id long, line_no int, c_doc long, c_no int"
 
 
 def _search(table: pa.Table, s: Lines) -> pa.Table:
@@ -678,7 +756,7 @@ def _search(table: pa.Table, s: Lines) -> pa.Table:
         i, j = i[near], j[near]
         for likely in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else []:
             x, likely = int(i[likely[0]]), j[likely]
-            if len(likely) > 8 and m.columns["place"][x] not in (_PROBE, _SEGMENT):
+            if len(likely) > 8 and m.columns["place"][x] >= _ANYWHERE:
                 apart = np.abs(counts_of(likely) - counts_of(np.array([x]))).sum(1)
                 likely = likely[apart <= m.changed_words(np.minimum(m.columns["words"][likely], m.columns["words"][x]), s)]
             text = texts[x].as_py()
@@ -688,68 +766,84 @@ def _search(table: pa.Table, s: Lines) -> pa.Table:
                     break
     x, y = np.array(out, np.int64).reshape(-1, 2).T
     c = m.columns
-    return pa.table([pa.array(c["line"][x]), pa.array(c["mark"][x]), pa.array(c["line"][y]), pa.array(c["mark"][y])], names=["line", "mark", "c_line", "c_mark"])
+    return pa.table([pa.array(c[n][at].astype(t)) for n, at, t in (("line", x, np.int64), ("mark", x, np.int64), ("doc_id", x, np.int64), ("line_no", x, np.int32), ("doc_id", y, np.int64), ("line_no", y, np.int32))], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def line_links(docs: DataFrame, classes: DataFrame, s: Lines) -> DataFrame:
-    """Links (line, mark, c_line, c_mark) of line classes to earlier ones: to the earliest within the threshold, if any, and maybe more."""
+    """Links of line classes (line, mark, and doc_id and line_no of the first of them) to earlier ones (c_doc, c_no): to the earliest within the threshold, if any, and maybe more."""
     texts = docs.select("doc_id", "text")
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = texts.mapInArrow(lambda it: _dealt(_entries(it, s), buckets), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
     shared = materialize(entries.mapInArrow(_shared, _ENTRY), "line-keys")
-    about = classes.select("line", "mark", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "words", "odd", "p", "q")
-    members = shared.join(about, "line").select(*_NAMES).repartition("key").sortWithinPartitions("key", "doc_id", "line_no")
+    about = classes.select("line", "mark", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), *_FACTS)
+    members = shared.join(about.hint("shuffle_hash"), "line").select(*_NAMES).repartition("key").sortWithinPartitions("key", "doc_id", "line_no")
     met = materialize(members.mapInArrow(lambda it: _select(it, s), _MET), "line-met")
 
-    pairs = met.filter("kind = 0").select("line", "mark", "c_line", "c_mark").distinct()
-    pairs = materialize(pairs, "line-pairs")
-    partner = pairs.select(F.col("c_line").alias("line"), F.col("c_mark").alias("mark"))
-    found = line_texts(docs, pairs.select("line", "mark").unionByName(partner).distinct(), classes)
+    pairs = met.filter("kind = 0").select("line", "mark", "doc_id", "line_no", "c_line", "c_mark", F.col("last_doc").alias("c_doc"), F.col("last_no").alias("c_no"))
+    pairs = materialize(pairs.distinct(), "line-pairs")
+    partner = pairs.select("c_line", "c_mark", "c_doc", "c_no").toDF("line", "mark", "doc_id", "line_no")
+    compared = met.filter("kind = 2").select(*partner.columns)  # the search may ask for these
+    found = line_texts(docs, pairs.select(*partner.columns).unionByName(partner).unionByName(compared).distinct())
     both = pairs.join(found.withColumnRenamed("t", "t_x"), ["line", "mark"]).join(found.toDF("c_line", "c_mark", "t_c"), ["c_line", "c_mark"])
     links = materialize(both.mapInArrow(lambda it: _verify(it, s), _FOUND), "line-links")
 
-    first = F.col("first")
-    owners = least_partner(links, classes).withColumnRenamed("linked", "until")
-    asks = met.filter("kind = 1").join(owners, ["line", "mark"], "left").join(classes.select("line", "mark", "first"), ["line", "mark"])
+    owners = least_partner(links).select("line", "mark", F.col("linked").alias("until"))
+    asks = met.filter("kind = 1").join(owners, ["line", "mark"], "left")
     last = F.struct(F.col("last_doc").alias("doc_id"), F.col("last_no").alias("line_no"))
-    asks = asks.withColumn("until", F.coalesce("until", first)).filter(last < F.col("until"))
-    asks = materialize(asks.select("key", "block", "line", "mark", "place", "last_doc", "last_no", F.col("until.doc_id").alias("until_doc"), F.col("until.line_no").alias("until_no")), "line-asks")
+    asks = asks.withColumn("until", F.coalesce("until", F.struct("doc_id", "line_no"))).filter(last < F.col("until"))
+    facts = ("line", "mark", "place", "doc_id", "line_no", *_FACTS)
+    asks = materialize(asks.select("key", "block", *facts, "last_doc", "last_no", F.col("until.doc_id").alias("until_doc"), F.col("until.line_no").alias("until_no")), "line-asks")
     if asks.isEmpty():
         return links
     every = asks.withColumn("part", F.explode(F.sequence(F.lit(0), "block")))
     wanting = asks.select("key", F.col("block").alias("by")).distinct()
-    held = met.filter("kind = 2").select("key", "block", "line", "mark", "place").join(wanting, "key").filter("by >= block")
+    held = met.filter("kind = 2").select("key", "block", *facts).join(wanting, "key").filter("by >= block")
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    held = held.select(F.lit(False).alias("asks"), "key", F.col("by").alias("block"), F.col("block").alias("part"), "line", "mark", "place", *none("long", "last_doc"), *none("int", "last_no"), *none("long", "until_doc"), *none("int", "until_no"))
+    held = held.select(F.lit(False).alias("asks"), "key", F.col("by").alias("block"), F.col("block").alias("part"), *facts, *none("long", "last_doc"), *none("int", "last_no"), *none("long", "until_doc"), *none("int", "until_no"))
     group = materialize(every.select(F.lit(True).alias("asks"), *held.columns[1:]).unionByName(held), "line-groups")
-    more = line_texts(docs, group.select("line", "mark").distinct(), classes)
-    full = group.join(about, ["line", "mark"]).join(more, ["line", "mark"])
+    full = group.join(found, ["line", "mark"])
     tasks = max(1, math.ceil(group.count() / (4 * s.block)))
     dealt = F.pmod(F.xxhash64("key", "block", "part"), F.lit(tasks))  # several blocks at a time, none of more than twice s.block rows
     found = full.groupBy(dealt.alias("dealt")).applyInArrow(lambda t: _search(t, s), _FOUND)
     return links.unionByName(materialize(found, "line-links"))
 
 
-def least_partner(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """``line, mark, linked``: first occurrence of the earliest class that each is linked to."""
-    partner = classes.select(F.col("line").alias("c_line"), F.col("mark").alias("c_mark"), F.col("first").alias("other"))
-    return links.join(partner, ["c_line", "c_mark"]).groupBy("line", "mark").agg(F.min("other").alias("linked"))
+def least_partner(links: DataFrame) -> DataFrame:
+    """``line, mark, at, linked``: first occurrences of each linked class and of the earliest class that it is linked to."""
+    at, other = F.struct("doc_id", "line_no"), F.struct(F.col("c_doc").alias("doc_id"), F.col("c_no").alias("line_no"))
+    return links.groupBy("line", "mark").agg(F.min(at).alias("at"), F.min(other).alias("linked"))
+
+
+def line_classes(lines: DataFrame, lo: int | None, hi: int | None, most: int | None) -> DataFrame:
+    """``line, mark, n, first`` (doc_id, line_no) and the facts of equal lines of documents from ``lo`` to ``hi``, numbered up to ``most``.
+
+    Spark sorts rows to find the least of structs, so places are compared as numbers wherever they fit into a long.
+    """
+    same = [F.min(c).alias(c) for c in _FACTS]
+    classes, count = lines.groupBy("line", "mark"), F.count(F.lit(1)).alias("n")
+    if lo is None or (hi - lo + 1) * (most + 1) >= 1 << 63:
+        return classes.agg(count, F.min(F.struct("doc_id", "line_no")).alias("first"), *same)
+    low, each = F.lit(lo).cast("long"), F.lit(most + 1).cast("long")
+    found = classes.agg(count, F.min((F.col("doc_id") - low) * each + F.col("line_no")).alias("at"), *same)
+    line_no = F.col("at") % each
+    first = F.struct((F.call_function("div", F.col("at"), each) + low).alias("doc_id"), line_no.cast("int").alias("line_no"))
+    return found.select("line", "mark", "n", first.alias("first"), *_FACTS)
 
 
 def dropped_lines(docs: DataFrame, s: Lines = Lines()) -> DataFrame:
     """``doc_id, line_no, first_doc_id`` of every line to drop, and the document that keeps it."""
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     lines = materialize(docs.mapInArrow(lambda it: _lines(it, s), _LINE), "lines")
-    same = [F.min(c).alias(c) for c in ("words", "odd", "p", "q")]
-    classes = materialize(lines.groupBy("line", "mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), *same), "line-classes")
-    linked = least_partner(line_links(docs, classes, s), classes)
+    places, *span = lines.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"), F.max("line_no")).first()
+    classes = materialize(line_classes(lines, *span), "line-classes")
+    linked = least_partner(line_links(docs, classes, s))
     owner = F.when(F.col("linked") < F.col("first"), F.col("linked"))
-    judged = classes.join(linked, ["line", "mark"], "left").select("line", "mark", "n", "first", owner.alias("owner")).filter("n > 1 OR owner IS NOT NULL")
-    judged = materialize(judged, "line-judged")
-    places = classes.agg(F.sum("n")).first()[0] or 0
+    several = classes.filter("n > 1").select("line", "mark", "n", "first")
+    judged = several.join(linked, ["line", "mark"], "full").withColumns({"n": F.coalesce("n", F.lit(1)), "first": F.coalesce("first", "at")})  # a linked class that isn't among them is one line
+    judged = materialize(judged.select("line", "mark", "n", "first", owner.alias("owner")).filter("n > 1 OR owner IS NOT NULL"), "line-judged")
     often = F.broadcast(judged.filter(F.col("n") > places / HOT))  # fewer than HOT rows
     line = lines.select("line", "mark", "doc_id", "line_no")
-    rest = line.join(often.select("line", "mark"), ["line", "mark"], "left_anti").join(judged, ["line", "mark"])
+    rest = line.join(often.select("line", "mark"), ["line", "mark"], "left_anti").join(judged.hint("shuffle_hash"), ["line", "mark"])
     at = F.struct("doc_id", "line_no")
     hit = line.join(often, ["line", "mark"]).unionByName(rest).filter(F.col("owner").isNotNull() | (at > F.col("first")))
     return hit.select("doc_id", "line_no", F.coalesce("owner.doc_id", "first.doc_id").alias("first_doc_id")).distinct()
@@ -758,7 +852,7 @@ def dropped_lines(docs: DataFrame, s: Lines = Lines()) -> DataFrame:
 def line_dedup(docs: DataFrame, s: Lines = Lines()) -> DataFrame:
     """``doc_id, n_lines, n_dropped, dropped_lines, first_doc_ids`` of every row."""
     dropped = dropped_lines(docs, s).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "first_doc_id"))).alias("d"))  # bounded by the document's lines
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = sizes.join(dropped, "doc_id", "left").withColumn("d", F.coalesce("d", F.array().cast("array<struct<line_no:int,first_doc_id:bigint>>")))
     return out.select("doc_id", "n_lines", F.size("d").cast("long").alias("n_dropped"), F.col("d.line_no").alias("dropped_lines"), F.col("d.first_doc_id").alias("first_doc_ids"))
 
